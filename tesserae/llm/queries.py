@@ -6,8 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import arrow_output, bpe, packing
-from tesserae.llm.common import shared_dir, table
+from tesserae.llm import arrow_output, bpe, langid, packing, quality
+from tesserae.llm.common import held_out, shared_dir, table
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, learned from the labels of rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_on_tables(docs, table(spark, sf_dir, "labels"), ~held_out())
+    return quality.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +37,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op5_packing": op5_packing, "op7_token_files": op7_token_files}
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.dictionaries(docs, ~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
+QUERIES = {"op1_quality": op1_quality, "op9_language": op9_language, "op2_byte_bpe": op2_byte_bpe, "op5_packing": op5_packing, "op7_token_files": op7_token_files}
 
 ORACLE_SQL: dict[str, str] = {}
