@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import ann, arrow_output, bpe, langid, packing, quality, topk
+from tesserae.llm import ann, arrow_output, bpe, langid, minhash, packing, quality, topk
 from tesserae.llm.common import held_out, shared_dir, table
 
 
@@ -34,6 +34,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with at least 85 % of their 3-word shingles in common."""
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all documents as token files and reads them back."""
     folder = shared_dir(spark)
@@ -59,6 +65,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_exact_topk": op4_exact_topk,
     "op5_packing": op5_packing,
+    "op6_minhash": op6_minhash,
     "op7_token_files": op7_token_files,
     "op8_ann": op8_ann,
     "op9_language": op9_language,
