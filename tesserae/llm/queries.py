@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import ann, arrow_output, bpe, langid, minhash, packing, quality, suffix_dedup, topk
+from tesserae.llm import ann, arrow_output, bpe, html, langid, minhash, packing, quality, suffix_dedup, topk
 from tesserae.llm.common import held_out, shared_dir, table
 
 
@@ -67,6 +67,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_byte_bpe": op2_byte_bpe,
@@ -77,6 +83,7 @@ QUERIES = {
     "op7_token_files": op7_token_files,
     "op8_ann": op8_ann,
     "op9_language": op9_language,
+    "op10_html": op10_html,
 }
 
 ORACLE_SQL: dict[str, str] = {
