@@ -6,14 +6,16 @@ same document) is removed, strings being judged on the input. Texts are UTF-8 by
 Not every suffix has to be sorted. Each window of ``length`` bytes has an anchor, the place of the smallest hash of
 ``ANCHOR`` bytes in it, leftmost on ties, so equal windows have equal anchors. Consecutive windows with one anchor are a
 run. Runs are shuffled as hashes only, by the anchor's hash: of equal runs all but the first are repeats, and a run whose
-anchor occurs nowhere else has none. Only where different runs have the same anchor are the windows themselves compared:
-their suffixes, as far as ``length`` bytes, are sorted in each task into runs with common prefixes, equal ones folded, and
-exchanged front-coded (length of the prefix common with the suffix before, and the rest) by splitters from a bounded sample.
-Each range merges its runs with a loser tree that holds common prefix lengths, so that no known prefix is compared
-again; a suffix with a common prefix of ``length`` bytes with the one before is a repeat.
+anchor occurs nowhere else has none. Where different runs have the same anchor, the suffixes from their anchors on are
+sorted in each task and exchanged front-coded (the length of the prefix common with the suffix before, and the rest), in
+ranges by splitters from a bounded sample. Each range merges its runs with a loser tree that holds common prefix lengths,
+so that no known prefix is compared again. In the merged suffix array the runs of an anchor are neighbours, and the prefix
+each has in common with its neighbours tells which of its windows can occur in them at all; those are looked up in the
+order of the documents.
 
 Equal runs are folded within each batch before anything is shuffled, so a passage that a third of all documents holds is
-sent a few times, not for each of them. What is kept of a document's repeats is bounded by its own length.
+sent a few times, not for each of them. What is kept of a document's repeats is bounded by its own length, and what a merge
+keeps by the different surroundings of one anchor.
 
 Null and empty texts have no bytes and no repeats. Rows with a null doc_id are left out. doc_id names a document, so rows
 that repeat whole are one document and have the same result. Empty tables give empty results; other columns are not
@@ -23,7 +25,9 @@ carried.
 from __future__ import annotations
 
 import functools
-import math
+from array import array
+from bisect import bisect_left, bisect_right
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +35,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import record_batch, shared_dir, shuffle_partitions, slices, written
+from tesserae.llm.common import record_batch, shuffle_partitions, slices, written
 
 #: Bytes whose hash makes an anchor, bytes hashed at once, suffixes of one sorted run, and suffixes sampled for splitters.
-ANCHOR, BLOCK, RUN, SAMPLE = 28, 2 << 20, 150_000, 20_000
+ANCHOR, BLOCK, RUN, SAMPLE = 28, 2 << 20, 100_000, 20_000
 _RANDOM = np.random.default_rng(33)
 _BYTE = _RANDOM.integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
-RUNS = pa.schema([("key", pa.int64()), ("text_hash", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("repeat", pa.bool_())])
-MARKS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("repeat", pa.bool_())])
-PARTS = pa.schema([("part", pa.int32()), ("common", pa.binary()), ("rest", pa.binary()), ("doc_ids", pa.binary()), ("starts", pa.binary())])
+#: spot: start << 17 | windows << 9 | anchor's place in the run << 1 | whether it is a repeat
+RUNS = pa.schema([("key", pa.int64()), ("text_hash", pa.int64()), ("doc_id", pa.int64()), ("spot", pa.int64())])
+MARKS = pa.schema([("doc_id", pa.int64()), ("spot", pa.int64())])
+REPEATS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+PARTS = pa.schema([("part", pa.int32()), ("common", pa.binary()), ("sizes", pa.binary()), ("rest", pa.binary()), ("left_sizes", pa.binary()), ("lefts", pa.binary()), ("doc_ids", pa.binary()), ("starts", pa.binary())])
 
 
 @functools.lru_cache(maxsize=1)
@@ -78,10 +84,10 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
-def runs(data: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, window counts and anchor hashes of the runs; valid: the places where a window may start."""
+def runs(data: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, window counts, anchors and their hashes of the runs; valid: the places where a window may start."""
     if len(data) < length:
-        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.uint64))
+        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64))
     h = _hashes(data, ANCHOR)
     place = np.arange(len(h), dtype=np.uint64)
     low = np.uint64((1 << 24) - 1)
@@ -92,7 +98,7 @@ def runs(data: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray,
     count = np.diff(np.concatenate([begin, [len(anchor)]]))
     kept = ok[begin]
     begin, count = begin[kept], count[kept]
-    return begin, count, h[anchor[begin]]
+    return begin, count, anchor[begin], h[anchor[begin]]
 
 
 def _first(doc: np.ndarray, start: np.ndarray, *groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,23 +111,24 @@ def _first(doc: np.ndarray, start: np.ndarray, *groups: np.ndarray) -> tuple[np.
 
 
 def _text_runs(docs: DataFrame, length: int) -> DataFrame:
-    def batch_runs(ids: list, texts: list):
+    def batch_runs(ids: list, texts: list, shift: int):
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         begins = np.concatenate([[0], np.cumsum(sizes)])
         joined = b"".join(texts)
         data = np.frombuffer(joined, dtype=np.uint8)
         valid = np.arange(len(data)) <= np.repeat(begins[1:] - length, sizes)
-        begin, count, key = runs(data, valid, length)
+        begin, count, anchor, key = runs(data, valid, length)
         at = np.searchsorted(begins, begin, side="right") - 1
         view, digest = memoryview(joined), xxhash.xxh3_64_intdigest
         text_hash = np.fromiter((digest(view[s:e]) for s, e in zip(begin.tolist(), (begin + count + (length - 1)).tolist(), strict=True)), dtype=np.uint64, count=len(begin)).view(np.int64)
-        doc, start, key = np.array(ids, dtype=np.int64)[at], begin - begins[at], key.view(np.int64)
+        doc, start, key = np.array(ids, dtype=np.int64)[at], begin - begins[at] + shift, key.view(np.int64)
+        spot = start << 17 | count << 9 | (anchor - begin) << 1
         order, new, later = _first(doc, start, key, text_hash)
         kept = new | later
         order, later = order[kept], later[kept]
-        key = key[order]
+        key, spot = key[order], spot[order] | later
         key[later] = doc[order][later] * 0x5851F42D + start[order][later]  # these only pass through, so they go anywhere
-        return record_batch(RUNS, pa.array(key), pa.array(text_hash[order]), pa.array(doc[order]), pa.array(start[order].astype(np.int32)), pa.array(count[order].astype(np.int32)), pa.array(later))
+        return record_batch(RUNS, *map(pa.array, (key, text_hash[order], doc[order], spot)))
 
     def pieces(ids, texts):
         """Batches of at most BLOCK bytes; a longer text goes in parts that overlap, so that every window is in one part. Runs may break there."""
@@ -146,136 +153,105 @@ def _text_runs(docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for part in slices(batches, BLOCK):
             for ids, texts, shift in pieces(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                out = batch_runs(ids, texts)
-                yield out if not shift else out.set_column(3, RUNS.field("start"), pa.array((out.column(3).to_numpy() + shift).astype(np.int32)))
+                yield batch_runs(ids, texts, shift)
 
-    return docs.mapInArrow(run, "key long, text_hash long, doc_id long, start int, n int, repeat boolean")
+    return docs.mapInArrow(run, "key long, text_hash long, doc_id long, spot long")
 
 
 def _judge(batches):
-    """Rows in the order of key, text_hash, doc_id and start: repeats, and the first of equal runs where other runs have its key."""
-    waiting = None  # the last first row: key, doc, start, n, whether its key has been seen before
-    seen = None  # the last row's key and text_hash, and the first row's doc and start
+    """Rows in the order of key, text_hash, doc_id and spot: repeats, and the first of equal runs where other runs have its key."""
+    waiting = None  # the last first row: key, doc, spot, whether another run has its key
+    seen = None  # the last row's key and text_hash, and its first row's doc and spot
     for batch in batches:
-        key, text_hash, doc, start, n, repeat = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        passed = np.flatnonzero(repeat)
-        rest = np.flatnonzero(~repeat)
-        out_doc, out_start, out_n, out_repeat = [doc[passed]], [start[passed]], [n[passed]], [np.ones(len(passed), dtype=bool)]
-        if len(rest):
-            key, text_hash, doc, start, n = (x[rest] for x in (key, text_hash, doc, start, n))
+        key, text_hash, doc, spot = (c.to_numpy() for c in batch.columns)
+        repeat = (spot & 1).astype(bool)
+        out_doc, out_spot = [doc[repeat]], [spot[repeat]]
+        if not repeat.all():
+            key, text_hash, doc, spot = (x[~repeat] for x in (key, text_hash, doc, spot))
             new = np.ones(len(key), dtype=bool)
             new[1:] = (key[1:] != key[:-1]) | (text_hash[1:] != text_hash[:-1])
             if seen and seen[0] == key[0] and seen[1] == text_hash[0]:
                 new[0] = False
             heads = np.flatnonzero(new)
             at = np.cumsum(new) - 1
-            head_doc, head_start = np.append(doc[heads], 0)[at], np.append(start[heads], 0)[at]
+            head_doc, head_spot = np.append(doc[heads], 0)[at], np.append(spot[heads], 0)[at]
             if not new[0]:
-                before = at < 0
-                head_doc[before], head_start[before] = seen[2], seen[3]
-            later = ~new & ((doc != head_doc) | (start != head_start))
-            out_doc.append(doc[later]), out_start.append(start[later]), out_n.append(n[later]), out_repeat.append(np.ones(int(later.sum()), dtype=bool))
-            seen = (key[-1], text_hash[-1], head_doc[-1], head_start[-1])
+                head_doc[at < 0], head_spot[at < 0] = seen[2], seen[3]
+            later = ~new & ((doc != head_doc) | (spot != head_spot))
+            out_doc.append(doc[later]), out_spot.append(spot[later] | 1)
+            seen = (key[-1], text_hash[-1], head_doc[-1], head_spot[-1])
             if len(heads):
-                k, d, s, m = (x[heads] for x in (key, doc, start, n))
+                k, d, s = (x[heads] for x in (key, doc, spot))
                 shared = np.zeros(len(k), dtype=bool)
                 shared[:-1] |= k[1:] == k[:-1]
                 shared[1:] |= k[1:] == k[:-1]
                 if waiting is not None:
-                    if waiting[0] == k[0]:
-                        shared[0] = True
-                    if waiting[4] or waiting[0] == k[0]:
-                        out_doc.append(np.array([waiting[1]])), out_start.append(np.array([waiting[2]])), out_n.append(np.array([waiting[3]])), out_repeat.append(np.zeros(1, dtype=bool))
-                waiting = (k[-1], d[-1], s[-1], m[-1], bool(shared[-1]))
+                    shared[0] |= waiting[0] == k[0]
+                    if waiting[3] or waiting[0] == k[0]:
+                        out_doc.append(np.array([waiting[1]])), out_spot.append(np.array([waiting[2]]))
+                waiting = (k[-1], d[-1], s[-1], bool(shared[-1]))
                 shared[-1] = False
-                out_doc.append(d[shared]), out_start.append(s[shared]), out_n.append(m[shared]), out_repeat.append(np.zeros(int(shared.sum()), dtype=bool))
-        yield record_batch(MARKS, *(pa.array(np.concatenate(x).astype(t)) for x, t in zip((out_doc, out_start, out_n, out_repeat), (np.int64, np.int32, np.int32, bool), strict=True)))
-    if waiting is not None and waiting[4]:
-        yield record_batch(MARKS, *([x] for x in (int(waiting[1]), int(waiting[2]), int(waiting[3]), False)))
+                out_doc.append(d[shared]), out_spot.append(s[shared])
+        yield record_batch(MARKS, pa.array(np.concatenate(out_doc)), pa.array(np.concatenate(out_spot)))
+    if waiting is not None and waiting[3]:
+        yield record_batch(MARKS, [int(waiting[1])], [int(waiting[2])])
 
 
-def _windows(text: bytes, places: list, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of the runs (start, n), a row each, bytes raised by one so that none is zero, and their starts."""
-    data = np.frombuffer(text, dtype=np.uint8) + np.uint8(1)
-    starts = np.concatenate([np.arange(p["start"], p["start"] + p["n"]) for p in places])
-    return np.lib.stride_tricks.sliding_window_view(data, length)[starts], starts
-
-
-def front_coded(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted rows: the bytes each has in common with the one before, and which of its bytes follow those."""
-    common = np.zeros(len(windows), dtype=np.uint8)
-    if len(windows) > 1:
-        differ = windows[1:] != windows[:-1]
-        common[1:] = np.where(differ.any(1), differ.argmax(1), windows.shape[1])
-    return common, np.arange(windows.shape[1])[None, :] >= common[:, None]
+def common_prefix(s: bytes, t: bytes, known: int = 0) -> int:
+    """Bytes in common at the start, of which ``known`` are not looked at."""
+    n = min(len(s), len(t))
+    differ = int.from_bytes(s[known:n]) ^ int.from_bytes(t[known:n])
+    return n - (differ.bit_length() + 7) // 8
 
 
 def _sorted_runs(length: int, splitters: list[bytes]):
-    """(doc_id, text, places) to sorted, folded, front-coded runs, a row for each range; folded repeats go to range -1."""
-    bounds = np.array(splitters, dtype=f"S{length}") if splitters else None
-
-    def emit(windows, docs, starts):
-        rows = np.ascontiguousarray(np.concatenate(windows))
-        doc, start = np.concatenate(docs), np.concatenate(starts)
-        text = rows.view(f"S{length}").ravel()
-        order = np.lexsort((start, doc))
-        order = order[np.argsort(text[order], kind="stable")]
-        rows, doc, start, text = rows[order], doc[order], start[order], text[order]
-        common, _ = front_coded(rows)
-        new = common < length
-        new[0] = True
-        heads = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = ~new & ((doc != doc[heads]) | (start != start[heads]))
-        if later.any():
-            yield -1, b"", b"", doc[later].tobytes(), start[later].tobytes()
-        rows, doc, start, text = rows[new], doc[new], start[new], text[new]
-        cuts = np.concatenate([[0], np.searchsorted(text, bounds, side="left") if bounds is not None else [], [len(text)]]).astype(int)
-        for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if b > a:
-                common, rest = front_coded(rows[a:b])
-                yield part, common.tobytes(), rows[a:b][rest].tobytes(), doc[a:b].tobytes(), start[a:b].tobytes()
+    """(doc_id, text, spots) to sorted, front-coded runs of suffixes, a row for each range."""
+
+    def emit(held: list):
+        held.sort()
+        a = 0
+        while a < len(held):
+            part = bisect_right(splitters, held[a][0][:ANCHOR])
+            b = bisect_left(held, (splitters[part],), lo=a) if part < len(splitters) else len(held)
+            rows = held[a:b]
+            common = [0, *(common_prefix(s[0], t[0]) for s, t in pairwise(rows))]
+            yield record_batch(
+                PARTS, [part], [bytes(common)], [bytes(len(r[0]) for r in rows)], [b"".join(r[0][c:] for r, c in zip(rows, common, strict=True))],
+                [bytes(len(r[1]) for r in rows)], [b"".join(r[1] for r in rows)], [array("q", [r[2] for r in rows]).tobytes()], [array("i", [r[3] for r in rows]).tobytes()],
+            )
+            a = b
 
     def run(batches):
-        held, size = ([], [], []), 0
+        held = []
         for part in slices(batches, BLOCK):
-            for doc, text, places in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for doc, text, spots in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 text = text.encode("utf-8", "replace")
-                step = []
-                for p in places:
-                    step.append(p)
-                    size += p["n"]
-                    if size >= RUN:
-                        rows, starts = _windows(text, step, length)
-                        for h, x in zip(held, (rows, np.full(len(starts), doc, dtype=np.int64), starts.astype(np.int32)), strict=True):
-                            h.append(x)
-                        for row in emit(*held):
-                            yield record_batch(PARTS, *([x] for x in row))
-                        held, size, step = ([], [], []), 0, []
-                if step:
-                    rows, starts = _windows(text, step, length)
-                    for h, x in zip(held, (rows, np.full(len(starts), doc, dtype=np.int64), starts.astype(np.int32)), strict=True):
-                        h.append(x)
-        if size:
-            for row in emit(*held):
-                yield record_batch(PARTS, *([x] for x in row))
+                for spot in spots:
+                    start, n, place = spot >> 17, spot >> 9 & 255, spot >> 1 & 255
+                    held.append((text[start + place : start + n + length - 1], text[start : start + place], doc, start))
+                if len(held) >= RUN:
+                    yield from emit(held)
+                    held = []
+        if held:
+            yield from emit(held)
 
     return run
 
 
-def _decoded(common: bytes, rest: bytes, docs: np.ndarray, starts: np.ndarray, length: int):
-    """The suffixes of a front-coded run: (common with the one before, suffix, doc, start)."""
-    text, at = b"", 0
-    for c, d, s in zip(common, docs.tolist(), starts.tolist(), strict=True):
-        more = length - c
-        text = text[:c] + rest[at : at + more]
-        at += more
-        yield c, text, d, s
+def _decoded(common: bytes, sizes: bytes, rest: bytes, left_sizes: bytes, lefts: bytes, docs: array, starts: array):
+    """The suffixes of a front-coded run: (common with the one before, suffix, what stands before it, doc, start)."""
+    text, at, left = b"", 0, 0
+    for c, n, m, d, s in zip(common, sizes, left_sizes, docs, starts, strict=True):
+        text = text[:c] + rest[at : at + n - c]
+        at += n - c
+        yield c, text, lefts[left : left + m], d, s
+        left += m
 
 
 def merge(sources: list):
-    """Merges sorted sources of (common, suffix, doc, start) by a loser tree with common prefix lengths.
+    """Merges sorted sources of (common with the one before, suffix, ...) by a loser tree with common prefix lengths.
 
-    Yields (common with the one yielded before, doc, start). A node holds the source that lost there and how many bytes
+    Yields (common with the one yielded before, item). A node holds the source that lost there and how many bytes
     it has in common with the winner that passed; two that have different counts in common with the last winner are told
     apart by these alone, and equal counts are compared from there on.
     """
@@ -305,12 +281,8 @@ def merge(sources: list):
             return (a, b) if shared[a] > shared[b] else (b, a)
         h = shared[a]
         s, t = x[1], y[1]
-        differ = int.from_bytes(s[h:]) ^ int.from_bytes(t[h:])
-        if not differ:
-            shared[b] = len(s)
-            return a, b
-        common = len(s) - (differ.bit_length() + 7) // 8
-        if s[common] < t[common]:
+        common = common_prefix(s, t, h)
+        if common == len(s) or common < len(t) and s[common] < t[common]:
             shared[b] = common
             return a, b
         shared[a] = common
@@ -326,8 +298,7 @@ def merge(sources: list):
     winner = build(1) if k > 1 else 0
     last = 0
     while current[winner] is not None:
-        _, _, doc, start = current[winner]
-        yield last, doc, start
+        yield last, current[winner]
         advance(winner)
         # a suffix that follows in its own source has in common with the last one what the source says
         shared[winner] = current[winner][0] if current[winner] is not None else 0
@@ -341,30 +312,50 @@ def merge(sources: list):
         last = shared[winner]
 
 
+def window_repeats(group: list, length: int):
+    """Of the runs of one anchor, (suffix, left, doc, start, longest prefix in common with a neighbour): repeats as (doc, start, n)."""
+    seen: set[int] = set()
+    digest = xxhash.xxh3_64_intdigest
+    for suffix, left, doc, start, common in sorted(group, key=lambda r: (r[2], r[3])):
+        text, begin = left + suffix, -1
+        # a window that takes more of the suffix than any neighbour shares is nowhere else
+        last = min(len(text) - length, len(left) + common - length)
+        for k in range(last + 1):
+            h = digest(text[k : k + length])
+            if h in seen:
+                if begin < 0:
+                    begin = k
+            else:
+                seen.add(h)
+                if begin >= 0:
+                    yield doc, start + begin, k - begin
+                    begin = -1
+        if begin >= 0:
+            yield doc, start + begin, last + 1 - begin
+
+
 def _merge_range(length: int):
     def run(batches):
-        sources, docs, starts = [], [], []
+        sources, out = [], []
         for batch in batches:
-            for part, common, rest, d, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                d, s = np.frombuffer(d, dtype=np.int64), np.frombuffer(s, dtype=np.int32)
-                if part < 0:
-                    yield record_batch(MARKS, pa.array(d), pa.array(s), pa.array(np.ones(len(d), dtype=np.int32)), pa.array(np.ones(len(d), dtype=bool)))
-                else:
-                    sources.append(_decoded(common, rest, d, s, length))
-        first = None
-        for common, doc, start in merge(sources):
-            if common < length:
-                first = (doc, start)
-                continue
-            if (doc, start) != first:
-                early, late = min(first, (doc, start)), max(first, (doc, start))
-                first = early
-                docs.append(late[0]), starts.append(late[1])
-            if len(docs) >= 65536:
-                yield record_batch(MARKS, docs, starts, [1] * len(docs), [True] * len(docs))
-                docs, starts = [], []
-        if docs:
-            yield record_batch(MARKS, docs, starts, [1] * len(docs), [True] * len(docs))
+            for row in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                sources.append(_decoded(*row[:5], array("q", row[5]), array("i", row[6])))
+        group: list = []
+        for common, (_, suffix, left, doc, start) in merge(sources):
+            if common < ANCHOR:
+                if len(group) > 1:
+                    out.extend(window_repeats(group, length))
+                group = []
+            elif common > group[-1][4]:
+                group[-1] = (*group[-1][:4], common)
+            group.append((suffix, left, doc, start, common if group else 0))
+            if len(out) >= 65536:
+                yield record_batch(REPEATS, *map(list, zip(*out, strict=True)))
+                out = []
+        if len(group) > 1:
+            out.extend(window_repeats(group, length))
+        if out:
+            yield record_batch(REPEATS, *map(list, zip(*out, strict=True)))
 
     return run
 
@@ -380,38 +371,45 @@ def covered(places: list, length: int) -> np.ndarray:
 
 
 def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """docs (doc_id, text) to (doc_id, start, n): a window that repeats an earlier one starts at each of n places from start."""
+    """docs (doc_id, text; in partitions by doc_id) to (doc_id, start, n): a window that repeats an earlier one starts at each of n places from start."""
     spark = docs.sparkSession
-    folder, parts = shared_dir(spark), shuffle_partitions(spark)
-    sorted_runs = _text_runs(docs, length).repartition(parts, "key").sortWithinPartitions("key", "text_hash", "doc_id", "start")
-    marks = written(sorted_runs.mapInArrow(_judge, "doc_id long, start int, n int, repeat boolean"), folder)
-    open_runs = marks.filter(~F.col("repeat"))
+    parts = shuffle_partitions(spark)
+    sorted_runs = _text_runs(docs, length).repartition(parts, "key").sortWithinPartitions("key", "text_hash", "doc_id", "spot")
+    marks = written(sorted_runs.mapInArrow(_judge, "doc_id long, spot long"))
+    is_repeat = F.col("spot").bitwiseAND(F.lit(1)) == 1
+    open_runs = marks.filter(~is_repeat)
     total = open_runs.count()
-    done = marks.filter("repeat").select("doc_id", "start", "n")
+    done = marks.filter(is_repeat).select("doc_id", F.shiftright("spot", 17).cast("int").alias("start"), F.shiftright("spot", 9).bitwiseAND(F.lit(255)).cast("int").alias("n"))
     if not total:
         return done
     share = min(1.0, SAMPLE / total)
-    sample = open_runs.filter(F.pmod(F.xxhash64("doc_id", "start"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * SAMPLE)
-    texts = docs.join(F.broadcast(sample.select("doc_id", "start", "n")), "doc_id")
+    sample = open_runs.filter(F.pmod(F.xxhash64("doc_id", "spot"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * SAMPLE)
+    texts = docs.join(F.broadcast(sample), "doc_id")
 
     def heads(batches):
         for batch in batches:
-            out = [_windows(t.encode("utf-8", "replace"), [{"start": s + n // 2, "n": 1}], length)[0][0].tobytes() for t, s, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            out = []
+            for text, spot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = (spot >> 17) + (spot >> 1 & 255)
+                out.append(text.encode("utf-8", "replace")[at : at + ANCHOR])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["head"])
 
-    found = sorted(r["head"] for r in texts.select("text", "start", "n").mapInArrow(heads, "head binary").toLocalIterator())
+    found = sorted(r["head"] for r in texts.select("text", "spot").mapInArrow(heads, "head binary").toLocalIterator())
     splitters = sorted({found[k * len(found) // parts] for k in range(1, parts)}) if found else []
-    places = open_runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("places"))
-    coded = docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_sorted_runs(length, splitters), "part int, common binary, rest binary, doc_ids binary, starts binary")
-    # a range's runs go to its partition; folded repeats only pass through
-    ranged = coded.repartitionById(parts, F.when(F.col("part") >= 0, F.col("part")).otherwise(F.pmod(F.xxhash64("doc_ids"), F.lit(parts)).cast("int")))
-    merged = ranged.mapInArrow(_merge_range(length), "doc_id long, start int, n int, repeat boolean")
-    return done.union(written(merged, folder).select("doc_id", "start", "n"))
+    return done.union(compared(docs.repartition(parts, "doc_id"), open_runs, splitters, length))
+
+
+def compared(docs: DataFrame, open_runs: DataFrame, splitters: list[bytes], length: int) -> DataFrame:
+    """(doc_id, start, n) of the repeats among runs that have their anchors in common."""
+    spots = open_runs.groupBy("doc_id").agg(F.collect_list("spot").alias("spots"))
+    coded = docs.join(spots, "doc_id").select("doc_id", "text", "spots").mapInArrow(_sorted_runs(length, splitters), "part int, common binary, sizes binary, rest binary, left_sizes binary, lefts binary, doc_ids binary, starts binary")
+    return coded.repartitionById(len(splitters) + 1, F.coalesce("part", F.lit(0))).mapInArrow(_merge_range(length), "doc_id long, start int, n int")
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, spans (array of begin and end, in bytes) and kept (binary: the remaining bytes) of every row with an id."""
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).filter("doc_id is not null")
+    dealt = docs.repartition(shuffle_partitions(docs.sparkSession), "doc_id")  # the same exchange as that of compared()
     places = repeats(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("places"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
@@ -428,4 +426,4 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                 sizes.append(len(data)), spans.append(mine), kept.append(b"".join([*out, data[at:]]))
             yield record_batch(schema, part.column(0), sizes, spans, kept)
 
-    return docs.join(places, "doc_id", "left").select("doc_id", "text", "places").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
+    return dealt.join(places, "doc_id", "left").select("doc_id", "text", "places").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
