@@ -26,7 +26,7 @@ def _or_empty(spark: SparkSession, schema: str, read) -> DataFrame:
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array, or files of objects; a missing path is an empty table."""
+    """Files that each hold a JSON array; a missing path is an empty table."""
     return _or_empty(spark, schema, lambda: spark.read.schema(schema).option("multiLine", True).json(path))
 
 
@@ -37,6 +37,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: str, strict: bool =
 
 
 def write_json(df: DataFrame, path: str) -> None:
+    """JSON lines, which many tasks can write at once; they replace what was there."""
     df.write.mode("overwrite").json(path)
 
 
