@@ -316,8 +316,11 @@ def window_repeats(group: list, length: int):
     """Of the runs of one anchor, (suffix, left, doc, start, longest prefix in common with a neighbour): repeats as (doc, start, n)."""
     seen: set[int] = set()
     digest = xxhash.xxh3_64_intdigest
+    before = None
     for suffix, left, doc, start, common in sorted(group, key=lambda r: (r[2], r[3])):
-        text, begin = left + suffix, -1
+        if (doc, start) == before:  # a row that repeats whole
+            continue
+        before, text, begin = (doc, start), left + suffix, -1
         # a window that takes more of the suffix than any neighbour shares is nowhere else
         last = min(len(text) - length, len(left) + common - length)
         for k in range(last + 1):
