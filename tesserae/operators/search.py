@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
+from tesserae.operators.order import checkpointed
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Queries handled at once; more go in further blocks.
 QUERY_BLOCK = 4096
+#: Query terms up to which they are sent to every task.
+MOST_TERMS = 100_000
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -24,22 +27,26 @@ def bm25(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: st
 
     Okapi weights with k1 = 1.5, b = 0.75; a term in more than half of the documents weighs a quarter of the mean weight of
     all terms. Statistics are those of ``docs`` as given, so a filter before changes them. Document frequencies are combined
-    before they are shuffled; term counts are made for the query's terms only, which are few and sent to every task.
+    before they are shuffled; term counts are made for the queries' terms only, which are sent to every task as long as they are few.
     """
     words = docs.select(F.col(id_col).alias("id"), T.tokenize(text_col).alias("words"))
-    size = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean_length"))
-    frequency = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    # the empty term, which no text has, counts the documents and sums their lengths: one scan for all statistics
+    distinct = words.select(F.size("words").alias("length"), F.explode(F.array_distinct(F.concat("words", F.array(F.lit(""))))).alias("term"))
+    frequency = checkpointed(distinct.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("total")))
+    size = frequency.filter("term = ''").select(F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("mean_length"))  # one row at most
     plain = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    weights = frequency.join(F.broadcast(size)).withColumn("idf", plain)
+    weights = frequency.filter("term <> ''").join(F.broadcast(size)).withColumn("idf", plain)
     floor = weights.agg((F.lit(EPSILON) * F.avg("idf")).alias("floor"))
-    terms = F.broadcast(terms)
-    used = weights.join(terms.select("term").distinct().hint("broadcast"), "term", "left_semi").join(F.broadcast(floor))
+    few = terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS  # else the joins on terms are shuffled
+    sent = (lambda df: F.broadcast(df)) if few else (lambda df: df)  # noqa: PLW0108
+    wanted = terms.select("term").distinct()
+    used = weights.join(sent(wanted), "term", "left_semi").join(F.broadcast(floor))
     used = used.select("term", "mean_length", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    counts = words.select("id", F.size("words").alias("length"), F.explode("words").alias("term")).join(terms.select("term").distinct().hint("broadcast"), "term", "left_semi")
+    weighted = checkpointed(terms.join(used, "term"))
+    counts = words.select("id", F.size("words").alias("length"), F.explode("words").alias("term")).join(sent(wanted), "term", "left_semi")
     counts = counts.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
-    weighted = terms.join(F.broadcast(used), "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    return counts.join(F.broadcast(weighted), "term").groupBy("query_id", "id").agg(F.sum(part).alias("bm25"))
+    return counts.join(sent(weighted), "term").groupBy("query_id", "id").agg(F.sum(part).alias("bm25"))
 
 
 def cosine(docs: DataFrame, vector: DataFrame, vector_col: str = "embedding") -> DataFrame:
@@ -107,7 +114,7 @@ def hybrid_search(docs: DataFrame, embeddings: DataFrame, query_text: DataFrame,
 
     query_text: one row (query_id, text); query_vector: one row (q). The vector part looks at the 2k most similar documents.
     """
-    lexical = bm25(docs, query_terms(query_text, "query_id", "text"), id_col)
+    lexical = checkpointed(bm25(docs, query_terms(query_text, "query_id", "text"), id_col))
     known = embeddings.select(F.col("vec_id").alias("id"), "embedding").join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")
     vector = cosine(known, query_vector).orderBy(F.desc("similarity"), "id").limit(2 * k).select("id", "similarity")
     vector = vector.join(F.broadcast(query_text.select("query_id")))
@@ -118,7 +125,7 @@ def hybrid_search(docs: DataFrame, embeddings: DataFrame, query_text: DataFrame,
 
 def multi_query_search(docs: DataFrame, embeddings: DataFrame, queries: DataFrame, k: int = 5, alpha: float = 0.7) -> DataFrame:
     """(query_id, rank, id, score) of many queries (query_id, text, embedding)."""
-    lexical = bm25(docs, query_terms(queries, "query_id", "text"))
+    lexical = checkpointed(bm25(docs, query_terms(queries, "query_id", "text")))
     known = embeddings.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     vector = nearest(known, queries, 2 * k, "vec_id", "query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
