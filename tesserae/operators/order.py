@@ -66,6 +66,11 @@ def hashed_split(df: DataFrame, key: str, share: float = 0.1, least: int = 50, s
     return placed.withColumn("split", F.when(F.col("position") < max(least, int(n * share)), "eval").otherwise("train")).drop("_h", "position")
 
 
+def first_rows_split(df: DataFrame, *order: str, n: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(train, eval) as some trainers do it: the first n rows evaluate and all rows train, so the evaluation has been seen. Prefer the other splits."""
+    return df, df.orderBy(*order).limit(n)
+
+
 def stratified_split(df: DataFrame, label: str, key: str, percent: int = 10, seed: str = "42") -> DataFrame:
     """Adds split by a hash of the key, so that each label gives about the same share and no label is sorted as a whole."""
     share = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}-"), F.col(label).cast("string"))), 1, 8), 16, 10).cast("long") % 100

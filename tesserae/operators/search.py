@@ -204,3 +204,12 @@ def retrieval_quality(rows: DataFrame, id_col: str = "vec_id", label_col: str =
     values = [F.struct(F.lit(f"Recall@{k}").alias("metric"), F.round(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), 4).alias("value")) for k in ks]
     values.append(F.struct(F.lit("MRR").alias("metric"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 4).alias("value")))
     return ranked.agg(F.array(*values).alias("m")).select(F.explode("m").alias("m")).select("m.metric", "m.value")
+
+
+def compare_models(spaces: dict[str, DataFrame], **how) -> DataFrame:
+    """(metric, one column for each model): retrieval quality of several vector tables side by side."""
+    out = None
+    for name, rows in spaces.items():
+        one = retrieval_quality(rows, **how).withColumn("model", F.lit(name))
+        out = one if out is None else out.union(one)
+    return out.groupBy("metric").pivot("model", list(spaces)).agg(F.first("value"))

@@ -260,6 +260,31 @@ def q36_ann_lsh(spark, sf_dir):
     return near.select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+def q37_crawl_counts(spark, sf_dir):
+    found = _t(spark, sf_dir, "pages").select("url", F.when(F.col("page_id") % 7 != 0, F.col("html")).alias("body"), "page_id")
+    return pages.crawl_counts(found, found.filter("page_id % 3 = 0"))
+
+
+def q38_compare_models(spark, sf_dir):
+    rows = _t(spark, sf_dir, "embeddings")
+    return search.compare_models({"whole": rows, "half": rows.withColumn("embedding", F.slice("embedding", 1, 32))})
+
+
+def q39_first_rows_split(spark, sf_dir):
+    train, held = order.first_rows_split(_t(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+    return train.select("doc_id", F.lit("train").alias("split")).union(held.select("doc_id", F.lit("eval")))
+
+
+def q40_seed_questions(spark, sf_dir):
+    notices = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("notice_id"), T.title_of("text").alias("title"), T.body_of("text").alias("body"))
+    return qa.seed_questions(notices).groupBy("type").agg(F.count("*").alias("n"))
+
+
+def q41_index_scan(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").select(T.title_of("text").alias("title"), F.col("doc_id").cast("string").alias("url"), F.lit("2026").alias("date"), T.body_of("text").alias("body"), F.col("lang").alias("category"))
+    return files.scan(files.index_records(rows), "de").select("doc_id", "category", F.md5("document").alias("document_md5"))
+
+
 _HYBRID = """
     docs AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents {filter}),
     tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM docs),
@@ -300,6 +325,16 @@ def _category_sql() -> str:
     return f"SELECT doc_id, CASE {' '.join(whens)} ELSE {quote(RULES.default)} END AS category FROM (SELECT doc_id, {_TITLE} AS title, {_BODY} AS body FROM documents)"
 
 
+def _quality_sql(vector: str) -> str:
+    return f"""
+        WITH v AS (SELECT vec_id, label, CAST({vector} AS DOUBLE[]) AS e FROM embeddings),
+        s AS (SELECT a.vec_id AS q, b.vec_id AS c, a.label = b.label AS rel, round(list_inner_product(a.e, b.e) / ((sqrt(list_inner_product(a.e, a.e)) + 1e-9) * (sqrt(list_inner_product(b.e, b.e)) + 1e-9)), 12) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+        r AS (SELECT q, rel, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS rank FROM s),
+        f AS (SELECT v.vec_id, min(rank) FILTER (WHERE rel) AS rank FROM v LEFT JOIN r ON q = vec_id GROUP BY v.vec_id)
+        SELECT 'Recall@' || k AS metric, round(avg(CASE WHEN rank <= k THEN 1.0::DOUBLE ELSE 0 END), 4) AS value FROM f, (SELECT unnest([1, 3, 5, 10]) AS k) GROUP BY k
+        UNION ALL SELECT 'MRR', round(avg(coalesce(1.0::DOUBLE / rank, 0)), 4) FROM f"""
+
+
 ORACLE_SQL = {
     "q01_hybrid_search": _hybrid_sql(_TOP),
     "q02_bm25_scores": _hybrid_sql(_BM25),
@@ -354,13 +389,13 @@ ORACLE_SQL = {
         WITH c AS (SELECT CAST(count(*) FILTER (WHERE coalesce(toxic, 0) <> 1 AND quality = 1) AS BIGINT) AS passed, CAST(count(*) FILTER (WHERE toxic = 1) AS BIGINT) AS hallucinated,
             CAST(count(*) FILTER (WHERE coalesce(toxic, 0) <> 1 AND coalesce(quality, 0) <> 1) AS BIGINT) AS low, count(*) + 10 AS total FROM labels)
         SELECT *, round(passed * 100.0 / total, 1)::DOUBLE AS passed_rate, round(hallucinated * 100.0 / total, 1)::DOUBLE AS hallucinated_rate, round(low * 100.0 / total, 1)::DOUBLE AS low_rate FROM c""",
-    "q24_recall_at_k_mrr": """
-        WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-        s AS (SELECT a.vec_id AS q, b.vec_id AS c, a.label = b.label AS rel, round(list_inner_product(a.e, b.e) / ((sqrt(list_inner_product(a.e, a.e)) + 1e-9) * (sqrt(list_inner_product(b.e, b.e)) + 1e-9)), 12) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id),
-        r AS (SELECT q, rel, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS rank FROM s),
-        f AS (SELECT v.vec_id, min(rank) FILTER (WHERE rel) AS rank FROM v LEFT JOIN r ON q = vec_id GROUP BY v.vec_id)
-        SELECT 'Recall@' || k AS metric, round(avg(CASE WHEN rank <= k THEN 1.0::DOUBLE ELSE 0 END), 4) AS value FROM f, (SELECT unnest([1, 3, 5, 10]) AS k) GROUP BY k
-        UNION ALL SELECT 'MRR', round(avg(coalesce(1.0::DOUBLE / rank, 0)), 4) FROM f""",
+    "q24_recall_at_k_mrr": _quality_sql("embedding"),
+    "q37_crawl_counts": """
+        WITH d AS (SELECT DISTINCT url FROM pages WHERE page_id % 3 = 0), m AS (SELECT p.page_id, d.url IS NULL AS fresh FROM pages p LEFT JOIN d USING (url))
+        SELECT count(*) FILTER (WHERE fresh) AS "new", count(*) FILTER (WHERE NOT fresh) AS skipped, count(*) FILTER (WHERE fresh AND page_id % 7 = 0) AS "empty" FROM m""",
+    "q38_compare_models": f"SELECT metric, w.value AS whole, h.value AS half FROM ({_quality_sql('embedding')}) w JOIN ({_quality_sql('embedding[1:32]')}) h USING (metric)",
+    "q39_first_rows_split": "SELECT doc_id, 'train' AS split FROM labels UNION ALL (SELECT doc_id, 'eval' FROM labels ORDER BY doc_id LIMIT 50)",
+    "q41_index_scan": f"SELECT md5(CAST(doc_id AS VARCHAR)) AS doc_id, lang AS category, md5('Title: ' || {_TITLE} || chr(10) || chr(10) || {_BODY}) AS document_md5 FROM documents WHERE lang = 'de'",
     "q25_ordered_distinct_corpus": "SELECT min(doc_id) AS doc_id, row_number() OVER (ORDER BY min(doc_id)) - 1 AS corpus_id FROM documents GROUP BY text",
     "q26_interleave_batches": """
         WITH g AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY text ORDER BY doc_id) AS INTEGER) AS rn, min(doc_id) OVER (PARTITION BY text) AS first FROM documents)

@@ -150,6 +150,13 @@ def until_older(items: DataFrame, year: str, *order: str) -> DataFrame:
     return before_stop(items, of < year, *(order or ("page", "position"))).filter(of == year)
 
 
+def crawl_counts(items: DataFrame, done: DataFrame, key: str = "url", body: str = "body") -> DataFrame:
+    """One row (new, skipped, empty): items not seen before, items that were, and new ones without a body."""
+    marked = items.join(done.select(key).distinct().withColumn("_seen", F.lit(True)), key, "left")
+    new = F.col("_seen").isNull()
+    return marked.agg(F.count_if(new).alias("new"), F.count_if(~new).alias("skipped"), F.count_if(new & (T.strip(F.coalesce(body, F.lit(""))) == "")).alias("empty"))
+
+
 def bodies(pages: DataFrame, element: str | None = None, host: str = "") -> DataFrame:
     """(url, text, images, pdfs): text joined by spaces, images worth OCR and PDF links in the order of the page."""
     schema = pa.schema([("url", pa.string()), ("text", pa.string()), ("images", pa.list_(pa.string())), ("links", pa.list_(pa.list_(pa.string())))])
