@@ -28,7 +28,7 @@ from tesserae.llm.common import record_batch, slices
 
 OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
 _LETTERS = bytes.maketrans(bytes(range(128)), bytes(b if chr(b).isalpha() else 32 for b in range(128)))
-LEVEL = 3
+LEVEL = 6
 #: A text of at least this many bytes is rejected when the next language needs less than this share more.
 NARROW_BYTES, NARROW_MARGIN = 64, 0.003
 
