@@ -91,6 +91,7 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, bounds: np.ndarray, x: np.nda
     near = np.take_along_axis(near, order, axis=1)
     base = (q * q).sum(1) + longest**2  # squared distance = base - 2 * product
     score = np.full((len(q), len(x)), -np.inf)
+    own = np.nonzero(ids[None, :] == q_ids[:, None])
     kth, active, done, n_leaves = bounds.copy(), np.arange(len(q)), 0, len(tree.leaves)
     while len(active) and done < n_leaves:
         until = min(n_leaves, max(4, 2 * done))
@@ -101,12 +102,12 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, bounds: np.ndarray, x: np.nda
             score[np.ix_(who, at)] = q[who] @ x[at].T
         done = until
         if done < n_leaves:
-            score[active[:, None], :] = np.where(ids[None, :] == q_ids[active, None], -np.inf, score[active])
+            score[own] = -np.inf
             if len(x) >= k:
                 kth[active] = np.maximum(kth[active], np.partition(score[active], len(x) - k, axis=1)[:, len(x) - k])
             limit = quantile * np.maximum(0, base[active] - 2 * kth[active])
             active = active[~(near[active, done] >= limit)]
-    score[ids[None, :] == q_ids[:, None]] = -np.inf
+    score[own] = -np.inf
     for j in range(len(q)):
         for place in best(score[j], ids, k):
             yield j, place, score[j, place]

@@ -178,6 +178,24 @@ def test_kd_tree():
     assert ann.KdTree(np.zeros((200, 3))).low.shape[1] == 3  # equal points
 
 
+def test_projected_search_of_a_block():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 24))
+    x = centres[rng.integers(0, 30, 3000)] + 0.3 * rng.normal(size=(3000, 24))
+    ids, q_ids = np.arange(3000), np.arange(0, 3000, 100)
+    longest = float(np.sqrt((x * x).sum(1).max()))
+    found = {}
+    for j, place, score in ann.search_block(x[q_ids], q_ids, np.full(len(q_ids), -np.inf), x, ids, longest, 20, ann.chi_square_quantile(ann.CONFIDENCE, ann.DIRECTIONS)):
+        assert place != q_ids[j] and abs(score - x[place] @ x[q_ids[j]]) < 1e-9
+        found.setdefault(j, set()).add(int(place))
+    hit = 0
+    for j, q in enumerate(q_ids):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(found[j] & set(np.argsort(-s)[:20].tolist()))
+    assert hit >= 0.9 * 20 * len(q_ids)
+
+
 def test_shingles():
     assert len(minhash.shingles(None, 3)) == len(minhash.shingles(" \n", 3)) == 0
     assert len(minhash.shingles("one two", 3)) == 1 and minhash.shingles("one two", 3)[0] != minhash.shingles("one two x", 3)[0]
