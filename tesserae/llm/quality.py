@@ -1,6 +1,6 @@
 """Operator 1: a quality classifier on random-indexing word vectors.
 
-Every word of the vocabulary has a sparse random index vector, drawn from a hash of the word; its word vector is the
+Every word of the vocabulary has a sparse random index vector, made from a hash of the word; its word vector is the
 sum of the index vectors of its neighbours in the sample, normalised, plus its own. Words stand beside tokens for their
 shape (capitals, digits, lengths), runs of marks, and a document's own measures (length, share of repeated words), which
 are words like others, so that texts of unknown words have vectors too. A document is the mean of its vectors, from its
@@ -22,6 +22,7 @@ import operator
 import pickle
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,18 @@ DIM, NONZERO, WINDOW, HIDDEN, MIN_COUNT = 96, 6, 2, 48, 4
 _TOKEN = re.compile(r"\w+|[^\w\s]+|\n")
 
 
-def index_vector(word: str) -> np.ndarray:
-    """Sparse and random, but always the same for a word."""
-    rng = np.random.default_rng(zlib.crc32(word.encode("utf-8", "replace")))
-    out = np.zeros(DIM, dtype=np.float32)
-    out[rng.choice(DIM, NONZERO, replace=False)] = rng.choice([-1.0, 1.0], NONZERO)
-    return out / np.sqrt(NONZERO)
+def index_vectors(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of each word's few entries that are not zero: random, but always the same for a word."""
+    h = np.array([zlib.crc32(w.encode("utf-8", "replace")) for w in words], dtype=np.uint64)[:, None] + (np.arange(1, NONZERO + 1, dtype=np.uint64) << np.uint64(33))[None, :]
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(odd)
+    h ^= h >> np.uint64(31)
+    return (h % np.uint64(DIM)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0) / np.sqrt(NONZERO)
+
+
+def _sums(rows: np.ndarray, places: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Adds sparse entries to the rows of an n x DIM table."""
+    return np.bincount((rows[:, None] * DIM + places).ravel(), values.ravel(), n * DIM).reshape(n, DIM)
 
 
 def shape(token: str) -> str:
@@ -97,27 +104,36 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def _streams(text: str, shapes: Cache) -> tuple[list[str], list[str], list[str]]:
+    """Words, shapes and measures of a text; made anew when needed, since together they take far more memory than the texts."""
+    tokens = _TOKEN.findall(text)
+    return [t.lower() for t in tokens], [shapes[t] for t in tokens], measures(tokens)
+
+
 def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
     """Row of each known word, and the vectors; the last row is that of unknown words."""
-    streams, counts = [], {}
+    shapes, counts = Cache(shape, 200_000), Counter()
     for text in texts:
-        tokens = _TOKEN.findall(text)
-        streams.append(([t.lower() for t in tokens], [shape(t) for t in tokens], measures(tokens)))
-        for part in streams[-1]:
-            for w in part:
-                counts[w] = counts.get(w, 0) + 1
+        for part in _streams(text, shapes):
+            counts.update(part)
     rows = {w: k for k, w in enumerate(sorted(w for w, n in counts.items() if n >= MIN_COUNT))}
-    index = np.array([index_vector(w) for w in rows] + [np.zeros(DIM)], dtype=np.float32)
+    unknown = len(rows)
+    places, values = index_vectors(list(rows))
+    places, values = np.vstack([places, np.zeros((1, NONZERO), dtype=np.int64)]), np.vstack([values, np.zeros((1, NONZERO))])
+    index = _sums(np.arange(unknown + 1), places, values, unknown + 1)
     context = np.zeros_like(index)
-    for words, shapes, _ in streams:
-        for part in (words, shapes):
-            ids = np.array([rows.get(w, len(rows)) for w in part], dtype=np.int64)
-            for d in range(1, WINDOW + 1):
-                if len(ids) > d:
-                    np.add.at(context, ids[d:], index[ids[:-d]])
-                    np.add.at(context, ids[:-d], index[ids[d:]])
+    for k in range(0, len(texts), 250):
+        ids: list[int] = []
+        for text in texts[k : k + 250]:
+            for part in _streams(text, shapes)[:2]:
+                ids.extend(rows.get(w, unknown) for w in part)
+                ids.extend([unknown] * WINDOW)  # neighbours are of one text
+        at = np.array(ids, dtype=np.int64)
+        for d in range(1, WINDOW + 1):
+            context += _sums(at[d:], places[at[:-d]], values[at[:-d]], unknown + 1)
+            context += _sums(at[:-d], places[at[d:]], values[at[d:]], unknown + 1)
     context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
-    vectors = index + context
+    vectors = (index + context).astype(np.float32)
     vectors[-1] = 0
     return rows, vectors
 
