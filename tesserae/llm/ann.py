@@ -9,7 +9,7 @@ from a fixed sample of rows, so that a block without near rows ends early.
 Nearness is the largest inner product. With a coordinate that brings all vectors to one length, it is the smallest
 distance. The sample is bounded by ``SEEDS`` rows; every row is indexed.
 
-Vectors that are null, empty, all zero, or hold null or non-finite components take no part; rows of another number of
+Vectors that are null, empty, all zero, or hold null or non-finite components (or ones of 1e150 and more) take no part; rows of another number of
 components are not compared; rows that share the query's id count as its own. Ties go to the smaller id; with fewer
 candidates than k all that are found are returned. Other columns are not carried.
 """

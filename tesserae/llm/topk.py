@@ -7,7 +7,7 @@ candidate's coordinates can be, and candidates outside are cut (coordinate pruni
 the score are cut (length pruning). What is left is verified by its product in whole numbers.
 
 Vectors are quantised to floor(scale * x) in double. Vectors that are null, empty, or hold null or non-finite
-components take no part; rows of another number of components are not compared; rows that share the query's id count as
+components (or ones of 1e150 and more) take no part; rows of another number of components are not compared; rows that share the query's id count as
 its own. Zero vectors take part. Ties go to the smaller id; with fewer candidates than k all are returned; a query without
 candidates has no row. Products beyond 64 bits are cut to the largest or smallest. Other columns are not carried.
 """

@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 #: Rows of a block of candidates and of one of queries at most, and the blocks there are even for few rows.
 BLOCK_ROWS, QUERY_ROWS, MIN_BLOCKS = 32_768, 8192, 12
+LARGEST = 1e150
 
 
 def valid(vectors: DataFrame, id_col: str, vector_col: str, zero: bool) -> DataFrame:
-    """id and vector (array<double>) of the rows that take part: no null, NaN or infinite component; with ``zero`` all-zero vectors too."""
+    """id and vector (array<double>) of the rows that take part: no null, NaN or infinite component, and none of LARGEST or more, whose square would be infinite; with ``zero`` all-zero vectors too."""
     v = F.col("v")
-    kept = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    kept = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LARGEST))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & kept)
     return rows if zero else rows.filter(F.exists(v, lambda x: x != 0))
 
