@@ -76,7 +76,7 @@ class Model:
     def _ready(self):
         unknown = len(self.rows)
         get = self.rows.get
-        self._row = Cache(lambda token: (get(token.lower(), unknown), get(shape(token), unknown)), 200_000)
+        self._row = Cache(lambda token: (get(token.lower(), unknown), get(shape(token), unknown)), 100_000)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_row"}
@@ -110,21 +110,31 @@ def _streams(text: str, shapes: Cache) -> tuple[list[str], list[str], list[str]]
     return [t.lower() for t in tokens], [shapes[t] for t in tokens], measures(tokens)
 
 
+def _buckets(words: list[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) & ((1 << 22) - 1) for w in words), dtype=np.int64, count=len(words))
+
+
 def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
     """Row of each known word, and the vectors; the last row is that of unknown words."""
-    shapes, counts = Cache(shape, 200_000), Counter()
+    shapes, counts = Cache(shape, 40_000), Counter()
+    # counts by hash first, so that the many rare words need not be held
+    buckets = np.zeros(1 << 22, dtype=np.int32)
+    for text in texts:
+        for part in _streams(text, shapes):
+            np.add.at(buckets, _buckets(part), 1)
     for text in texts:
         for part in _streams(text, shapes):
-            counts.update(part)
+            counts.update(w for w, often in zip(part, (buckets[_buckets(part)] >= MIN_COUNT).tolist(), strict=True) if often)
     rows = {w: k for k, w in enumerate(sorted(w for w, n in counts.items() if n >= MIN_COUNT))}
+    del counts, buckets
     unknown = len(rows)
     places, values = index_vectors(list(rows))
     places, values = np.vstack([places, np.zeros((1, NONZERO), dtype=np.int64)]), np.vstack([values, np.zeros((1, NONZERO))])
-    index = _sums(np.arange(unknown + 1), places, values, unknown + 1)
+    index = _sums(np.arange(unknown + 1), places, values, unknown + 1).astype(np.float32)
     context = np.zeros_like(index)
-    for k in range(0, len(texts), 250):
+    for k in range(0, len(texts), 100):
         ids: list[int] = []
-        for text in texts[k : k + 250]:
+        for text in texts[k : k + 100]:
             for part in _streams(text, shapes)[:2]:
                 ids.extend(rows.get(w, unknown) for w in part)
                 ids.extend([unknown] * WINDOW)  # neighbours are of one text
@@ -133,7 +143,7 @@ def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
             context += _sums(at[d:], places[at[:-d]], values[at[:-d]], unknown + 1)
             context += _sums(at[:-d], places[at[d:]], values[at[d:]], unknown + 1)
     context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
-    vectors = (index + context).astype(np.float32)
+    vectors = index + context
     vectors[-1] = 0
     return rows, vectors
 
@@ -186,7 +196,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return model
 
 
-def fit_on_tables(docs: DataFrame, labels: DataFrame, learn_from, rows_per_class: int = 2500, chars_per_row: int = 20_000, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit_on_tables(docs: DataFrame, labels: DataFrame, learn_from, rows_per_class: int = 2000, chars_per_row: int = 10_000, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits on a sample of the labelled rows for which the column ``learn_from`` holds; what is gathered is bounded by the parameters."""
     known = labels.filter(learn_from & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
     known = known.withColumn("_u", F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30))
