@@ -262,3 +262,32 @@ def test_query_digests(spark):
         at += starts[i][1]
     for r in queries.op5_packing(spark, SF).limit(50).collect():
         assert 0 <= r["ids_crc32"] < 1 << 32 and zlib.crc32(b"") == 0
+
+
+def test_minhash_query(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = queries.op6_minhash(spark, SF).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(sorted(texts.items()), 3, 85)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got) and len(got) == len(texts)
+
+
+def test_pages_query(spark):
+    """These pages keep their text in an article, whose tags can simply be taken out."""
+    import html as references
+    import re
+
+    rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    got = {r["page_id"]: r for r in queries.op10_html(spark, SF).collect()}
+    for r in rows:
+        article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        want = " ".join(references.unescape(re.sub(r"<[^>]*>", "\n", article)).split())
+        assert (got[r["page_id"]]["text"], got[r["page_id"]]["n_chars"]) == (want, len(want))
+
+
+def test_packing_query(spark):
+    rows = queries.op5_packing(spark, SF).collect()
+    sizes: dict = {}
+    for r in rows:
+        sizes[r["sequence_id"]] = sizes.get(r["sequence_id"], 0) + r["length"]
+    assert all(n == 1024 or n & (n - 1) == 0 for n in sizes.values())
+    assert sum(sizes.values()) == sum({r["doc_id"]: r["doc_tokens"] for r in rows}.values())
