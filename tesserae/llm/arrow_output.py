@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import tokens
-from tesserae.llm.common import ensure_dir, filesystem, record_batch, shuffle_partitions, slices
+from tesserae.llm.common import active, ensure_dir, filesystem, record_batch, shuffle_partitions, slices
 
 PLACES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 CODED = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
@@ -102,6 +102,7 @@ def write_sequences(docs: DataFrame, folder: str, vocabulary: str, end_id: int =
     end = np.array([end_id], dtype="<u2").tobytes()
 
     def encode(batches):
+        active("token files")
         coder = tokens.word_level(vocabulary)
         for part in slices(batches):
             doc = part.column(0)

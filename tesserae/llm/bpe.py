@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tesserae.llm.common import record_batch, slices
+from tesserae.llm.common import active, record_batch, released_by_others, slices
 from tesserae.llm.tokens import SpacedEncoder, byte_map, mapped
 
 OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
@@ -84,10 +84,14 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
+released_by_others(codec.cache_clear)
+
+
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit) and decoded (binary: the bytes that the ids stand for)."""
 
     def run(batches):
+        active("bpe")
         c = codec(ranks_path, pattern)
         for part in slices(batches):
             ids = c.encoder.many(part.column(1))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -94,3 +97,28 @@ def ensure_dir(uri: str) -> None:
 
 def exists(path: str) -> bool:
     return os.path.exists(path)
+
+
+_RELEASES: dict = {}
+_ACTIVE = ""
+
+
+def released_by_others(clear):
+    """Registers what empties an operator's cache in a Python worker; see active()."""
+    _RELEASES[f"{clear.__module__}.{id(clear)}"] = clear
+    return clear
+
+
+def active(owner: str) -> None:
+    """Called where an operator starts in a Python worker. Workers live on from stage to stage: when another operator takes
+    over, the caches of the one before are emptied and their memory goes back to the system."""
+    global _ACTIVE
+    if _ACTIVE == owner:
+        return
+    if _ACTIVE:
+        for clear in _RELEASES.values():
+            clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # not everywhere
+            ctypes.CDLL(None).malloc_trim(0)
+    _ACTIVE = owner

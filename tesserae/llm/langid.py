@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import record_batch, slices
+from tesserae.llm.common import active, record_batch, released_by_others, slices
 
 OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
 _LETTERS = bytes.maketrans(bytes(range(128)), bytes(b if chr(b).isalpha() else 32 for b in range(128)))
@@ -73,6 +73,9 @@ def _compressors(texts: tuple[tuple[str, bytes], ...]) -> list:
     return out
 
 
+released_by_others(_compressors.cache_clear)
+
+
 def classify(text: str | None, compressors: list) -> tuple[str, float, bool]:
     """Language, score and whether it is accepted."""
     if not text or not compressors or not any(c.isalpha() for c in text):
@@ -90,6 +93,7 @@ def identify(docs: DataFrame, texts: dict[str, bytes], id_col: str = "doc_id", t
     fixed = tuple(sorted(texts.items()))
 
     def run(batches):
+        active("language")
         compressors = _compressors(fixed)
         for part in slices(batches):
             rows = [classify(t, compressors) for t in part.column(1).to_pylist()]

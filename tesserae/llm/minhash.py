@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import record_batch, shared_dir, slices, written
+from tesserae.llm.common import active, record_batch, shared_dir, slices, written
 from tesserae.llm.graph import components
 
 COORDINATES, MATCHES = 24, 11
@@ -69,6 +69,7 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
+        active("minhash")
         for part in slices(batches):
             sets = [shingles(t, words) for t in part.column(1).to_pylist()]
             yield record_batch(SIGNED, part.column(0), [len(s) for s in sets], [xxhash.xxh128_digest(s.tobytes()) for s in sets], [signature(s).view(np.int64) if len(s) else None for s in sets])

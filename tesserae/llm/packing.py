@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tesserae.llm import tokens
-from tesserae.llm.common import record_batch, slices
+from tesserae.llm.common import active, record_batch, slices
 
 OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -67,6 +67,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, end_id: int =
     end = np.array([end_id], dtype="<u2").tobytes()
 
     def run(batches):
+        active("packing")
         encode = tokens.byte_level(vocabulary, pattern)
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 36

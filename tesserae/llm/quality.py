@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import record_batch, slices
+from tesserae.llm.common import active, record_batch, slices
 from tesserae.llm.tokens import Cache
 
 OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -213,6 +213,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def run(batches):
+        active("quality")
         model = pickle.loads(sent.value)
         for part in slices(batches, 4 << 20):
             yield record_batch(OUT, part.column(0), pa.array(model.score(part.column(1).to_pylist())))

@@ -6,13 +6,15 @@ source, n_chars. Rows without a doc_id cannot be traced and go in the first stag
 
 from __future__ import annotations
 
+import pickle
+
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import langid, minhash, packing, quality, suffix_dedup
-from tesserae.llm.common import held_out, record_batch, slices, table
+from tesserae.llm.common import active, held_out, record_batch, slices, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -22,11 +24,12 @@ def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi").select(COLUMNS)
 
 
-def _row_filter(docs: DataFrame, judge) -> DataFrame:
+def _row_filter(docs: DataFrame, owner: str, judge) -> DataFrame:
     """Keeps the rows for whose texts judge gives True, where they are."""
     docs = docs.select(COLUMNS)
 
     def run(batches):
+        active(owner)
         for part in slices(batches):
             yield part.filter(pa.array(judge(part.column(1).to_pylist()), pa.bool_()))
 
@@ -36,14 +39,21 @@ def _row_filter(docs: DataFrame, judge) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that language identification rejects: without a letter, or with two languages about as likely."""
     texts = tuple(sorted(langid.dictionaries(docs, ~held_out()).items()))
-    return _row_filter(docs.filter("doc_id is not null"), lambda rows: [langid.classify(t, langid._compressors(texts))[2] for t in rows])
+    return _row_filter(docs.filter("doc_id is not null"), "language", lambda rows: [langid.classify(t, langid._compressors(texts))[2] for t in rows])
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose probability of quality is under 0.7."""
     model = quality.fit_on_tables(docs, table(spark, sf_dir, "labels"), ~held_out())
-    sent = spark.sparkContext.broadcast(model)
-    return _row_filter(docs, lambda rows: sent.value.score(rows) >= 0.7)
+    sent = spark.sparkContext.broadcast(pickle.dumps(model))  # each task has its own model and cache, and drops them
+    held: dict = {}
+
+    def judge(rows):
+        if "model" not in held:
+            held["model"] = pickle.loads(sent.value)
+        return held["model"].score(rows) >= 0.7
+
+    return _row_filter(docs, "quality", judge)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

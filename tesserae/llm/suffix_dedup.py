@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import record_batch, shuffle_partitions, slices, written
+from tesserae.llm.common import active, record_batch, released_by_others, shuffle_partitions, slices, written
 
 #: Bytes whose hash makes an anchor, bytes hashed at once, suffixes of one sorted run, and suffixes sampled for splitters.
 ANCHOR, BLOCK, RUN, SAMPLE = 28, 2 << 20, 100_000, 20_000
@@ -61,6 +61,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(out)
 
 
+released_by_others(_powers.cache_clear)
+
+
 def _hashes(data: np.ndarray, width: int) -> np.ndarray:
     """A hash of every ``width`` bytes."""
     down, up = _powers(1 << max(16, (len(data) - 1).bit_length()))
@@ -151,6 +154,7 @@ def _text_runs(docs: DataFrame, length: int) -> DataFrame:
             yield held_ids, held, 0
 
     def run(batches):
+        active("suffixes")
         for part in slices(batches, BLOCK):
             for ids, texts, shift in pieces(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 yield batch_runs(ids, texts, shift)

@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from tesserae.llm.common import released_by_others
+
 #: Entries of one generation of a worker's cache.
 CACHE_LIMIT = 300_000
 
@@ -192,3 +194,7 @@ def byte_level(path: str, pattern: str) -> SpacedEncoder:
 @functools.lru_cache(maxsize=2)
 def word_level(path: str) -> WordEncoder:
     return WordEncoder(_load(path))
+
+
+released_by_others(byte_level.cache_clear)
+released_by_others(word_level.cache_clear)
