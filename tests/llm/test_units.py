@@ -225,6 +225,21 @@ def test_languages():
     assert langid.classify("text", []) == ("und", 0.0, False)
 
 
+def test_long_texts_of_one_language():
+    rng = np.random.default_rng(4)
+    words = {}
+    for lang in ("aa", "bb"):
+        syllables = ["".join(rng.choice(list("abcdefghijklmnoprstu"), rng.integers(2, 4))) for _ in range(300)]
+        words[lang] = np.array(["".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(40_000)])
+    weights = 1 / np.arange(1, 40_001)
+    make = lambda lang, n: " ".join(rng.choice(words[lang], n, p=weights / weights.sum()))
+    c = langid._compressors(tuple((lang, make(lang, 50_000).encode()[:256_000]) for lang in words))
+    text = make("bb", 3_500_000)
+    assert len(text) > 20_000_000
+    for n in (64, 1000, 50_000, 1_000_000, 4_000_000, 8_000_000, 20_000_000):
+        assert langid.classify(text[:n], c)[::2] == ("bb", True), n
+
+
 def test_quality_learns():
     rng = random.Random(2)
     word = lambda: "".join(rng.choice(["the", "an", "re", "ti", "on"]) for _ in range(3))
