@@ -3,15 +3,17 @@
 Each language has a zstandard raw-content dictionary of sample text. All of a text is compressed with every dictionary,
 in parts of ``PART_BYTES`` that know nothing of each other; the language whose dictionary gives the smallest sum is
 chosen, and the result is rejected when the runner-up comes too close. Without parts a long text's own history would
-take the dictionary's place, and the lead over the runner-up would stop growing with the text. Case, digits and ASCII marks are taken out first, since they say nothing of a language.
+take the dictionary's place, and the lead over the runner-up would stop growing with the text. Sizes that tie, as those of a
+few words often do, are told apart by fractions of a byte: the text's code length under the sequences of up to four
+characters in each dictionary. Texts of any length are rejected by the same rule. Case, digits and ASCII marks are taken out first, since they say nothing of a language.
 
 The dictionaries are fitted on a bounded sample of the labelled rows: ``rows_per_lang`` rows of each language, chosen by
 a hash of the id, ``chars_per_row`` characters of each and ``dictionary_bytes`` in all. The number of languages is
 assumed to be small: their names and counts are gathered on the driver. Prediction looks at nothing but the whole text
 and needs no shuffle.
 
-Null text and text without a letter is ``und`` with score 0 and rejected. Ties go to the first language by name, with
-an even score. Rows of a null lang are not learned from; without any labelled row everything is ``und``. Empty tables
+Null text and text without a letter is ``und`` with score 0 and rejected. Where the fractions tie too, the first
+language by name is named, with an even score, and rejected. Rows of a null lang are not learned from; without any labelled row everything is ``und``. Empty tables
 give empty results; repeated rows are predicted each; other columns are not carried.
 """
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections import Counter
 
 import pyarrow as pa
 import zstandard
@@ -31,8 +34,10 @@ OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", p
 _LETTERS = bytes.maketrans(bytes(range(128)), bytes(b if chr(b).isalpha() else 32 for b in range(128)))
 LEVEL = 6
 PART_BYTES = 1 << 18
-#: A text of at least this many bytes is rejected when the next language needs less than this share more.
-NARROW_BYTES, NARROW_MARGIN = 64, 0.003
+#: A text is rejected when the next language needs less than this share more, or less than a bit.
+NARROW_MARGIN, NARROW_BYTES = 0.003, 1 / 8
+#: Longest sequence of characters that is counted for the code lengths.
+ORDER = 4
 
 
 def normalized(text: str) -> bytes:
@@ -65,14 +70,38 @@ def dictionaries(docs: DataFrame, learn_from, rows_per_lang: int = 2000, chars_p
     return {lang: text for lang, text in out.items() if len(text) >= 8}
 
 
-@functools.lru_cache(maxsize=4)
-def _compressors(texts: tuple[tuple[str, bytes], ...]) -> list:
-    out = []
-    for lang, text in texts:
+class _Coder:
+    """Sizes of texts under one dictionary."""
+
+    def __init__(self, text: bytes):
         content = zstandard.ZstdCompressionDict(text, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         content.precompute_compress(level=LEVEL)
-        out.append((lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False)))
-    return out
+        self._text = text
+        self._zstd = zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def size(self, plain: bytes) -> int:
+        return sum(len(self._zstd.compress(plain[k : k + PART_BYTES])) for k in range(0, len(plain), PART_BYTES))
+
+    @functools.cached_property
+    def _counts(self) -> list[Counter]:
+        """Of the sequences of 0 to ORDER characters; made when first needed."""
+        known = " " + self._text.decode("utf-8", "replace")
+        return [Counter({"": len(known)}), *(Counter(known[k : k + n] for k in range(len(known) - n + 1)) for n in range(1, ORDER + 1))]
+
+    def bits(self, plain: bytes) -> float:
+        """Code length, each character after up to ORDER - 1 others, shorter sequences standing in for longer ones."""
+        counts, framed, out = self._counts, f" {plain.decode('utf-8', 'replace')} ", 0.0
+        for k in range(1, len(framed)):
+            p = 1 / 256
+            for n in range(min(ORDER - 1, k) + 1):
+                p = (counts[n + 1][framed[k - n : k + 1]] + 2 * p) / (counts[n][framed[k - n : k]] + 2)
+            out -= math.log2(p)
+        return out
+
+
+@functools.lru_cache(maxsize=4)
+def _compressors(texts: tuple[tuple[str, bytes], ...]) -> list:
+    return [(lang, _Coder(text)) for lang, text in texts]
 
 
 released_by_others(_compressors.cache_clear)
@@ -83,11 +112,16 @@ def classify(text: str | None, compressors: list) -> tuple[str, float, bool]:
     if not text or not compressors or not any(c.isalpha() for c in text):
         return "und", 0.0, False
     plain = normalized(text) or text.encode("utf-8", "replace")
-    parts = [plain[k : k + PART_BYTES] for k in range(0, len(plain), PART_BYTES)]
-    sizes = sorted((sum(len(c.compress(p)) for p in parts), lang) for lang, c in compressors)
+    sizes = sorted((c.size(plain), lang) for lang, c in compressors)
     best = sizes[0][0]
+    tied = [lang for s, lang in sizes if s == best]
+    # beyond that size a fraction of a byte could not lift the rejection
+    if len(tied) > 1 and NARROW_MARGIN * best < 1:
+        bits = {lang: c.bits(plain) for lang, c in compressors if lang in tied}
+        least = min(bits.values())
+        sizes = sorted((s + min(0.99, (bits[lang] - least) / 8) if lang in bits else s, lang) for s, lang in sizes)
     score = 1 / sum(math.exp(-100 * (s - best) / best) for s, _ in sizes)
-    narrow = len(sizes) > 1 and len(plain) >= NARROW_BYTES and sizes[1][0] - best < NARROW_MARGIN * best
+    narrow = len(sizes) > 1 and sizes[1][0] - best < max(NARROW_MARGIN * best, NARROW_BYTES)
     return sizes[0][1], score, not narrow
 
 

@@ -240,6 +240,16 @@ def test_long_texts_of_one_language():
         assert langid.classify(text[:n], c)[::2] == ("bb", True), n
 
 
+def test_short_texts_whose_sizes_tie():
+    sample = {"aa": b"the thing and the other thing were there then " * 40, "bb": b"que la mente para una cion de la mente que era " * 40}
+    c = langid._compressors(tuple(sorted(sample.items())))
+    for text, lang in (("And.", "aa"), ("Una", "bb"), ("de la", "bb"), ("then", "aa"), ("ERA!", "bb")):
+        assert langid.classify(text, c)[::2] == (lang, True), text
+    for text in ("漢字", "zzzz", "z", "Z 12"):
+        lang, score, accepted = langid.classify(text, c)
+        assert not accepted and abs(score - 0.5) < 0.1
+
+
 def test_quality_learns():
     rng = random.Random(2)
     word = lambda: "".join(rng.choice(["the", "an", "re", "ti", "on"]) for _ in range(3))
