@@ -2,9 +2,10 @@
 
 A document's set is its distinct word shingles, hashed to 64 bits. Equal sets are folded into one representative first.
 Each representative is posted under its ``COORDINATES`` (coordinate, minimum) pairs. Two sets of the wanted similarity
-share at least ``MATCHES`` pairs but for a chance of about one in a million. The pairs of a document are ordered from
-rare to frequent; pairs that nobody shares are skipped, a document with fewer than MATCHES others falls out, and the rest
-need to be posted only under the prefix of that order which two documents with MATCHES common pairs must meet in.
+share at least ``matches`` pairs, a number that follows from the similarity, but for a chance of ``LOSS`` at most (from
+44 % on; below, one pair is wanted and 24 coordinates are too few for that chance). The pairs of a document are ordered
+from rare to frequent; pairs that nobody shares are skipped, a document with fewer shared ones than wanted falls out, and
+the rest need to be posted only under the prefix of that order which two documents with so many common pairs must meet in.
 
 Documents that meet in a prefix are gathered into families, families are cut by the size of their sets and, where they
 are large, by a hash, into blocks of bounded size, and each pair of blocks whose sizes allow a link is taken once. There
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import active, record_batch, shared_dir, slices, written
 from tesserae.llm.graph import components
 
-COORDINATES, MATCHES = 24, 11
+COORDINATES, LOSS = 24, 1.5e-6
 #: Documents and shingles of one block at most.
 BLOCK_DOCS, BLOCK_SHINGLES = 2048, 2_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -41,6 +42,20 @@ SETS = pa.schema([("doc_id", pa.int64()), ("items", pa.binary())])
 LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
+def matches(percent: int) -> int:
+    """The most coordinates that two sets of this similarity share but for a chance of LOSS; at least one."""
+    p, lost = percent / 100, 0.0
+    for n in range(COORDINATES):
+        lost += math.comb(COORDINATES, n) * p**n * (1 - p) ** (COORDINATES - n)
+        if lost > LOSS:
+            return max(1, n)
+    return COORDINATES
+
+
+#: At the 85 % of the query.
+MATCHES = matches(85)
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return h ^ (h >> np.uint64(29))
@@ -85,13 +100,13 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, items binary")
 
 
-def _postings(reps: DataFrame) -> DataFrame:
+def _postings(reps: DataFrame, wanted: int) -> DataFrame:
     """(doc_id, key) of the prefixes: the rarest shared coordinate-value pairs of each document."""
     posts = reps.select("doc_id", F.posexplode("signature").alias("at", "value")).select("doc_id", F.xxhash64("at", "value").alias("key"))
     counts = posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = posts.join(counts, "key").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
-    prefix = F.slice("keys", F.lit(1), F.size("keys") - (MATCHES - 1))
-    return shared.filter(F.size("keys") >= MATCHES).select("doc_id", F.explode(prefix).alias("k")).select("doc_id", F.col("k.key").alias("key"))
+    prefix = F.slice("keys", F.lit(1), F.size("keys") - (wanted - 1))
+    return shared.filter(F.size("keys") >= wanted).select("doc_id", F.explode(prefix).alias("k")).select("doc_id", F.col("k.key").alias("key"))
 
 
 def _families(posts: DataFrame) -> DataFrame:
@@ -103,6 +118,7 @@ def _families(posts: DataFrame) -> DataFrame:
 
 def _forest(percent: int):
     """Links among the documents of a pair of blocks, as few as connect what they connect."""
+    wanted = matches(percent)
 
     def links(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
@@ -121,7 +137,7 @@ def _forest(percent: int):
 
         found = ([], [])
         for i in range(1, len(ids)):
-            near = np.flatnonzero((marks[:i] == marks[i]).sum(1) >= MATCHES)
+            near = np.flatnonzero((marks[:i] == marks[i]).sum(1) >= wanted)
             near = near[100 * np.minimum(sizes[near], sizes[i]) >= percent * np.maximum(sizes[near], sizes[i])]
             if not inside:
                 near = near[side[near] != side[i]]
@@ -167,7 +183,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     signed = written(signatures(docs, words), folder)
     reps = signed.filter("n_shingles > 0").groupBy("set_hash").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("r")).select("set_hash", "r.*")
     reps = written(reps, folder)
-    families = _families(_postings(reps))
+    families = _families(_postings(reps, matches(percent)))
     members = written(families.join(reps.select("doc_id", "n_shingles"), "doc_id"), folder)
     linked = components(written(_links(docs, members, words, percent), folder))
     named = reps.select("set_hash", F.col("doc_id").alias("node")).join(linked, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))

@@ -143,6 +143,15 @@ def test_minhash_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows, 3, 85)
 
 
+def test_minhash_few_common_coordinates(spark):
+    words = [f"w6392x{k}" for k in range(24)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:20]))]  # 16 of 20 shingles, but 10 of 24 coordinates in common
+    a, b = (minhash.signature(minhash.shingles(t, 5)) for _, t in rows)
+    assert (a == b).sum() == 10
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows, 5, 80) == {1: 1, 2: 1}
+
+
 def test_minhash_without_rows(empty):
     assert minhash.near_duplicates(empty).count() == 0
 

@@ -1,5 +1,6 @@
 """The parts of the training-data operators against brute force and the public libraries."""
 
+import math
 import random
 import zlib
 
@@ -214,6 +215,14 @@ def test_signature_estimates_similarity():
     assert misses == 0
 
 
+def test_coordinates_wanted_of_a_similarity():
+    assert [minhash.matches(p) for p in (1, 80, 85, 100)] == [1, 9, 11, minhash.COORDINATES]
+    n = minhash.COORDINATES
+    for p in range(44, 101):
+        lost = sum(math.comb(n, k) * (p / 100) ** k * (1 - p / 100) ** (n - k) for k in range(minhash.matches(p)))
+        assert lost <= minhash.LOSS
+
+
 def test_languages():
     rng = random.Random(1)
     words = {"aa": ["the", "and", "thing", "other"], "bb": ["que", "mente", "cion", "para"]}
