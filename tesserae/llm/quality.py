@@ -8,7 +8,8 @@ whole text. A network of two layers, in numpy, gives a logit, and a temperature
 on makes it a probability.
 
 The model is fitted on a bounded sample of the labelled rows: at most ``rows_per_class`` of each label, chosen by a hash
-of the id, and at most ``chars_per_row`` characters of each. Scoring reads whole texts, handles every row by itself and
+of the id. A text's own measures are taken from all of it, where it lies; of its words, the fit sees at most
+``chars_per_row`` characters, in windows from the start to the end of the text. Scoring reads whole texts, handles every row by itself and
 shuffles nothing.
 
 Null text counts as empty, which has a score as well: that of its measures alone. Rows of a null label or text are not
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tesserae.llm.common import active, record_batch, slices
 from tesserae.llm.tokens import Cache
@@ -85,9 +87,10 @@ class Model:
         self.__dict__.update(state)
         self._ready()
 
-    def pooled(self, text: str | None) -> np.ndarray:
+    def pooled(self, text: str | None, measured: list[str] | None = None) -> np.ndarray:
+        """The vector of a text; measured: the measures of the whole, where the text is a part."""
         tokens = _TOKEN.findall(text or "")
-        extra = self.vectors[[self.rows.get(w, len(self.rows)) for w in measures(tokens)]].sum(0)
+        extra = self.vectors[[self.rows.get(w, len(self.rows)) for w in measured or measures(tokens)]].sum(0)
         if not tokens:
             return np.concatenate([np.zeros(2 * DIM, dtype=np.float32), extra])
         rows = np.array(list(map(self._row.__getitem__, tokens)))
@@ -104,26 +107,34 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def _streams(text: str, shapes: Cache) -> tuple[list[str], list[str], list[str]]:
-    """Words, shapes and measures of a text; made anew when needed, since together they take far more memory than the texts."""
+def windows(text: str, chars: int, count: int = 5) -> str:
+    """At most about so many characters of a text: all of it, or windows at even distances, the first at its start, the last at its end."""
+    if len(text) <= chars:
+        return text
+    width = chars // count
+    return " ".join(text[at : at + width] for at in (k * (len(text) - width) // (count - 1) for k in range(count)))
+
+
+def _streams(text: str, shapes: Cache) -> tuple[list[str], list[str]]:
+    """Words and shapes of a text; made anew when needed, since together they take far more memory than the texts."""
     tokens = _TOKEN.findall(text)
-    return [t.lower() for t in tokens], [shapes[t] for t in tokens], measures(tokens)
+    return [t.lower() for t in tokens], [shapes[t] for t in tokens]
 
 
 def _buckets(words: list[str]) -> np.ndarray:
     return np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) & ((1 << 22) - 1) for w in words), dtype=np.int64, count=len(words))
 
 
-def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Row of each known word, and the vectors; the last row is that of unknown words."""
+def word_vectors(texts: list[str], extras: list[list[str]]) -> tuple[dict[str, int], np.ndarray]:
+    """Row of each known word, and the vectors; the last row is that of unknown words. extras: the measures of each text."""
     shapes, counts = Cache(shape, 40_000), Counter()
     # counts by hash first, so that the many rare words need not be held
     buckets = np.zeros(1 << 22, dtype=np.int32)
-    for text in texts:
-        for part in _streams(text, shapes):
+    for text, extra in zip(texts, extras, strict=True):
+        for part in (*_streams(text, shapes), extra):
             np.add.at(buckets, _buckets(part), 1)
-    for text in texts:
-        for part in _streams(text, shapes):
+    for text, extra in zip(texts, extras, strict=True):
+        for part in (*_streams(text, shapes), extra):
             counts.update(w for w, often in zip(part, (buckets[_buckets(part)] >= MIN_COUNT).tolist(), strict=True) if often)
     rows = {w: k for k, w in enumerate(sorted(w for w, n in counts.items() if n >= MIN_COUNT))}
     del counts, buckets
@@ -135,7 +146,7 @@ def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
     for k in range(0, len(texts), 100):
         ids: list[int] = []
         for text in texts[k : k + 100]:
-            for part in _streams(text, shapes)[:2]:
+            for part in _streams(text, shapes):
                 ids.extend(rows.get(w, unknown) for w in part)
                 ids.extend([unknown] * WINDOW)  # neighbours are of one text
         at = np.array(ids, dtype=np.int64)
@@ -179,13 +190,15 @@ def temperature_of(z: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
+def fit(texts: list[str], labels: list[int], measured: list[list[str]] | None = None) -> Model:
+    """measured: the measures of the whole texts, where the texts are parts."""
     y = np.array(labels, dtype=float)
     if len(set(labels)) < 2 or len(labels) < 10:
         return Model({}, np.zeros((1, DIM), dtype=np.float32), None, 1.0, float(y.mean()) if len(y) else 0.5)
-    rows, vectors = word_vectors(texts)
+    measured = measured or [measures(_TOKEN.findall(t)) for t in texts]
+    rows, vectors = word_vectors(texts, measured)
     model = Model(rows, vectors, None, 1.0, float(y.mean()))
-    x = np.array([model.pooled(t) for t in texts], dtype=float)
+    x = np.array([model.pooled(t, m) for t, m in zip(texts, measured, strict=True)], dtype=float)
     order = np.random.default_rng(3).permutation(len(y))
     cut = max(1, len(y) // 5)
     aside, rest = order[:cut], order[cut:]
@@ -203,9 +216,18 @@ def fit_on_tables(docs: DataFrame, labels: DataFrame, learn_from, rows_per_class
     counts = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("_label") == 1, min(1.0, rows_per_class / max(1, counts.get(1, 1)))).otherwise(min(1.0, rows_per_class / max(1, counts.get(0, 1))))
     sample = known.filter(F.col("_u") < share).groupBy("_id").agg(F.max("_label").alias("_label"))
-    found = docs.select(F.col(id_col).alias("_id"), F.substring(F.col(text_col), 1, chars_per_row).alias("_text")).filter(F.col("_text").isNotNull()).join(F.broadcast(sample), "_id")
-    rows = sorted((r["_id"], r["_label"], r["_text"]) for r in found.toLocalIterator())
-    return fit([r[2] for r in rows], [r[1] for r in rows])
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).filter(F.col("_text").isNotNull()).join(F.broadcast(sample), "_id").select("_id", "_text", "_label")
+
+    def run(batches):
+        active("quality")
+        for part in slices(batches, 4 << 20):
+            texts = part.column(1).to_pylist()
+            measured = [measures(_TOKEN.findall(t)) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([windows(t, chars_per_row) for t in texts], pa.string()), part.column(2), pa.array(measured, pa.list_(pa.string()))], ["_id", "_text", "_label", "_measured"])
+
+    parts = found.mapInArrow(run, StructType([*found.schema, StructField("_measured", ArrayType(StringType()))]))
+    rows = sorted((r["_id"], r["_label"], r["_text"], r["_measured"]) for r in parts.toLocalIterator())
+    return fit([r[2] for r in rows], [r[1] for r in rows], [r[3] for r in rows])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -224,6 +224,17 @@ def test_language_and_quality_tables(docs, empty):
     assert quality.score(empty, model).count() == 0
 
 
+def test_quality_measures_whole_texts(spark):
+    rng = np.random.default_rng(3)
+    prose = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 300, n))
+    rows = [(k, prose(9000), 1) for k in range(24)] + [(100 + k, prose(int(rng.integers(900, 2000))), 1) for k in range(60)] + [(200 + k, "JUNK!! " * int(rng.integers(900, 9000)), 0) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit_on_tables(docs.drop("quality"), docs.drop("text"), F.col("doc_id") % 4 != 2)
+    long = [t for _, t, _ in rows[:24]]
+    assert all(len(t) > 30_000 and w in model.rows for t in long for w in quality.measures(quality._TOKEN.findall(t)))
+    assert (model.score(long) >= 0.7).all() and (model.score([t for _, t, q in rows if q == 0]) < 0.7).all()
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}

@@ -271,6 +271,13 @@ def test_quality_learns():
     assert quality.fit(["a"], [1]).score(["b"])[0] == 1.0 and quality.fit([], []).score([None])[0] == 0.5
 
 
+def test_windows():
+    text = "".join(map(str, range(100_000)))
+    cut = quality.windows(text, 1000).split(" ")
+    assert [len(w) for w in cut] == [200] * 5 and text.startswith(cut[0]) and text.endswith(cut[-1]) and all(w in text for w in cut)
+    assert quality.windows("short", 5) == "short" and quality.windows("", 5) == ""
+
+
 def test_temperature():
     rng = np.random.default_rng(0)
     y = (rng.random(4000) < 0.5).astype(float)
