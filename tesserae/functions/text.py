@@ -128,9 +128,13 @@ def parsed_json(c: Column | str, schema: str) -> Column:
     return F.from_json(repaired_json(c), schema)
 
 
+#: In a rate-limit error, the seconds to wait.
+RETRY = r"retry[^0-9]{0,40}(\d{1,8})"
+
+
 def retry_delay(message: Column | str) -> Column:
     """Seconds to wait after a rate-limit error: what it says and 2 more, else 60."""
-    said = F.regexp_extract(col(message), r"retry[^0-9]{0,40}(\d{1,8})", 1)
+    said = F.regexp_extract(col(message), RETRY, 1)
     return F.coalesce(F.nullif(said, F.lit("")).cast("int") + 2, F.lit(60))
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from tesserae.functions import text as T
 
 _LOADED: dict = {}
+#: Tries of a model that is limited in its rate.
+TRIES = 5
 
 
 def loaded(model):
@@ -78,16 +81,33 @@ class EchoTextModel:
         return reply
 
 
-def ask(prompt: Column, model=None) -> Column:
-    """The model's reply to each prompt, '' on error. Filter rows before: a Python function runs for every row it gets."""
+def replies(model, prompts: list, sleep=time.sleep) -> list:
+    """The replies to a batch. A rate limit (429) is waited for, as long as it says, in five tries at most; other errors are raised."""
+    for attempt in range(TRIES):
+        try:
+            return list(loaded(model)(prompts))
+        except Exception as e:
+            if "429" not in str(e):
+                raise
+            if attempt == TRIES - 1:
+                raise RuntimeError(f"no reply in {TRIES} tries") from e
+            said = re.search(T.RETRY, str(e))
+            sleep(int(said.group(1)) + 2 if said else 60)  # as T.retry_delay
+
+
+def ask(prompt: Column, model=None, otherwise: str | None = None) -> Column:
+    """The model's reply to each prompt. An error, after the tries of replies(), ends the query; where ``otherwise`` is given it
+    stands for the replies of the batch instead. Filter rows before: a Python function runs for every row it gets."""
     model = model or EchoTextModel()
 
     @F.pandas_udf("string")
     def run(batches: pd.Series) -> pd.Series:
         try:
-            return pd.Series(loaded(model)(batches.tolist()))
-        except Exception:  # noqa: BLE001  a failing service gives no reply
-            return pd.Series([""] * len(batches))
+            return pd.Series(replies(model, batches.tolist()))
+        except Exception:
+            if otherwise is None:
+                raise
+            return pd.Series([otherwise] * len(batches))
 
     return run(prompt)
 
@@ -97,14 +117,14 @@ def summarize(title: Column, body: Column, model=None) -> Column:
     plain = T.extractive_summary(body)
     if model is None:
         return plain
-    return F.coalesce(F.nullif(ask(F.concat(title, F.lit("\n\n"), F.substring(body, 1, 512)), model), F.lit("")), plain)
+    return F.coalesce(F.nullif(ask(F.concat(title, F.lit("\n\n"), F.substring(body, 1, 512)), model, otherwise=""), F.lit("")), plain)
 
 
 def classify(title: Column, body: Column, rules: Column, labels: list[str], model=None) -> Column:
     """The model's label of title and the first 200 characters, where it is among the labels; else by rules."""
     if model is None:
         return rules
-    said = ask(F.concat(title, F.lit(" "), F.substring(body, 1, 200)), model)
+    said = ask(F.concat(title, F.lit(" "), F.substring(body, 1, 200)), model, otherwise="")
     return F.when(said.isin(*labels), said).otherwise(F.when(said == "", rules).otherwise("other"))
 
 

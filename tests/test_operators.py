@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
@@ -186,3 +187,42 @@ def test_plans(spark, tmp_path):
     top = index.orderBy(F.desc("id")).limit(3)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in top
     assert "Python" not in index.select(T.clean_title("text"), T.clean_url("text"))._jdf.queryExecution().executedPlan().toString()
+
+
+def failing(message, times):
+    """A model that fails so many times with a message, then answers. Its class is local, so that workers need not import it."""
+
+    class Failing:
+        def __init__(self):
+            self.message, self.times = message, times
+
+        def load(self):
+            left = [self.times]
+
+            def reply(prompts):
+                left[0] -= 1
+                if left[0] >= 0:
+                    raise RuntimeError(self.message)
+                return ["fine"] * len(prompts)
+
+            return reply
+
+    return Failing()
+
+
+def test_replies_retry_rate_limits_only():
+    waits = []
+    assert models.replies(failing("429: retryDelay: 7s", 2), ["a", "b"], waits.append) == ["fine", "fine"] and waits == [9, 9]
+    assert models.replies(failing("429", 4), ["a"], waits.append) == ["fine"] and waits[2:] == [60] * 4
+    with pytest.raises(RuntimeError, match="5 tries"):
+        models.replies(failing("429 again", 5), ["a"], waits.append)
+    with pytest.raises(RuntimeError, match="denied"):
+        models.replies(failing("denied", 1), ["a"], waits.append)
+    assert len(waits) == 10
+
+
+def test_judging_fails_with_its_model(spark):
+    pairs = spark.createDataFrame([("q", "a claim that is long enough.", "notice")], "question string, answer string, notice string")
+    with pytest.raises(Exception, match="denied"):
+        qa.judge(pairs, failing("denied", 99)).collect()
+    assert pairs.select(models.summarize(F.col("question"), F.col("answer"), failing("denied", 99))).first()[0] == "a claim that is long enough."
