@@ -1,6 +1,7 @@
 """Every query that has SQL gives the rows that DuckDB gives, on the smallest tables."""
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -35,3 +36,14 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
+
+
+def test_lsh_recall(spark):
+    """The approximate neighbours of q36 against the exact ones."""
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    x = np.array([r["embedding"] for r in rows], dtype=float)
+    exact = dict(zip((r["vec_id"] for r in rows), np.linalg.norm(x - x[[r["vec_id"] for r in rows].index(0)], axis=1), strict=True))
+    got = {r["vec_id"]: r["distance"] for r in entry.queries()["q36_ann_lsh"](spark, SF).collect()}
+    nearest = sorted(exact, key=lambda k: (exact[k], k))[:10]
+    assert len(got) == 10 and all(abs(exact[k] - d) < 1e-5 for k, d in got.items())
+    assert len(got.keys() & set(nearest)) >= 9
