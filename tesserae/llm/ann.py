@@ -1,17 +1,17 @@
 """Operator 8: approximate nearest neighbours by low-dimensional stable projections.
 
 Vectors are projected on a few Gaussian directions, so that a squared projected distance divided by the squared distance
-follows a chi-square law. In each block of rows a kd-tree holds the projections. A query takes leaves in the order of their
-projected distance and verifies their vectors by products. It stops when a vector as near as its k-th best so far would,
-with the wanted probability, have been projected nearer than everything that is still unseen. The k-th distance starts
-from a fixed sample of rows, so that a block without near rows ends early.
+follows a chi-square law. In each block of rows a kd-tree holds the projections. A query takes the rows of a block in
+the order of their projected distance, radius by radius, and verifies them by products on the whole vectors. It stops
+when a row as near as its k-th best so far would, with the wanted probability, have been projected within the radius
+that has been searched. Every row is indexed, and there is nothing to fit.
 
-Nearness is the largest inner product. With a coordinate that brings all vectors to one length, it is the smallest
-distance. The sample is bounded by ``SEEDS`` rows; every row is indexed.
+Nearness is the largest inner product. With a coordinate that brings all rows of a block to one length, and queries
+scaled to it, it is the smallest distance. Products are summed in one fixed order, so equal vectors have equal scores.
 
 Vectors that are null, empty, all zero, or hold null or non-finite components (or ones of 1e150 and more) take no part; rows of another number of
 components are not compared; rows that share the query's id count as its own. Ties go to the smaller id; with fewer
-candidates than k all that are found are returned. Other columns are not carried.
+candidates than k all are returned, for the test does not stop a query that has found fewer. Other columns are not carried.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.vectors import BLOCK_ROWS, MIN_BLOCKS, QUERY_ROWS, best, blocks, matrix, meet, merged, valid
+from tesserae.llm.common import record_batch
+from tesserae.llm.vectors import best, blocks, meet, merged, valid
 
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-DIRECTIONS, LEAF, SEEDS, CONFIDENCE = 16, 64, 2048, 0.97
+#: Directions, rows of a leaf, the probability that a near row has been seen when a search stops, and how fast squared radii grow.
+DIRECTIONS, LEAF, CONFIDENCE, GROWTH = 24, 128, 0.93, 1.2
 
 
 def chi_square_cdf(x: float, m: int) -> float:
@@ -81,79 +83,98 @@ class KdTree:
         return out
 
 
-def search_block(q: np.ndarray, q_ids: np.ndarray, bounds: np.ndarray, x: np.ndarray, ids: np.ndarray, longest: float, k: int, quantile: float):
-    """The k best of the block for each query: (query's place, row's place, score). bounds: a k-th score known before, or -inf; ids ascending."""
-    extra = np.sqrt(np.maximum(0, longest**2 - (x * x).sum(1)))
-    by = directions(x.shape[1] + 1)
-    tree = KdTree(np.hstack([x, extra[:, None]]) @ by)
-    near = tree.distances(q @ by[:-1])
-    order = np.argsort(near, axis=1)
-    near = np.take_along_axis(near, order, axis=1)
-    base = (q * q).sum(1) + longest**2  # squared distance = base - 2 * product
-    score = np.full((len(q), len(x)), -np.inf)
-    own = np.nonzero(ids[None, :] == q_ids[:, None])
-    kth, active, done, n_leaves = bounds.copy(), np.arange(len(q)), 0, len(tree.leaves)
-    while len(active) and done < n_leaves:
-        until = min(n_leaves, max(4, 2 * done))
-        taken = order[active, done:until]
-        for leaf in np.unique(taken):
-            who = active[(taken == leaf).any(1)]
-            at = tree.leaves[leaf]
-            score[np.ix_(who, at)] = q[who] @ x[at].T
-        done = until
-        if done < n_leaves:
-            score[own] = -np.inf
-            if len(x) >= k:
-                kth[active] = np.maximum(kth[active], np.partition(score[active], len(x) - k, axis=1)[:, len(x) - k])
-            limit = quantile * np.maximum(0, base[active] - 2 * kth[active])
-            active = active[~(near[active, done] >= limit)]
-    score[own] = -np.inf
-    for j in range(len(q)):
-        for place in best(score[j], ids, k):
-            yield j, place, score[j, place]
+class Block:
+    """A block's rows in the order of the leaves of their kd-tree, with their projections."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        norms = (x * x).sum(1)
+        self.longest = float(norms.max())
+        extra = np.sqrt(np.maximum(0, self.longest - norms))  # brings all rows to one length
+        self.by = directions(x.shape[1] + 1)
+        points = np.hstack([x, extra[:, None]]) @ self.by
+        self.tree = KdTree(points)
+        order = np.concatenate(self.tree.leaves)
+        self.cuts = np.cumsum([0, *map(len, self.tree.leaves)])
+        self.ids, self.x, self.points = ids[order], x[order], points[order]
+        self.squares, self.norms = (self.points * self.points).sum(1), np.sqrt(norms[order])
+
+
+def products(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products, each summed in one fixed order, so that equal vectors have equal ones wherever they stand."""
+    return (rows * q).sum(1)
+
+
+def search_block(block: Block, q_ids: np.ndarray, q: np.ndarray, k: int, quantile: float, verified: list | None = None):
+    """The k best found in the block for each query: (query's place, ids, scores). ``verified`` takes the number of products of each.
+
+    Rounds of growing radius: a round opens the leaves whose boxes the radius reaches and verifies the rows projected
+    within it. A query is done when its radius has reached ``quantile`` times its k-th squared distance so far.
+    """
+    # a query is brought to the rows' length, which changes no order of its products
+    lengths = np.sqrt((q * q).sum(1))
+    proj = (q * (math.sqrt(block.longest) / lengths)[:, None]) @ block.by[:-1]
+    near, squares = block.tree.distances(proj), (proj * proj).sum(1)
+    base, per_product = 2 * block.longest, 2 * math.sqrt(block.longest) / lengths  # squared distance = base - per_product * product
+    own = block.ids[None, :] == q_ids[:, None]
+    far = np.full(own.shape, np.inf)  # squared projected distances, where a leaf has been opened
+
+    def open_leaves(which):
+        for leaf in np.flatnonzero(which.any(0)):
+            who, (a, b) = np.flatnonzero(which[:, leaf]), block.cuts[leaf : leaf + 2]
+            far[who, a:b] = np.maximum(0, squares[who, None] + block.squares[None, a:b] - 2 * (proj[who] @ block.points[a:b].T))
+        far[own] = np.inf
+        near[which] = np.inf  # of closed leaves only
+
+    first = near == near.min(1, keepdims=True)
+    open_leaves(first)
+    # the first radius reaches k rows of the nearest leaf, or all it has
+    outer = np.where(np.isfinite(far), far, -1.0).max(1)
+    outer = np.minimum(outer, np.partition(far, min(k, far.shape[1]) - 1, axis=1)[:, min(k, far.shape[1]) - 1])
+    found = [([], []) for _ in q]
+    top, active = [np.zeros(0)] * len(q), np.arange(len(q))
+    inner = np.full(len(q), -1.0)
+    while len(active):
+        reach = np.zeros(near.shape, dtype=bool)
+        reach[active] = near[active] <= outer[active, None]
+        open_leaves(reach & np.isfinite(near))
+        still = []
+        for j in active:
+            at = np.flatnonzero((far[j] > inner[j]) & (far[j] <= outer[j]) & np.isfinite(far[j]))
+            if len(at):
+                s = block.x[at] @ q[j]
+                found[j][0].append(at), found[j][1].append(s)
+                top[j] = np.concatenate([top[j], s])
+                top[j] = np.partition(top[j], max(0, len(top[j]) - k))[max(0, len(top[j]) - k) :]
+            limit = quantile * max(0.0, base - per_product[j] * top[j].min()) + 1e-9 * base if len(top[j]) == k else np.inf
+            unseen = min(near[j].min(), np.where(far[j] > outer[j], far[j], np.inf).min())
+            inner[j] = outer[j]
+            if unseen <= limit and np.isfinite(unseen):
+                outer[j] = min(max(GROWTH * outer[j], unseen), limit)
+                still.append(j)
+        active = np.array(still, dtype=np.int64)
+    for j, (at, s) in enumerate(found):
+        at, s = np.concatenate([np.zeros(0, dtype=np.int64), *at]), np.concatenate([np.zeros(0), *s])
+        if verified is not None:
+            verified.append(len(at))
+        if len(at) > k:  # with all that rounding could bring among the k best
+            at = at[s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-12 * lengths[j] * math.sqrt(block.longest)]
+        s = products(block.x[at], q[j])
+        chosen = best(s, block.ids[at], k)
+        yield j, block.ids[at[chosen]], s[chosen]
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, confidence: float = CONFIDENCE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for every row for which ``is_query`` (a column of ``id``) holds."""
     rows = valid(vectors, id_col, vector_col, zero=False)
-    squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    stats = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"), F.max(squares).alias("longest")).first()
-    longest, quantile = math.sqrt(stats["longest"] or 0.0), chi_square_quantile(confidence, DIRECTIONS)
-    seeds = rows.orderBy(F.xxhash64("id"), "id").limit(SEEDS).toArrow()
-    seed_ids, seed_rows = seeds.column("id").to_numpy(), [np.array(v) for v in seeds.column("v").to_pylist()]
-
-    def bound(batches):
-        """Adds the k-th best product among the sample."""
-        by_dim = {}
-        for i, v in zip(seed_ids, seed_rows, strict=True):
-            by_dim.setdefault(len(v), ([], []))
-            by_dim[len(v)][0].append(i)
-            by_dim[len(v)][1].append(v)
-        by_dim = {d: (np.array(i), np.array(v)) for d, (i, v) in by_dim.items()}
-        for batch in batches:
-            out = []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own, x = by_dim.get(len(v), (np.zeros(0), np.zeros((0, len(v)))))
-                score = (x @ np.array(v))[own != i]
-                out.append(float(np.partition(score, len(score) - k)[len(score) - k]) if len(score) >= k else -math.inf)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["id", "v", "bound"])
-
-    queries = rows.filter(is_query).select("id", "v").mapInArrow(bound, "id long, v array<double>, bound double")
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if left.num_rows and right.num_rows:
-            right = right.sort_by("id")
-            x, ids = matrix(right.column("v")), right.column("id").to_numpy()
-            q, q_ids, bounds = matrix(left.column("v")), left.column("id").to_numpy(), left.column("bound").to_numpy()
-            step = max(16, (24 << 20) // (8 * len(x)))
-            for at in range(0, len(q), step):
-                for j, place, score in search_block(q[at : at + step], q_ids[at : at + step], bounds[at : at + step], x, ids, longest, k, quantile):
-                    for held, value in zip(out, (q_ids[at + j], ids[place], score), strict=True):
-                        held.append(value)
-        return pa.table([pa.array(np.array(o, dtype=t)) for o, t in zip(out, ("i8", "i8", "f8"), strict=True)], schema=FOUND)
-
-    n_blocks = blocks(stats["n"], min(BLOCK_ROWS, 8192), MIN_BLOCKS)
-    row_block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_blocks))
-    found = meet(rows, queries, n_blocks, blocks(stats["q"], QUERY_ROWS), search, row_block, "query_id long, vec_id long, score double")
-    return merged(found, k)
+    stats = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"), F.max(F.size("v")).alias("dim")).first()
+    n_blocks, quantile = blocks(stats["n"], stats["dim"] or 1), chi_square_quantile(confidence, DIRECTIONS)
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_blocks)).cast("int"))
+    queries = rows.filter(is_query).select("id", "v", F.lit(None).cast("double").alias("bound"), F.sequence(F.lit(0), F.lit(n_blocks - 1)).alias("to"))
+
+    def search(block, q_ids, q, _):
+        step = max(8, (32 << 20) // (8 * len(block.x)))
+        for at in range(0, len(q), step):
+            found = [(np.full(len(ids), q_ids[at + j]), ids, score) for j, ids, score in search_block(block, q_ids[at : at + step], q[at : at + step], k, quantile)]
+            yield record_batch(FOUND, *(pa.array(np.concatenate(c)) for c in zip(*found, strict=True)))
+
+    return merged(meet(placed, queries, n_blocks, stats["q"], Block, search, "query_id long, vec_id long, score double"), k)

@@ -179,22 +179,73 @@ def test_kd_tree():
     assert ann.KdTree(np.zeros((200, 3))).low.shape[1] == 3  # equal points
 
 
+def _search_blocks(x, ids, q, k=20):
+    """(ids, scores) of each query, and the share of all pairs that was verified."""
+    verified = []
+    found = ann.search_block(ann.Block(ids, x), ids[q], x[q], k, ann.chi_square_quantile(ann.CONFIDENCE, ann.DIRECTIONS), verified)
+    return [(list(i), list(s)) for _, i, s in found], sum(verified) / (len(q) * len(x))
+
+
 def test_projected_search_of_a_block():
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(30, 24))
     x = centres[rng.integers(0, 30, 3000)] + 0.3 * rng.normal(size=(3000, 24))
-    ids, q_ids = np.arange(3000), np.arange(0, 3000, 100)
-    longest = float(np.sqrt((x * x).sum(1).max()))
-    found = {}
-    for j, place, score in ann.search_block(x[q_ids], q_ids, np.full(len(q_ids), -np.inf), x, ids, longest, 20, ann.chi_square_quantile(ann.CONFIDENCE, ann.DIRECTIONS)):
-        assert place != q_ids[j] and abs(score - x[place] @ x[q_ids[j]]) < 1e-9
-        found.setdefault(j, set()).add(int(place))
+    ids, q = np.arange(3000), np.arange(0, 3000, 100)
+    found, share = _search_blocks(x, ids, q)
+    hit = 0
+    for j, (near, scores) in zip(q, found, strict=True):
+        assert j not in near and np.abs(np.array(scores) - x[near] @ x[j]).max() < 1e-9
+        s = x @ x[j]
+        s[j] = -np.inf
+        hit += len(set(near) & set(np.argsort(-s)[:20].tolist()))
+    assert hit >= 0.9 * 20 * len(q) and share < 0.7
+
+
+def test_projected_search_stops_early_on_the_table():
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet", columns=["vec_id", "embedding"])
+    x, ids = np.array(table["embedding"].to_pylist(), dtype=float), table["vec_id"].to_numpy()
+    q = np.flatnonzero(ids % 20 == 0)
+    found, share = _search_blocks(x, ids, q)
     hit = 0
-    for j, q in enumerate(q_ids):
-        s = x @ x[q]
-        s[q] = -np.inf
-        hit += len(found[j] & set(np.argsort(-s)[:20].tolist()))
-    assert hit >= 0.9 * 20 * len(q_ids)
+    for j, (near, _) in zip(q, found, strict=True):
+        s = x @ x[j]
+        s[j] = -np.inf
+        hit += len(set(near) & set(ids[np.argsort(-s, kind="stable")[:20]].tolist()))
+    assert share < 0.7 and hit >= 0.9 * 20 * len(q)
+
+
+def test_copies_in_several_leaves():
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    copies = np.sort(rng.permutation(2000)[:600])
+    x[copies] = x[copies[0]]
+    ids = rng.permutation(5000)[:2000]
+    order = np.argsort(ids)
+    found, _ = _search_blocks(x, ids, copies[::40])
+    for j, (near, scores) in zip(copies[::40], found, strict=True):
+        assert near == [i for i in ids[order] if i in set(ids[copies]) and i != ids[j]][:20] and len(set(scores)) == 1
+    # fewer rows than wanted: all are found, ties by id
+    few, _ = _search_blocks(x[:12], ids[:12], np.arange(12))
+    assert all(len(near) == 11 for near, _ in few)
+
+
+def test_bounds_leave_few_products():
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet", columns=["vec_id", "embedding"])
+    ids, block = table["vec_id"].to_numpy(), topk.Block(table["vec_id"].to_numpy(), np.array(table["embedding"].to_pylist(), dtype=float), 256.0)
+    verified = []
+    for i in ids[ids % 50 == 0]:
+        q = block.rows[block.ids == i][0]
+        got = topk.search_block(block, i, q, -np.inf, 5, verified)
+        score = (block.rows @ q).astype(np.int64)
+        score[block.ids == i] = -(1 << 60)
+        want = np.lexsort((block.ids, -score))[:5]
+        assert got[0].tolist() == block.ids[want].tolist() and got[1].tolist() == score[want].tolist()
+    assert sum(verified) < len(ids) * len(verified)
 
 
 def test_shingles():
