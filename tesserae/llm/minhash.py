@@ -3,14 +3,16 @@
 A document's set is its distinct word shingles, hashed to 64 bits. Equal sets are folded into one representative first.
 Each representative is posted under its ``COORDINATES`` (coordinate, minimum) pairs. Two sets of the wanted similarity
 share at least ``matches`` pairs, a number that follows from the similarity, but for a chance of ``LOSS`` at most (from
-44 % on; below, one pair is wanted and 24 coordinates are too few for that chance). The pairs of a document are ordered
+58 % on; below, one pair is wanted and the chance is (1 - similarity)^24). The pairs of a document are ordered
 from rare to frequent; pairs that nobody shares are skipped, a document with fewer shared ones than wanted falls out, and
 the rest need to be posted only under the prefix of that order which two documents with so many common pairs must meet in.
 
-Documents that meet in a prefix are gathered into families, families are cut by the size of their sets and, where they
-are large, by a hash, into blocks of bounded size, and each pair of blocks whose sizes allow a link is taken once. There
-collisions are counted on the whole signatures, and those above the match threshold are confirmed on the full sets
-unless they are connected already. A pair of blocks returns a forest of its links, never all pairs of a group.
+The documents of a posting list meet its first one, the hub, and those above the match threshold are confirmed on the
+full sets. That connects what most groups of copies have, at one comparison for each document and list. Lists whose
+documents are connected are then skipped, and so are all but one of equal lists. In what is left, documents of different
+groups are joined through the postings of their coordinates: collisions are counted with the longest lists skipped, and
+those above the match threshold confirmed unless they are connected already. Large lists go in pairs of blocks of bounded
+size, and a pair of blocks returns a forest of its links, never all pairs of a group.
 
 Null text, empty text and text without a word has an empty set and is linked with nothing; a text with fewer words than a
 shingle has its whole sequence as its only shingle. Repeated rows and ties of any kind are settled by the smallest doc_id;
@@ -27,18 +29,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import active, record_batch, shared_dir, slices, written
+from tesserae.llm.common import active, record_batch, shared_dir, shuffle_partitions, slices, written
 from tesserae.llm.graph import components
 
-COORDINATES, LOSS = 24, 1.5e-6
-#: Documents and shingles of one block at most.
-BLOCK_DOCS, BLOCK_SHINGLES = 2048, 2_000_000
+COORDINATES, LOSS = 24, 1e-9
+#: Documents and shingles of one block at most, and documents that meet a hub in one part (in the mean: they are dealt by a hash).
+BLOCK_DOCS, BLOCK_SHINGLES, HUB_PART = 512, 2_000_000, 128
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _RANDOM = np.random.default_rng(20)
 _SALT = _RANDOM.integers(0, 1 << 63, COORDINATES).astype(np.uint64)
 _ODD = _RANDOM.integers(0, 1 << 63, COORDINATES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("signature", pa.list_(pa.int64()))])
-SETS = pa.schema([("doc_id", pa.int64()), ("items", pa.binary())])
+SETS = pa.schema([("doc_id", pa.int64()), ("items", pa.binary()), ("marks", pa.binary())])
 LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -95,39 +97,96 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for part in slices(batches):
-            yield record_batch(SETS, part.column(0), [shingles(t, words).tobytes() for t in part.column(1).to_pylist()])
+            sets = [shingles(t, words) for t in part.column(1).to_pylist()]
+            yield record_batch(SETS, part.column(0), [s.tobytes() for s in sets], [signature(s).tobytes() for s in sets])
 
-    return docs.mapInArrow(run, "doc_id long, items binary")
+    return docs.mapInArrow(run, "doc_id long, items binary, marks binary")
 
 
-def _postings(reps: DataFrame, wanted: int) -> DataFrame:
-    """(doc_id, key) of the prefixes: the rarest shared coordinate-value pairs of each document."""
-    posts = reps.select("doc_id", F.posexplode("signature").alias("at", "value")).select("doc_id", F.xxhash64("at", "value").alias("key"))
-    counts = posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = posts.join(counts, "key").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
+def _postings(reps: DataFrame, wanted: int, folder: str) -> DataFrame:
+    """(doc_id, n_shingles, key) of the prefixes: the rarest shared coordinate-value pairs of each document."""
+    posts = reps.select("doc_id", "n_shingles", F.posexplode("signature").alias("at", "value")).select("doc_id", "n_shingles", F.xxhash64("at", "value").alias("key"))
+    # read from files, so that adaptive execution can split a frequent pair between tasks
+    counts = written(posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), folder)
+    shared = posts.join(counts, "key").groupBy("doc_id").agg(F.first("n_shingles").alias("n_shingles"), F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
     prefix = F.slice("keys", F.lit(1), F.size("keys") - (wanted - 1))
-    return shared.filter(F.size("keys") >= wanted).select("doc_id", F.explode(prefix).alias("k")).select("doc_id", F.col("k.key").alias("key"))
+    return written(shared.filter(F.size("keys") >= wanted).select("doc_id", "n_shingles", F.explode(prefix).alias("k")).select("doc_id", "n_shingles", F.col("k.key").alias("key")), folder)
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether the similarity of two sets, of ascending hashes, is at least this."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    at = np.searchsorted(b, a)
+    common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _families(posts: DataFrame) -> DataFrame:
-    """(doc_id, family): documents that meet under a key, and whatever meets those."""
-    least = posts.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    star = posts.join(least, "key").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    return components(star).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+def _hub_links(posts: DataFrame, sets: DataFrame, percent: int, folder: str) -> DataFrame:
+    """Confirmed links of the documents of each posting list with the list's first one, its hub. The members stream past the hub, in parts of bounded size."""
+    wanted = matches(percent)
+    hubs = written(posts.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1"), folder)
+    parts = lambda n: F.ceil(n / HUB_PART).cast("int")
+    pairs = posts.join(hubs, "key").filter("doc_id <> hub").groupBy("hub", "doc_id").agg(F.max("n").alias("n"))
+    members = pairs.select("hub", F.pmod(F.xxhash64("doc_id"), parts(F.col("n"))).cast("int").alias("part"), F.lit(1).alias("side"), "doc_id").join(sets, "doc_id")
+    firsts = hubs.groupBy("hub").agg(F.max("n").alias("n")).select("hub", F.explode(F.sequence(F.lit(0), parts(F.col("n")) - 1)).alias("part"), F.lit(0).alias("side"), F.col("hub").alias("doc_id")).join(sets, "doc_id")
+    dealt = members.unionByName(firsts).select("hub", "part", "side", "doc_id", "items", "marks")
+    dealt = dealt.repartition(shuffle_partitions(posts.sparkSession), "hub", "part").sortWithinPartitions("hub", "part", "side")
+
+    def run(batches):
+        first = None
+        for batch in batches:
+            out = ([], [])
+            for hub, _, side, doc, items, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                items, marks = np.frombuffer(items, dtype=np.uint64), np.frombuffer(marks, dtype=np.uint64)
+                if not side:
+                    first = items, marks
+                elif (marks == first[1]).sum() >= wanted and _linked(items, first[0], percent):
+                    out[0].append(doc)
+                    out[1].append(hub)
+            if out[0]:
+                yield record_batch(LINKS, *out)
+
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def _collisions(marks: np.ndarray, wanted: int):
+    """For each document but the first, the earlier ones that share at least ``wanted`` coordinates with it.
+
+    Every coordinate has posting lists of its values. Of a document's lists the ``wanted - 1`` longest are skipped: whoever
+    shares enough is in one of the others, which are merged; collisions of those found are then counted in all lists.
+    """
+    n = len(marks)
+    orders, begins, earlier = [], np.zeros((n, COORDINATES), dtype=np.int64), np.zeros((n, COORDINATES), dtype=np.int64)
+    for c in range(COORDINATES):
+        order = np.argsort(marks[:, c], kind="stable")
+        value = marks[order, c]
+        begin = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        begin = np.repeat(begin, np.diff(np.append(begin, n)))
+        begins[order, c], earlier[order, c] = begin, np.arange(n) - begin
+        orders.append(order)
+    for i in range(1, n):
+        if np.count_nonzero(earlier[i]) < wanted:
+            continue
+        merged = [orders[c][begins[i, c] : begins[i, c] + earlier[i, c]] for c in np.argsort(earlier[i], kind="stable")[: COORDINATES - wanted + 1] if earlier[i, c]]
+        near = np.unique(np.concatenate(merged)) if merged else np.zeros(0, dtype=np.int64)
+        count = (marks[near] == marks[i]).sum(1)
+        near, count = near[count >= wanted], count[count >= wanted]
+        if len(near):
+            yield i, near[np.argsort(-count, kind="stable")]
 
 
 def _forest(percent: int):
-    """Links among the documents of a pair of blocks, as few as connect what they connect."""
+    """Links between documents of different groups in a pair of blocks, as few as connect what they connect."""
     wanted = matches(percent)
 
     def links(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
-        ids, side = table.column("doc_id").to_numpy(), table.column("side").to_numpy()
+        ids, side, group = table.column("doc_id").to_numpy(), table.column("side").to_numpy(), table.column("label").to_numpy()
         sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("items").to_pylist()]
-        sizes = np.array([len(s) for s in sets])
-        marks = np.array([signature(s) for s in sets])
+        marks = np.array([np.frombuffer(x, dtype=np.uint64) for x in table.column("marks").to_pylist()])
         inside = table.column("inside")[0].as_py()
-        parent = list(range(len(ids)))
+        parent = np.unique(group, return_index=True)[1][np.unique(group, return_inverse=True)[1]].tolist()
 
         def root(k):
             while parent[k] != k:
@@ -136,44 +195,40 @@ def _forest(percent: int):
             return k
 
         found = ([], [])
-        for i in range(1, len(ids)):
-            near = np.flatnonzero((marks[:i] == marks[i]).sum(1) >= wanted)
-            near = near[100 * np.minimum(sizes[near], sizes[i]) >= percent * np.maximum(sizes[near], sizes[i])]
-            if not inside:
-                near = near[side[near] != side[i]]
-            for j in near[np.argsort(-(marks[near] == marks[i]).sum(1), kind="stable")]:
-                if root(i) != root(j):
-                    common = np.searchsorted(sets[j], sets[i])
-                    common = int((sets[j][np.minimum(common, sizes[j] - 1)] == sets[i]).sum())
-                    if 100 * common >= percent * (int(sizes[i]) + int(sizes[j]) - common):
-                        parent[root(i)] = root(j)
-                        found[0].append(ids[i])
-                        found[1].append(ids[j])
+        for i, near in _collisions(marks, wanted):
+            for j in near.tolist():
+                if (inside or side[i] != side[j]) and root(i) != root(j) and _linked(sets[i], sets[j], percent):
+                    parent[root(i)] = root(j)
+                    found[0].append(ids[i])
+                    found[1].append(ids[j])
         return pa.table([pa.array(x, pa.int64()) for x in found], schema=LINKS)
 
     return links
 
 
-def _links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """members: (doc_id, n_shingles, family). Confirmed links that connect all that is linked."""
-    width = -math.log(percent / 100) * 1.0001 if percent < 100 else 1.0
-    members = members.withColumn("size", F.floor(F.log(F.col("n_shingles").cast("double")) / width).cast("int"))
-    cuts = members.groupBy("family", "size").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    cuts = cuts.select("family", "size", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("s") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
-    upper = cuts.select("family", (F.col("size") - 1).alias("size"), F.col("blocks").alias("above"))
-    lower = cuts.select("family", (F.col("size") + 1).alias("size"), F.col("blocks").alias("below"))
-    cuts = cuts.join(upper, ["family", "size"], "left").join(lower, ["family", "size"], "left").na.fill(0, ["above", "below"])
-    placed = members.join(cuts, ["family", "size"]).withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    b, size = F.col("b"), F.col("size")
-    place = lambda lo, a, c, same, side: F.struct(lo.cast("int").alias("size"), a.cast("int").alias("a"), c.cast("int").alias("c"), F.lit(same).alias("same"), side.cast("int").alias("side"))
-    count = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    within = F.transform(count(F.col("blocks")), lambda o: place(size, F.least(b, o), F.greatest(b, o), True, F.when(b <= o, 0).otherwise(1)))
-    over = F.transform(count(F.col("above")), lambda o: place(size, b, o, False, F.lit(0)))
-    under = F.transform(count(F.col("below")), lambda o: place(size - 1, o, b, False, F.lit(1)))
-    places = placed.select("doc_id", "family", F.explode(F.concat(within, over, under)).alias("p")).select("doc_id", "family", "p.*")
-    places = places.withColumn("inside", F.col("same") & (F.col("a") == F.col("c")))
-    sets = _sets(docs.join(members.select("doc_id"), "doc_id", "left_semi"), words)
-    return sets.join(places, "doc_id").groupBy("family", "size", "a", "c", "same").applyInArrow(_forest(percent), "u long, v long")
+def _list_links(posts: DataFrame, sets: DataFrame, known: DataFrame, percent: int, folder: str) -> DataFrame:
+    """Confirmed links between documents that a posting list holds and ``known`` (node, component) does not connect yet.
+
+    A list whose documents are all connected is skipped, and so is one of the same documents as another. Of the others the
+    largest connected group is met by the rest, and the rest by itself, in pairs of blocks of bounded size.
+    """
+    held = posts.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("label"))
+    held = written(held, folder)
+    groups = held.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
+    lists = groups.groupBy("key").agg(F.max(F.struct("n", "label", "s")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("labels"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter("labels > 1")
+    lists = lists.groupBy("n", "x", "y").agg(F.min(F.struct("key", "main", "s")).alias("l")).select("n", "l.*")
+    count = lambda n, s: F.greatest(F.ceil(n / BLOCK_DOCS), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    lists = lists.select("key", F.col("main.label").alias("main"), count(F.col("main.n"), F.col("main.s")).alias("mains"), count(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("others"))
+    placed = held.join(written(lists, folder), "key").withColumn("is_main", F.col("label") == F.col("main"))
+    b = F.pmod(F.xxhash64("doc_id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    place = lambda a, c, cross, side: F.struct(a.cast("int").alias("a"), c.cast("int").alias("c"), F.lit(cross).alias("cross"), side.cast("int").alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    met = F.transform(upto(F.col("others")), lambda o: place(o, b, True, F.lit(1)))
+    meets = F.transform(upto(F.col("mains")), lambda m: place(b, m, True, F.lit(0)))
+    own = F.transform(upto(F.col("others")), lambda o: place(F.least(b, o), F.greatest(b, o), False, F.when(b <= o, 0).otherwise(1)))
+    places = placed.select("key", "doc_id", "label", F.explode(F.when(F.col("is_main"), met).otherwise(F.concat(meets, own))).alias("p")).select("key", "doc_id", "label", "p.*")
+    places = places.withColumn("inside", ~F.col("cross") & (F.col("a") == F.col("c")))
+    return places.join(sets, "doc_id").groupBy("key", "a", "c", "cross").applyInArrow(_forest(percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,9 +238,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     signed = written(signatures(docs, words), folder)
     reps = signed.filter("n_shingles > 0").groupBy("set_hash").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("r")).select("set_hash", "r.*")
     reps = written(reps, folder)
-    families = _families(_postings(reps, matches(percent)))
-    members = written(families.join(reps.select("doc_id", "n_shingles"), "doc_id"), folder)
-    linked = components(written(_links(docs, members, words, percent), folder))
+    posts = _postings(reps, matches(percent), folder)
+    sets = written(_sets(docs.join(posts.select("doc_id").distinct(), "doc_id", "left_semi"), words), folder)
+    known = components(_hub_links(posts, sets, percent, folder))
+    more = written(_list_links(posts, sets, known, percent, folder), folder)
+    linked = components(more.union(known.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     named = reps.select("set_hash", F.col("doc_id").alias("node")).join(linked, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

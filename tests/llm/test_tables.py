@@ -113,7 +113,7 @@ def brute_components(rows, words, percent):
     return name
 
 
-@pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
+@pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80), (3, 50), (4, 100)])
 def test_minhash(spark, words, percent):
     rng = np.random.default_rng(7)
     rows = list(enumerate(TEXTS))
@@ -131,6 +131,7 @@ def test_minhash(spark, words, percent):
 
 def test_minhash_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(minhash, "HUB_PART", 5)
     rng = np.random.default_rng(8)
     base = [f"w{k}" for k in range(120)]
     rows = []

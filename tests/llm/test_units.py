@@ -267,13 +267,22 @@ def test_signature_estimates_similarity():
 
 
 def test_coordinates_wanted_of_a_similarity():
-    assert [minhash.matches(p) for p in (1, 80, 85, 100)] == [1, 9, 11, minhash.COORDINATES]
+    assert [minhash.matches(p) for p in (1, 50, 100)] == [1, 1, minhash.COORDINATES] and 1 < minhash.matches(80) < minhash.matches(85)
     n = minhash.COORDINATES
-    for p in range(44, 101):
+    for p in range(58, 101):
         lost = sum(math.comb(n, k) * (p / 100) ** k * (1 - p / 100) ** (n - k) for k in range(minhash.matches(p)))
         assert lost <= minhash.LOSS
 
 
+def test_collisions_by_skipping_long_lists():
+    rng = np.random.default_rng(9)
+    marks = rng.integers(0, 3, (120, minhash.COORDINATES)).astype(np.uint64)
+    marks[40:60] = marks[40]
+    for wanted in (1, 9, 20, minhash.COORDINATES):
+        got = {(i, int(j)) for i, near in minhash._collisions(marks, wanted) for j in near}
+        assert got == {(i, j) for i in range(120) for j in range(i) if (marks[i] == marks[j]).sum() >= wanted}
+
+
 def test_languages():
     rng = random.Random(1)
     words = {"aa": ["the", "and", "thing", "other"], "bb": ["que", "mente", "cion", "para"]}
