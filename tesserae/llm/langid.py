@@ -13,7 +13,7 @@ assumed to be small: their names and counts are gathered on the driver. Predicti
 and needs no shuffle.
 
 Null text and text without a letter is ``und`` with score 0 and rejected. Where the fractions tie too, the first
-language by name is named, with an even score, and rejected. Rows of a null lang are not learned from; without any labelled row everything is ``und``. Empty tables
+language by name is named, with an even score, and rejected. Rows of a null lang are not learned from, nor is a language whose sample has no letter; one word is enough. Without any labelled row everything is ``und``. Empty tables
 give empty results; repeated rows are predicted each; other columns are not carried.
 """
 
@@ -66,8 +66,9 @@ def dictionaries(docs: DataFrame, learn_from, rows_per_lang: int = 2000, chars_p
             size += len(held[-1]) + 1
             if size >= dictionary_bytes:
                 break
-        out[lang] = b" ".join(held)[:dictionary_bytes]
-    return {lang: text for lang, text in out.items() if len(text) >= 8}
+        out[lang] = b" ".join(held)[:dictionary_bytes].strip()
+    # zstandard takes no notice of a dictionary of less than 8 bytes
+    return {lang: b" ".join([text] * -(-8 // len(text))) for lang, text in out.items() if text}
 
 
 class _Coder:
