@@ -7,13 +7,14 @@ are words like others, so that texts of unknown words have vectors too. A docume
 whole text. A network of two layers, in numpy, gives a logit, and a temperature fitted on rows it has not been trained
 on makes it a probability.
 
-The model is fitted on a bounded sample of the labelled rows: at most ``rows_per_class`` of each label, chosen by a hash
-of the id. A text's own measures are taken from all of it, where it lies; of its words, the fit sees at most
-``chars_per_row`` characters, in windows from the start to the end of the text. Scoring reads whole texts, handles every row by itself and
-shuffles nothing.
+The model is fitted on a bounded sample of the labelled rows: at most about ``rows_per_class`` of each label, chosen by a
+hash of the id, and all of their texts. The executors count the words, sum their neighbours and pool the documents; the
+driver gets the vocabulary (words that the sample has ``MIN_COUNT`` times), its vectors and a vector of each row, and trains
+the network. Scoring reads whole texts, handles every row by itself and shuffles nothing.
 
 Null text counts as empty, which has a score as well: that of its measures alone. Rows of a null label or text are not
-learned from; with one label only, or none, every score is the share of label 1 (0.5 if there is none). Empty tables
+learned from; with one label only, or none, every score is the share of label 1 (0.5 if there is none); two rows of
+different labels are enough for a network. Empty tables
 give empty results; repeated rows are scored each; other columns are not carried.
 """
 
@@ -29,13 +30,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tesserae.llm.common import active, record_batch, slices
+from tesserae.llm.common import active, record_batch, slices, written
 from tesserae.llm.tokens import Cache
 
 OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 DIM, NONZERO, WINDOW, HIDDEN, MIN_COUNT = 96, 6, 2, 48, 4
+#: Tasks that fit.
+FIT_PARTS = 12
 _TOKEN = re.compile(r"\w+|[^\w\s]+|\n")
 
 
@@ -87,10 +90,9 @@ class Model:
         self.__dict__.update(state)
         self._ready()
 
-    def pooled(self, text: str | None, measured: list[str] | None = None) -> np.ndarray:
-        """The vector of a text; measured: the measures of the whole, where the text is a part."""
+    def pooled(self, text: str | None) -> np.ndarray:
         tokens = _TOKEN.findall(text or "")
-        extra = self.vectors[[self.rows.get(w, len(self.rows)) for w in measured or measures(tokens)]].sum(0)
+        extra = self.vectors[[self.rows.get(w, len(self.rows)) for w in measures(tokens)]].sum(0)
         if not tokens:
             return np.concatenate([np.zeros(2 * DIM, dtype=np.float32), extra])
         rows = np.array(list(map(self._row.__getitem__, tokens)))
@@ -107,56 +109,63 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def windows(text: str, chars: int, count: int = 5) -> str:
-    """At most about so many characters of a text: all of it, or windows at even distances, the first at its start, the last at its end."""
-    if len(text) <= chars:
-        return text
-    width = chars // count
-    return " ".join(text[at : at + width] for at in (k * (len(text) - width) // (count - 1) for k in range(count)))
-
-
-def _streams(text: str, shapes: Cache) -> tuple[list[str], list[str]]:
-    """Words and shapes of a text; made anew when needed, since together they take far more memory than the texts."""
+def _streams(text: str, shapes: Cache) -> tuple[list[str], list[str], list[str]]:
+    """Words, shapes and measures of a text."""
     tokens = _TOKEN.findall(text)
-    return [t.lower() for t in tokens], [shapes[t] for t in tokens]
+    return [t.lower() for t in tokens], [shapes[t] for t in tokens], measures(tokens)
+
 
+def word_counts(texts) -> Counter:
+    shapes, counts = Cache(shape, 40_000), Counter()
+    for text in texts:
+        for part in _streams(text, shapes):
+            counts.update(part)
+    return counts
 
-def _buckets(words: list[str]) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) & ((1 << 22) - 1) for w in words), dtype=np.int64, count=len(words))
 
+def neighbour_sums(texts, rows: dict[str, int]) -> np.ndarray:
+    """For every known word, and unknown ones as one, the sum of the index vectors of its neighbours in these texts."""
+    shapes, unknown = Cache(shape, 40_000), len(rows)
+    places, values = _index_table(rows)
+    context = np.zeros((unknown + 1, DIM), dtype=np.float32)
+    ids: list[int] = []
 
-def word_vectors(texts: list[str], extras: list[list[str]]) -> tuple[dict[str, int], np.ndarray]:
-    """Row of each known word, and the vectors; the last row is that of unknown words. extras: the measures of each text."""
-    shapes, counts = Cache(shape, 40_000), Counter()
-    # counts by hash first, so that the many rare words need not be held
-    buckets = np.zeros(1 << 22, dtype=np.int32)
-    for text, extra in zip(texts, extras, strict=True):
-        for part in (*_streams(text, shapes), extra):
-            np.add.at(buckets, _buckets(part), 1)
-    for text, extra in zip(texts, extras, strict=True):
-        for part in (*_streams(text, shapes), extra):
-            counts.update(w for w, often in zip(part, (buckets[_buckets(part)] >= MIN_COUNT).tolist(), strict=True) if often)
-    rows = {w: k for k, w in enumerate(sorted(w for w, n in counts.items() if n >= MIN_COUNT))}
-    del counts, buckets
-    unknown = len(rows)
-    places, values = index_vectors(list(rows))
-    places, values = np.vstack([places, np.zeros((1, NONZERO), dtype=np.int64)]), np.vstack([values, np.zeros((1, NONZERO))])
-    index = _sums(np.arange(unknown + 1), places, values, unknown + 1).astype(np.float32)
-    context = np.zeros_like(index)
-    for k in range(0, len(texts), 100):
-        ids: list[int] = []
-        for text in texts[k : k + 100]:
-            for part in _streams(text, shapes):
-                ids.extend(rows.get(w, unknown) for w in part)
-                ids.extend([unknown] * WINDOW)  # neighbours are of one text
+    def add():
         at = np.array(ids, dtype=np.int64)
         for d in range(1, WINDOW + 1):
-            context += _sums(at[d:], places[at[:-d]], values[at[:-d]], unknown + 1)
-            context += _sums(at[:-d], places[at[d:]], values[at[d:]], unknown + 1)
-    context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
-    vectors = index + context
+            for a, b in ((at[d:], at[:-d]), (at[:-d], at[d:])):
+                seen, of = np.unique(a, return_inverse=True)
+                context[seen] += _sums(of, places[b], values[b], len(seen)).astype(np.float32)
+        ids.clear()
+
+    for text in texts:
+        for part in _streams(text, shapes)[:2]:
+            ids.extend(rows.get(w, unknown) for w in part)
+            ids.extend([unknown] * WINDOW)  # neighbours are of one text
+        if len(ids) > 200_000:
+            add()
+    add()
+    return context
+
+
+def _index_table(rows: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the index vectors by row; those of unknown words are zero."""
+    places, values = index_vectors(list(rows))
+    return np.vstack([places, np.zeros((1, NONZERO), dtype=np.int64)]), np.vstack([values, np.zeros((1, NONZERO))])
+
+
+def vocabulary(counts) -> dict[str, int]:
+    """Row of each word of (word, count) that the texts have MIN_COUNT times."""
+    return {w: k for k, w in enumerate(sorted(w for w, n in counts if n >= MIN_COUNT))}
+
+
+def word_vectors(rows: dict[str, int], context: np.ndarray) -> np.ndarray:
+    """A vector for each row, the last one, of unknown words, being zero."""
+    places, values = _index_table(rows)
+    index = _sums(np.arange(len(rows) + 1), places, values, len(rows) + 1).astype(np.float32)
+    vectors = index + context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
     vectors[-1] = 0
-    return rows, vectors
+    return vectors
 
 
 def train_network(x: np.ndarray, y: np.ndarray, epochs: int = 60, seed: int = 7) -> list[np.ndarray]:
@@ -190,15 +199,10 @@ def temperature_of(z: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def fit(texts: list[str], labels: list[int], measured: list[list[str]] | None = None) -> Model:
-    """measured: the measures of the whole texts, where the texts are parts."""
+def trained(rows: dict[str, int], vectors: np.ndarray, x: np.ndarray, labels: list[int]) -> Model:
+    """The model of these vectors; x: the vector of each labelled row."""
     y = np.array(labels, dtype=float)
-    if len(set(labels)) < 2 or len(labels) < 10:
-        return Model({}, np.zeros((1, DIM), dtype=np.float32), None, 1.0, float(y.mean()) if len(y) else 0.5)
-    measured = measured or [measures(_TOKEN.findall(t)) for t in texts]
-    rows, vectors = word_vectors(texts, measured)
     model = Model(rows, vectors, None, 1.0, float(y.mean()))
-    x = np.array([model.pooled(t, m) for t, m in zip(texts, measured, strict=True)], dtype=float)
     order = np.random.default_rng(3).permutation(len(y))
     cut = max(1, len(y) // 5)
     aside, rest = order[:cut], order[cut:]
@@ -209,25 +213,72 @@ def fit(texts: list[str], labels: list[int], measured: list[list[str]] | None =
     return model
 
 
-def fit_on_tables(docs: DataFrame, labels: DataFrame, learn_from, rows_per_class: int = 2000, chars_per_row: int = 10_000, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits on a sample of the labelled rows for which the column ``learn_from`` holds; what is gathered is bounded by the parameters."""
+def _without_network(labels: list[int]) -> Model:
+    return Model({}, np.zeros((1, DIM), dtype=np.float32), None, 1.0, sum(labels) / len(labels) if labels else 0.5)
+
+
+def fit(texts: list[str], labels: list[int]) -> Model:
+    """Fits on texts at hand."""
+    if len(set(labels)) < 2:
+        return _without_network(labels)
+    rows = vocabulary(word_counts(texts).items())
+    vectors = word_vectors(rows, neighbour_sums(texts, rows))
+    model = Model(rows, vectors, None, 1.0, 0.5)
+    return trained(rows, vectors, np.array([model.pooled(t) for t in texts], dtype=float), labels)
+
+
+def fit_on_tables(docs: DataFrame, labels: DataFrame, learn_from, rows_per_class: int = 2000, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fits on a sample of the labelled rows for which the column ``learn_from`` holds; what is gathered is bounded by the parameter."""
+    spark = docs.sparkSession
     known = labels.filter(learn_from & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
     known = known.withColumn("_u", F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30))
     counts = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("_label") == 1, min(1.0, rows_per_class / max(1, counts.get(1, 1)))).otherwise(min(1.0, rows_per_class / max(1, counts.get(0, 1))))
     sample = known.filter(F.col("_u") < share).groupBy("_id").agg(F.max("_label").alias("_label"))
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).filter(F.col("_text").isNotNull()).join(F.broadcast(sample), "_id").select("_id", "_text", "_label")
+    found = written(found.repartition(FIT_PARTS, "_id"))
+    seen = [r["_label"] for r in found.select("_label").collect()]
+    if len(set(seen)) < 2:
+        return _without_network(seen)
 
-    def run(batches):
+    def texts(batches):
+        for part in slices(batches, 4 << 20, column=0):
+            yield from part.column(0).to_pylist()
+
+    def count(batches):
+        active("quality")
+        for part in slices(batches, 4 << 20, column=0):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*word_counts(part.column(0).to_pylist()).items(), strict=True)] or [pa.array([], pa.string()), pa.array([], pa.int64())], ["word", "n"])
+
+    often = found.select("_text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
+    rows = vocabulary((r["word"], r["n"]) for r in often.toLocalIterator())
+    sent = spark.sparkContext.broadcast(pickle.dumps(rows))
+
+    def neighbours(batches):
+        active("quality")
+        sums = neighbour_sums(texts(batches), pickle.loads(sent.value))
+        for k in range(0, len(sums), 4096):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([sums[k : k + 4096].tobytes()], pa.binary())], ["at", "sums"])
+
+    context = np.zeros((len(rows) + 1, DIM), dtype=np.float32)
+    for r in found.select("_text").mapInArrow(neighbours, "at long, sums binary").toLocalIterator():
+        part = np.frombuffer(r["sums"], dtype=np.float32).reshape(-1, DIM)
+        context[r["at"] : r["at"] + len(part)] += part
+    sent.unpersist()
+    vectors = word_vectors(rows, context)
+    del context
+    pooling = spark.sparkContext.broadcast(pickle.dumps(Model(rows, vectors, None, 1.0, 0.5)))
+
+    def pooled(batches):
         active("quality")
+        model = pickle.loads(pooling.value)
         for part in slices(batches, 4 << 20):
-            texts = part.column(1).to_pylist()
-            measured = [measures(_TOKEN.findall(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([windows(t, chars_per_row) for t in texts], pa.string()), part.column(2), pa.array(measured, pa.list_(pa.string()))], ["_id", "_text", "_label", "_measured"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([model.pooled(t).astype(np.float64).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["_id", "_label", "x"])
 
-    parts = found.mapInArrow(run, StructType([*found.schema, StructField("_measured", ArrayType(StringType()))]))
-    rows = sorted((r["_id"], r["_label"], r["_text"], r["_measured"]) for r in parts.toLocalIterator())
-    return fit([r[2] for r in rows], [r[1] for r in rows], [r[3] for r in rows])
+    schema = StructType([found.schema["_id"], found.schema["_label"], StructField("x", BinaryType())])
+    of = sorted((r["_id"], r["_label"], bytes(r["x"])) for r in found.mapInArrow(pooled, schema).toLocalIterator())
+    pooling.unpersist()
+    return trained(rows, vectors, np.array([np.frombuffer(x) for *_, x in of]), [y for _, y, _ in of])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -225,6 +225,10 @@ def test_language_and_quality_tables(docs, empty):
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
     model = quality.fit_on_tables(docs, labels, ~held_out())
     scores = quality.score(docs, model).collect()
+    eight = docs.filter("text is not null and doc_id < 9").limit(8)
+    few = quality.fit_on_tables(eight, eight.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")), F.lit(True))
+    assert few.layers is not None and len({round(s, 6) for s in few.score([t for t in TEXTS[:9] if t])}) > 1
+    assert quality.fit_on_tables(eight, labels.limit(0), F.lit(True)).score(["x"])[0] == 0.5
     assert len(scores) == len(TEXTS) and all(0 <= r["score"] <= 1 for r in scores)
     assert quality.score(empty, model).count() == 0
 

@@ -331,11 +331,26 @@ def test_quality_learns():
     assert quality.fit(["a"], [1]).score(["b"])[0] == 1.0 and quality.fit([], []).score([None])[0] == 0.5
 
 
-def test_windows():
-    text = "".join(map(str, range(100_000)))
-    cut = quality.windows(text, 1000).split(" ")
-    assert [len(w) for w in cut] == [200] * 5 and text.startswith(cut[0]) and text.endswith(cut[-1]) and all(w in text for w in cut)
-    assert quality.windows("short", 5) == "short" and quality.windows("", 5) == ""
+def test_quality_of_few_rows():
+    good, bad = "Quiet words that follow each other. " * 4, "BUY!!! NOW!!! " * 9
+    model = quality.fit([good, bad] * 4, [1, 0] * 4)
+    assert model.layers is not None and model.score([good])[0] > model.score([bad])[0]
+    two = quality.fit([good, bad], [1, 0])
+    assert two.score([good])[0] > two.score([bad])[0]
+
+
+def test_neighbour_sums_add_up():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcde") * rng.randint(1, 3) for _ in range(rng.randint(0, 50))) for _ in range(40)]
+    rows = quality.vocabulary(quality.word_counts(texts).items())
+    whole = quality.neighbour_sums(texts, rows)
+    parts = sum(quality.neighbour_sums(texts[k::3], rows) for k in range(3))
+    assert np.abs(whole - parts)[:-1].max() < 1e-3 and np.abs(whole).max() > 1
+    places, values = quality.index_vectors(["b"])
+    one = quality.neighbour_sums(["a b"] * 4, {"a": 0, "b": 1})
+    want = np.zeros(quality.DIM)
+    np.add.at(want, places[0], 4 * values[0])
+    assert np.abs(one[0] - want).max() < 1e-5
 
 
 def test_temperature():
@@ -361,6 +376,44 @@ def test_main_text():
     assert html.host("https://u@WWW.a.b:80/x?y") == "www.a.b" and html.host(None) == ""
 
 
+def test_open_head_and_names():
+    main = lambda page: " ".join(t for r, t in html.parse(page) if r == html.MAIN)
+    assert main("<html><head><title>T</title><meta charset=u><body><nav>n</nav><article>x</article>") == "x"
+    assert main("<html><head><title>T</title><article>x</article>") == "x"
+    assert html.parse("<head><title>T</title> plain <p>y") == [(html.OTHER, "plain"), (html.OTHER, "y")]
+    assert main('<body class="has-sidebar"><article class="post related">x</article>') == "x"
+    assert main('<body class="comments"><main id="content"><div class="public-notice">x</div><div class="cookie-notice">no</div><div class="related-post">y</div><ul class="comment-list"><li>no</ul></main>') == "x y"
+    assert main('<article><div class="Site-Footer">no</div><div class="adventure">x</div><div class="ad">no</div></article>') == "x"
+    assert html.parse('<div class="entry-content">x</div><div class="content-sidebar">y') == [(html.WEAK, "x"), (html.OTHER, "y")]
+
+
+def test_repeats_of_neighbouring_suffixes():
+    rng = random.Random(8)
+    for _ in range(30):
+        pages = [(k % 5, [rng.choice("abc") for _ in range(rng.randint(0, 60))]) for k in range(7)]
+        rows = []
+        for name in ("h", "i"):  # two hosts, each a batch of pages and another one
+            for part in (pages[:3], pages[3:]):
+                table = pa.table({"page_id": pa.array([p for p, _ in part], pa.int64()), "host": [name] * len(part), "blocks": [[" ".join(t) or "x"] for _, t in part]})
+                rows += [r for b in html._suffix_rows(table.to_batches()) for r in zip(*(c.to_pylist() for c in b.columns))]
+        rows.sort()
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 7]), html.SUFFIX)], schema=html.SUFFIX) for k in range(0, len(rows), 7)]
+        covered = {}
+        for b in html._repeated(iter(batches)):
+            for p, s, n in zip(*(c.to_pylist() for c in b.columns)):
+                covered.setdefault((p, s), set()).update(range(n))
+        grams = {}
+        for p, t in pages:
+            for s in range(len(t) - html.TOKENS + 1):
+                grams.setdefault(tuple(t[s : s + html.TOKENS]), set()).add(p)
+        want = {(p, s) for p, t in pages for s in range(len(t) - html.TOKENS + 1) if len(grams[tuple(t[s : s + html.TOKENS])]) > 1}
+        assert covered.keys() == want and all(n >= set(range(html.TOKENS)) for n in covered.values())
+        for (p, s), n in covered.items():  # as long as another page has it
+            texts = [t for q, t in pages if q == p and len(t) >= s + html.TOKENS]
+            longest = max((k for t in texts for k in range(html.TOKENS, min(html.DEPTH, len(t) - s) + 1) if any(q != p and u[x : x + k] == t[s : s + k] for q, u in pages for x in range(len(u) - k + 1))), default=0)
+            assert len(n) >= longest
+
+
 def test_suffixes_are_sorted():
     rng = random.Random(3)
     streams = [[rng.choice("ab") for _ in range(rng.randint(0, 40))] for _ in range(8)]
@@ -368,7 +421,7 @@ def test_suffixes_are_sorted():
     assert [tuple(h) for h in heads] == sorted(tuple(h) for h in heads)
     assert len(stream) == sum(max(0, len(s) - html.TOKENS + 1) for s in streams)
     assert len(html.suffixes([])[0]) == 0
-    assert html.unique_runs([html.OTHER, html.CHROME], ["a b c d e f g h", "z"], [1]) == "a h"
+    assert html.unique_runs([html.OTHER, html.CHROME], ["a b c d e f g h", "z"], [[1, 6]]) == "a h"
 
 
 def test_crc_of_ids():
