@@ -62,8 +62,8 @@ def prune(query: np.ndarray, length: float, floor: float, rows: np.ndarray, norm
     for share in FOCUS:
         some = by_size[done : max(done + 1, int(share * len(query)))]
         done += len(some)
-        part = rows[kept[:, None], some] if len(kept) < len(rows) else rows[:, some]
-        partial, rest_x = partial + part @ query[some], rest_x - (part * part).sum(1)
+        part = rows.T[some] if len(kept) == len(rows) else rows.T[some[:, None], kept]
+        partial, rest_x = partial + query[some] @ part, rest_x - np.einsum("ij,ij->j", part, part)
         rest_q -= float((query[some] ** 2).sum())
         stays = partial + np.sqrt(max(0.0, rest_q) * np.maximum(0, rest_x)) + slack >= floor
         kept, partial, rest_x = kept[stays], partial[stays], rest_x[stays]
@@ -80,7 +80,7 @@ class Block:
         norms = lengths(rows)
         order = np.lexsort((ids, -norms))
         self.ids, self.rows, self.norms = ids[order], rows[order], norms[order]
-        self.plain = self.rows.astype(float)
+        self.plain = np.asfortranarray(self.rows.astype(float))  # by coordinate, as prune() reads it
 
 
 def search_block(block: Block, q_id: int, q: np.ndarray, floor: float, k: int, verified: list | None = None) -> tuple[np.ndarray, np.ndarray]:
