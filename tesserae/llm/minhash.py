@@ -22,25 +22,27 @@ rows with a null doc_id are left out. Empty tables give empty results; other col
 from __future__ import annotations
 
 import math
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tesserae.llm.common import active, record_batch, shared_dir, shuffle_partitions, slices, written
 from tesserae.llm.graph import components
 
 COORDINATES, LOSS = 24, 1e-9
-#: Documents and shingles of one block at most, and documents that meet a hub in one part (in the mean: they are dealt by a hash).
-BLOCK_DOCS, BLOCK_SHINGLES, HUB_PART = 512, 2_000_000, 128
+#: Documents and shingles of one block at most, documents that meet a hub in one part (in the mean: they are dealt by a hash), and documents whose signatures are compared directly.
+BLOCK_DOCS, BLOCK_SHINGLES, HUB_PART, FEW = 512, 2_000_000, 128, 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _RANDOM = np.random.default_rng(20)
 _SALT = _RANDOM.integers(0, 1 << 63, COORDINATES).astype(np.uint64)
 _ODD = _RANDOM.integers(0, 1 << 63, COORDINATES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("signature", pa.list_(pa.int64()))])
-SETS = pa.schema([("doc_id", pa.int64()), ("items", pa.binary()), ("marks", pa.binary())])
+SETS = pa.schema([("doc_id", pa.int64()), ("items", pa.binary())])
 LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -94,13 +96,14 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, signature array<long>")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, words: int, folder: str) -> DataFrame:
+    """(doc_id, items) of the documents with these ids; written, with the ids, so that few ids are sent to the texts instead of the texts to them."""
+
     def run(batches):
         for part in slices(batches):
-            sets = [shingles(t, words) for t in part.column(1).to_pylist()]
-            yield record_batch(SETS, part.column(0), [s.tobytes() for s in sets], [signature(s).tobytes() for s in sets])
+            yield record_batch(SETS, part.column(0), [shingles(t, words).tobytes() for t in part.column(1).to_pylist()])
 
-    return docs.mapInArrow(run, "doc_id long, items binary, marks binary")
+    return written(docs.join(written(ids.distinct(), folder), "doc_id", "left_semi").mapInArrow(run, "doc_id long, items binary"), folder)
 
 
 def _postings(reps: DataFrame, wanted: int, folder: str) -> DataFrame:
@@ -122,26 +125,24 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _hub_links(posts: DataFrame, sets: DataFrame, percent: int, folder: str) -> DataFrame:
-    """Confirmed links of the documents of each posting list with the list's first one, its hub. The members stream past the hub, in parts of bounded size."""
-    wanted = matches(percent)
-    hubs = written(posts.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1"), folder)
-    parts = lambda n: F.ceil(n / HUB_PART).cast("int")
-    pairs = posts.join(hubs, "key").filter("doc_id <> hub").groupBy("hub", "doc_id").agg(F.max("n").alias("n"))
-    members = pairs.select("hub", F.pmod(F.xxhash64("doc_id"), parts(F.col("n"))).cast("int").alias("part"), F.lit(1).alias("side"), "doc_id").join(sets, "doc_id")
-    firsts = hubs.groupBy("hub").agg(F.max("n").alias("n")).select("hub", F.explode(F.sequence(F.lit(0), parts(F.col("n")) - 1)).alias("part"), F.lit(0).alias("side"), F.col("hub").alias("doc_id")).join(sets, "doc_id")
-    dealt = members.unionByName(firsts).select("hub", "part", "side", "doc_id", "items", "marks")
-    dealt = dealt.repartition(shuffle_partitions(posts.sparkSession), "hub", "part").sortWithinPartitions("hub", "part", "side")
+def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
+    """The links (u, v) among pairs (hub, part, doc_id) by their full sets. The members of a part stream past its hub."""
+    pairs = written(pairs, folder)
+    sets = _sets(docs, pairs.select("doc_id").union(pairs.select("hub")), words, folder)
+    members = pairs.select("hub", "part", F.lit(1).alias("side"), "doc_id").join(sets, "doc_id")
+    firsts = pairs.select("hub", "part").distinct().select("hub", "part", F.lit(0).alias("side"), F.col("hub").alias("doc_id")).join(sets, "doc_id")
+    dealt = members.unionByName(firsts).select("hub", "part", "side", "doc_id", "items")
+    dealt = dealt.repartition(shuffle_partitions(docs.sparkSession), "hub", "part").sortWithinPartitions("hub", "part", "side")
 
     def run(batches):
         first = None
         for batch in batches:
             out = ([], [])
-            for hub, _, side, doc, items, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                items, marks = np.frombuffer(items, dtype=np.uint64), np.frombuffer(marks, dtype=np.uint64)
+            for hub, _, side, doc, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                items = np.frombuffer(items, dtype=np.uint64)
                 if not side:
-                    first = items, marks
-                elif (marks == first[1]).sum() >= wanted and _linked(items, first[0], percent):
+                    first = items
+                elif _linked(items, first, percent):
                     out[0].append(doc)
                     out[1].append(hub)
             if out[0]:
@@ -150,6 +151,40 @@ def _hub_links(posts: DataFrame, sets: DataFrame, percent: int, folder: str) ->
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def _hub_pairs(posts: DataFrame, reps: DataFrame, percent: int, folder: str) -> DataFrame:
+    """(hub, part, doc_id): the documents of each posting list that collide often enough with the list's first one, its hub. They stream past the hub's signature, in parts of bounded size."""
+    wanted = matches(percent)
+    hubs = written(posts.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1"), folder)
+    parts = lambda n: F.ceil(n / HUB_PART).cast("int")
+    marks = reps.select("doc_id", "n_shingles", "signature")
+    pairs = posts.join(hubs, "key").filter("doc_id <> hub").groupBy("hub", "doc_id").agg(F.max("n").alias("n"))
+    members = pairs.select("hub", F.pmod(F.xxhash64("doc_id"), parts(F.col("n"))).cast("int").alias("part"), F.lit(1).alias("side"), "doc_id").join(marks, "doc_id")
+    firsts = hubs.groupBy("hub").agg(F.max("n").alias("n")).select("hub", F.explode(F.sequence(F.lit(0), parts(F.col("n")) - 1)).alias("part"), F.lit(0).alias("side"), F.col("hub").alias("doc_id")).join(marks, "doc_id")
+    dealt = members.unionByName(firsts).select("hub", "part", "side", "doc_id", "n_shingles", "signature")
+    dealt = dealt.repartition(shuffle_partitions(posts.sparkSession), "hub", "part").sortWithinPartitions("hub", "part", "side")
+
+    def run(batches):
+        first = None  # signature and size of the hub
+        for batch in batches:
+            side, sizes, signs = batch.column(2).to_numpy(), batch.column(4).to_numpy(), _signs(batch.column(5))
+            # the hub of each row is the last one before it
+            at = np.maximum.accumulate(np.where(side == 0, np.arange(1, len(side) + 1), 0))
+            if first is None:
+                first = signs[:1], sizes[:1]
+            signs_of, sizes_of = np.concatenate([first[0], signs])[at], np.concatenate([first[1], sizes])[at]
+            near = (side == 1) & ((signs == signs_of).sum(1) >= wanted) & (100 * np.minimum(sizes, sizes_of) >= percent * np.maximum(sizes, sizes_of))
+            if len(side):
+                first = signs_of[-1:], sizes_of[-1:]
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1, 3)], names=["hub", "part", "doc_id"])
+
+    return dealt.mapInArrow(run, "hub long, part int, doc_id long")
+
+
+def _signs(column) -> np.ndarray:
+    """Signatures of an Arrow list column as rows."""
+    return column.flatten().to_numpy().reshape(len(column), COORDINATES)
+
+
 def _collisions(marks: np.ndarray, wanted: int):
     """For each document but the first, the earlier ones that share at least ``wanted`` coordinates with it.
 
@@ -157,6 +192,13 @@ def _collisions(marks: np.ndarray, wanted: int):
     shares enough is in one of the others, which are merged; collisions of those found are then counted in all lists.
     """
     n = len(marks)
+    if n <= FEW:  # too few for lists
+        same = (marks[:, None] == marks[None]).sum(2)
+        for i in range(1, n):
+            near = np.flatnonzero(same[i, :i] >= wanted)
+            if len(near):
+                yield i, near[np.argsort(-same[i, near], kind="stable")]
+        return
     orders, begins, earlier = [], np.zeros((n, COORDINATES), dtype=np.int64), np.zeros((n, COORDINATES), dtype=np.int64)
     for c in range(COORDINATES):
         order = np.argsort(marks[:, c], kind="stable")
@@ -184,7 +226,7 @@ def _forest(percent: int):
         table = table.sort_by("doc_id")
         ids, side, group = table.column("doc_id").to_numpy(), table.column("side").to_numpy(), table.column("label").to_numpy()
         sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("items").to_pylist()]
-        marks = np.array([np.frombuffer(x, dtype=np.uint64) for x in table.column("marks").to_pylist()])
+        marks = _signs(table.column("signature").combine_chunks())
         inside = table.column("inside")[0].as_py()
         parent = np.unique(group, return_index=True)[1][np.unique(group, return_inverse=True)[1]].tolist()
 
@@ -206,7 +248,43 @@ def _forest(percent: int):
     return links
 
 
-def _list_links(posts: DataFrame, sets: DataFrame, known: DataFrame, percent: int, folder: str) -> DataFrame:
+def _colliding(percent: int):
+    """Of the rows of pairs of blocks, in their order, those that collide often enough with one of another group."""
+    wanted = matches(percent)
+
+    def near(marks, sizes, labels, side, inside):
+        out = np.zeros(len(marks), dtype=bool)
+        for i, of in _collisions(marks, wanted):
+            of = of[(labels[of] != labels[i]) & (100 * np.minimum(sizes[of], sizes[i]) >= percent * np.maximum(sizes[of], sizes[i]))]
+            of = of if inside else of[side[of] != side[i]]
+            if len(of):
+                out[of] = out[i] = True
+        return out
+
+    def run(batches):
+        held = []  # of the last group, which may go on
+        for batch in batches:
+            table = pa.Table.from_batches([*held, batch])
+            of = np.stack([table.column(k).to_numpy() for k in range(4)], axis=1)
+            cuts = [0, *(np.flatnonzero((of[1:] != of[:-1]).any(1)) + 1).tolist()]
+            whole = table.slice(0, cuts[-1])
+            held = table.slice(cuts[-1]).to_batches()
+            if whole.num_rows:
+                yield from judged(whole, cuts)
+        if held:
+            table = pa.Table.from_batches(held)
+            yield from judged(table, [0, table.num_rows])
+
+    def judged(table, cuts):
+        table = table.combine_chunks()
+        marks, sizes, labels, side, inside = _signs(table.column("signature").chunk(0)), *(table.column(c).to_numpy() for c in ("n_shingles", "label", "side", "inside"))
+        kept = np.concatenate([near(marks[a:b], sizes[a:b], labels[a:b], side[a:b], inside[a]) for a, b in pairwise(cuts)])
+        yield from table.filter(pa.array(kept)).drop_columns(["n_shingles"]).to_batches()
+
+    return run
+
+
+def _list_links(posts: DataFrame, reps: DataFrame, docs: DataFrame, known: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
     """Confirmed links between documents that a posting list holds and ``known`` (node, component) does not connect yet.
 
     A list whose documents are all connected is skipped, and so is one of the same documents as another. Of the others the
@@ -228,7 +306,12 @@ def _list_links(posts: DataFrame, sets: DataFrame, known: DataFrame, percent: in
     own = F.transform(upto(F.col("others")), lambda o: place(F.least(b, o), F.greatest(b, o), False, F.when(b <= o, 0).otherwise(1)))
     places = placed.select("key", "doc_id", "label", F.explode(F.when(F.col("is_main"), met).otherwise(F.concat(meets, own))).alias("p")).select("key", "doc_id", "label", "p.*")
     places = places.withColumn("inside", ~F.col("cross") & (F.col("a") == F.col("c")))
-    return places.join(sets, "doc_id").groupBy("key", "a", "c", "cross").applyInArrow(_forest(percent), "u long, v long")
+    dealt = places.join(reps.select("doc_id", "n_shingles", "signature"), "doc_id").select("key", "a", "c", "cross", "doc_id", "label", "side", "inside", "n_shingles", "signature")
+    dealt = dealt.repartition(shuffle_partitions(posts.sparkSession), "key", "a", "c", "cross").sortWithinPartitions("key", "a", "c", "cross", "doc_id")
+    # signatures first, so that only sets of documents that collide are sent
+    met = written(dealt.mapInArrow(_colliding(percent), StructType([f for f in dealt.schema if f.name != "n_shingles"])), folder)
+    sets = _sets(docs, met.select("doc_id"), words, folder)
+    return met.join(sets, "doc_id").groupBy("key", "a", "c", "cross").applyInArrow(_forest(percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,9 +322,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     reps = signed.filter("n_shingles > 0").groupBy("set_hash").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("r")).select("set_hash", "r.*")
     reps = written(reps, folder)
     posts = _postings(reps, matches(percent), folder)
-    sets = written(_sets(docs.join(posts.select("doc_id").distinct(), "doc_id", "left_semi"), words), folder)
-    known = components(_hub_links(posts, sets, percent, folder))
-    more = written(_list_links(posts, sets, known, percent, folder), folder)
+    known = components(_confirmed(_hub_pairs(posts, reps, percent, folder), docs, words, percent, folder))
+    more = written(_list_links(posts, reps, docs, known, words, percent, folder), folder)
     linked = components(more.union(known.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     named = reps.select("set_hash", F.col("doc_id").alias("node")).join(linked, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
