@@ -17,8 +17,9 @@ Equal runs are folded within each batch before anything is shuffled, so a passag
 sent a few times, not for each of them. What is kept of a document's repeats is bounded by its own length, and what a merge
 keeps by the different surroundings of one anchor.
 
-Null and empty texts have no bytes and no repeats. Rows with a null doc_id are left out. doc_id names a document, so rows
-that repeat whole are one document and have the same result. Empty tables give empty results; other columns are not
+Null and empty texts have no bytes and no repeats. Rows with a null doc_id are left out. Rows that repeat whole are one
+document and have the same result; rows of one doc_id and different texts are documents of their own, in the order of a
+hash of the text. Empty tables give empty results; other columns are not
 carried.
 """
 
@@ -36,7 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import active, record_batch, released_by_others, shuffle_partitions, slices, written
+from tesserae.operators.order import with_position
 
+#: The longest strings for which sizes of suffixes, 2 * length - ANCHOR at most, fit a byte.
+LONGEST = 141
 #: Bytes whose hash makes an anchor, bytes hashed at once, suffixes of one sorted run, and suffixes sampled for splitters.
 ANCHOR, BLOCK, RUN, SAMPLE = 28, 2 << 20, 100_000, 20_000
 _RANDOM = np.random.default_rng(33)
@@ -414,8 +418,19 @@ def compared(docs: DataFrame, open_runs: DataFrame, splitters: list[bytes], leng
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, spans (array of begin and end, in bytes) and kept (binary: the remaining bytes) of every row with an id."""
+    """doc_id, n_bytes, spans (array of begin and end, in bytes) and kept (binary: the remaining bytes) of every row with an id. length: ANCHOR to LONGEST bytes."""
+    if not ANCHOR <= length <= LONGEST:
+        raise ValueError(f"length must be from {ANCHOR} to {LONGEST}")
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).filter("doc_id is not null")
+    marked = docs.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+    if marked.groupBy("doc_id").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).filter("a <> b").isEmpty():
+        return _cut(docs, length)
+    placed = written(with_position(marked.select("doc_id", "mark").distinct(), "doc_id", "mark"))
+    cut = _cut(marked.join(placed, ["doc_id", "mark"]).select(F.col("position").alias("doc_id"), "text"), length)
+    return cut.withColumnRenamed("doc_id", "position").join(placed, "position").select("doc_id", "n_bytes", "spans", "kept")
+
+
+def _cut(docs: DataFrame, length: int) -> DataFrame:
     dealt = docs.repartition(shuffle_partitions(docs.sparkSession), "doc_id")  # the same exchange as that of compared()
     places = repeats(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("places"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
