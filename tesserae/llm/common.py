@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -25,14 +26,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one machine, a
-    temporary folder is taken and set as the checkpoint folder.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and everything runs on one machine, as in
+    tests, a temporary folder is taken and set as the checkpoint folder; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
     if not base and jsc.getCheckpointDir().isDefined():
         base = jsc.getCheckpointDir().get()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tesserae-")
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)

@@ -2,7 +2,8 @@
 
 A text is cut at single spaces, where no token of these vocabularies can run on; the pieces repeat so often that most
 of them come out of a dictionary. Pieces that are not in it go through the library. The caches hold a fixed number of
-entries, so memory does not grow with the input, and a piece that was dropped is only encoded again.
+entries of at most ``CACHE_CHARS`` characters, so memory does not grow with the input; a piece that was dropped or is
+longer is only encoded again.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ import regex
 
 from tesserae.llm.common import released_by_others
 
-#: Entries of one generation of a worker's cache.
-CACHE_LIMIT = 300_000
+#: Entries of one generation of a worker's cache, and characters of an entry at most.
+CACHE_LIMIT, CACHE_CHARS = 300_000, 64
 
 #: Up to here, letters, digits and cases are the same in every Unicode version; other text goes to the library whole.
 _PLAIN = "ɐ"
@@ -35,6 +36,8 @@ class Cache(dict):
 
     def __missing__(self, key):
         value = self.old[key] if key in self.old else self.make(key)
+        if isinstance(key, str) and len(key) > CACHE_CHARS:
+            return value
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()

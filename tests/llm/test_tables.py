@@ -90,6 +90,26 @@ def test_suffix_dedup(spark, docs, empty):
     assert suffix_dedup.remove_repeats(nulls).count() == 0
 
 
+def test_suffix_dedup_of_one_id_with_several_texts(spark):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcdefgh "), 300)) for _ in range(4)]
+    rows = [(1, texts[0]), (2, texts[1]), (2, texts[2] + texts[0][:150]), (2, texts[1]), (3, texts[2]), (4, texts[1] + texts[3])]
+    got = sorted((r["doc_id"], r["n_bytes"], len(r["kept"])) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 300, 300), (2, 300, 300), (2, 300, 300), (2, 450, 300), (3, 300, 0), (4, 600, 300)]
+
+
+@pytest.mark.parametrize("length", [28, 60, 141])
+def test_suffix_dedup_lengths(spark, docs, length):
+    got = suffix_dedup.remove_repeats(docs, length).collect()
+    assert {r["doc_id"]: bytes(r["kept"]) for r in got} == brute_cover(list(enumerate(TEXTS)), length)
+
+
+def test_suffix_dedup_refuses_other_lengths(docs):
+    for length in (27, 142):
+        with pytest.raises(ValueError, match="length"):
+            suffix_dedup.remove_repeats(docs, length)
+
+
 def test_suffix_dedup_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 1000)
     rng = np.random.default_rng(1)
@@ -282,15 +302,60 @@ def test_query_digests(spark):
     for r in queries.op2_byte_bpe(spark, SF).collect():
         ids = codec.encode(texts[r["doc_id"]])
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest())
-    starts = {}
-    for r in queries.op7_token_files(spark, SF).collect():
-        starts[r["doc_id"]] = (r["start"], r["n_tokens"])
-    at = 0
-    for i in sorted(starts):
-        assert starts[i][0] == at
-        at += starts[i][1]
-    for r in queries.op5_packing(spark, SF).limit(50).collect():
-        assert 0 <= r["ids_crc32"] < 1 << 32 and zlib.crc32(b"") == 0
+
+
+def _library(name):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path(name))
+    tokenizer.encode_special_tokens = True
+    return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def test_token_files_query(spark):
+    encode, at = _library("word_bpe_49k.json"), 0
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = sorted(map(tuple, queries.op7_token_files(spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect()))
+    want = []
+    for i in sorted(texts):
+        ids = np.array([*encode(texts[i]), 2], dtype="<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert got == want
+
+
+def test_packing_query(spark):
+    encode = _library("byte_bpe_50k.json")
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.op5_packing(spark, SF).collect()
+    pieces, sequences = {}, {}
+    for r in rows:
+        pieces.setdefault(r["doc_id"], []).append(r)
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert pieces.keys() == texts.keys()
+    for i, of in pieces.items():
+        ids, at = np.array([*encode(texts[i]), 0], dtype="<u4"), 0
+        for r in sorted(of, key=lambda r: r["start"]):
+            assert r["start"] == at and r["length"] > 0 and r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    for of in sequences.values():
+        at = 0
+        for offset, length in sorted(of):
+            assert offset == at
+            at += length
+        assert at == 1024 or at < 1024 and at & (at - 1) == 0
+
+
+def test_bpe_query_against_tiktoken(spark):
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op2_byte_bpe(spark, SF).collect():
+        ids = np.array(library.encode_ordinary(texts[r["doc_id"]] or ""), dtype="<u4").tobytes()
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids) // 4, hashlib.sha256(ids).hexdigest())
 
 
 def test_minhash_query(spark):
@@ -313,10 +378,39 @@ def test_pages_query(spark):
         assert (got[r["page_id"]]["text"], got[r["page_id"]]["n_chars"]) == (want, len(want))
 
 
-def test_packing_query(spark):
-    rows = queries.op5_packing(spark, SF).collect()
-    sizes: dict = {}
-    for r in rows:
-        sizes[r["sequence_id"]] = sizes.get(r["sequence_id"], 0) + r["length"]
-    assert all(n == 1024 or n & (n - 1) == 0 for n in sizes.values())
-    assert sum(sizes.values()) == sum({r["doc_id"]: r["doc_tokens"] for r in rows}.values())
+def test_pages_without_main(spark):
+    """Hosts whose pages have no main element, mixed with pages that have one: what other pages of the host share goes, compared with every pair of pages."""
+    import re
+
+    rows = []
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        page = r["html"] if r["page_id"] % 5 == 0 else re.sub(r"</?article>", "", r["html"])
+        rows += [(r["page_id"], f"http://h{r['page_id'] % 3}.org/{r['page_id']}", page), (10_000 + r["page_id"], f"http://h{r['page_id'] % 3}.org/other", page.replace("<p>", "<p>Second ", 1))]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    streams = {}
+    for i, url, page in rows:
+        blocks = html.parse(page)
+        main = [t for role, t in blocks if role == html.MAIN]
+        streams[i] = (html.host(url), main, [(role, t) for role, b in blocks if role != html.MAIN for t in b.split(" ")])
+    grams = {}
+    for i, (host, _, tokens) in streams.items():
+        for s in range(len(tokens) - html.TOKENS + 1):
+            grams.setdefault((host, *(t for _, t in tokens[s : s + html.TOKENS])), set()).add(i)
+    for i, (host, main, tokens) in streams.items():
+        if main:
+            assert got[i] == " ".join(main)
+            continue
+        covered = set()
+        for s in range(len(tokens) - html.TOKENS + 1):
+            if len(grams[(host, *(t for _, t in tokens[s : s + html.TOKENS]))]) > 1:
+                covered.update(range(s, s + html.TOKENS))
+        assert got[i] == " ".join(t for s, (role, t) in enumerate(tokens) if role == html.OTHER and s not in covered)
+
+
+def test_language_of_one_word(spark):
+    rows = [(1, "the cat and the dog went home", "en"), (3, "kuusi", "fi"), (4, "12 34", "xx"), (5, "kuusi", None), (6, "cat and dog", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = langid.dictionaries(docs, F.col("doc_id") < 5)
+    assert texts.keys() == {"en", "fi"} and all(len(t) >= 8 for t in texts.values())
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, texts).collect()}
+    assert got[5] == "fi" and got[6] == "en" and got[4] == "und"
