@@ -138,6 +138,17 @@ def retry_delay(message: Column | str) -> Column:
     return F.coalesce(F.nullif(said, F.lit("")).cast("int") + 2, F.lit(60))
 
 
+def elapsed(seconds: Column | str) -> Column:
+    """'2 min 5 s' for 125 seconds."""
+    whole = F.floor(col(seconds))
+    return F.concat(F.floor(whole / 60).cast("string"), F.lit(" min "), (whole % 60).cast("string"), F.lit(" s"))
+
+
+def request_stamp() -> Column:
+    """Struct of a random id and the time in milliseconds, as requests to recognition services carry; other values for each row and run."""
+    return F.struct(F.uuid().alias("id"), F.unix_millis(F.current_timestamp()).alias("millis"))
+
+
 def numbered(c: Column | str) -> Column:
     """'1. first', '2. second' and so on, a line each."""
     return F.array_join(F.transform(col(c), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the one the session names for checkpoints, which all executors share; in a temporary one only where it names none."""
+    """A new folder in the one the session names for checkpoints, which all executors share; in a temporary one only where it names none and everything runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp()
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
@@ -52,13 +55,33 @@ def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def round_robin(df: DataFrame, group: str, ordinal: str, batch: int = 64) -> DataFrame:
-    """Deals the rows of equal ``group`` apart: first all first ones, then all second ones; adds rn, position and batch."""
-    first = F.min(ordinal).over(Window.partitionBy(group))
-    rn = F.row_number().over(Window.partitionBy(group).orderBy(ordinal))
-    dealt = df.withColumn("_first", first).withColumn("rn", rn)
+    """Deals the rows of equal ``group`` apart: first all first ones, then all second ones; adds rn, position and batch.
+
+    Groups are numbered in range partitions, so a frequent group lies in several; what a group has in earlier partitions is
+    known from the few groups that go on in a next one.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpointed(df.repartitionByRange(parts, group, ordinal).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy(group, "_part").agg(F.count("*").alias("_n"), F.min(ordinal).alias("_least"))
+    edges = sizes.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(F.col(group).asc_nulls_first()))).withColumn("_groups", F.count("*").over(Window.partitionBy("_part")))
+    # the first and the last group of each partition, at most two rows for each; only these can go on
+    edges = edges.filter("_place = 1 or _place = _groups").select(F.col(group).alias("_g"), F.col("_part").alias("_p"), "_n", "_least")
+    of_group = Window.partitionBy("_g").orderBy("_p")
+    edges = edges.select("_g", "_p", F.coalesce(F.sum("_n").over(of_group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.min("_least").over(Window.partitionBy("_g")).alias("_from"))
+    local = Window.partitionBy("_part", group)
+    dealt = ranged.withColumn("_rn", F.row_number().over(local.orderBy(ordinal))).withColumn("_own", F.min(ordinal).over(local))
+    dealt = dealt.join(F.broadcast(edges), (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")), "left")
+    dealt = dealt.withColumn("rn", (F.col("_rn") + F.coalesce("_before", F.lit(0))).cast("int")).withColumn("_first", F.coalesce("_from", "_own"))
+    dealt = dealt.select(*df.columns, "rn", "_first")
     return with_position(dealt, "rn", "_first").drop("_first").withColumn("batch", F.floor(F.col("position") / batch))
 
 
+def first_turns(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """Adds is_first: whether a row is the first turn of its conversation, by a partial aggregation."""
+    first = turns.groupBy(conversation).agg(F.min(turn).alias("_first"))
+    return turns.join(first, conversation, "left").withColumn("is_first", F.coalesce(F.col(turn) == F.col("_first"), F.lit(False))).select(*turns.columns, "is_first")
+
+
 def hashed_split(df: DataFrame, key: str, share: float = 0.1, least: int = 50, seed: str = "42") -> DataFrame:
     """Adds split: 'eval' for the first max(least, share) rows in the order of a hash of the key, else 'train'."""
     n = df.count()

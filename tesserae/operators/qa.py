@@ -24,6 +24,11 @@ def format_notice(title: Column, date: Column, category: Column | None, body: Co
     return F.concat_ws("\n", *lines, F.concat(F.lit("Body: "), body))
 
 
+def first_long(notices: DataFrame, *order: str, n: int = 3, min_chars: int = 300) -> DataFrame:
+    """The first n notices with a body of more than min_chars."""
+    return notices.filter(F.length(F.coalesce("body", F.lit(""))) > min_chars).orderBy(*order).limit(n)
+
+
 def seed_questions(notices: DataFrame, model=None, min_chars: int = 300) -> DataFrame:
     """notices (notice_id, title, body) of more than min_chars to (notice_id, notice_title, question, answer, type, source_span)."""
     rows = notices.filter(F.length(F.coalesce("body", F.lit(""))) > min_chars).withColumn("n", T.qa_counts("body"))
@@ -43,7 +48,7 @@ def judge(pairs: DataFrame, model=None) -> DataFrame:
     claims = F.coalesce(T.parsed_json(ask(F.concat(F.lit("claims\n"), "answer"), model), "array<string>"), none)
     one = checkpointed(pairs.withColumn("claims", claims))
     checked = one.filter(F.size("claims") > 0)
-    verified = F.from_json(T.repaired_json(ask(F.concat(F.lit("verify\n"), "answer", F.lit("\x1f"), "notice"), model)), VERIFIED)
+    verified = F.from_json(T.repaired_json(ask(F.concat(F.lit("verify\n"), "answer", F.lit("\x1f"), "notice", F.lit("\x1f"), T.numbered("claims")), model)), VERIFIED)
     checked = checkpointed(checked.withColumn("v", verified)).select(
         *own,
         F.coalesce("v.hallucination", F.lit(False)).alias("hallucination"),

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
+from tesserae.operators.models import ask
 from tesserae.operators.order import checkpointed
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Queries handled at once; more go in further blocks.
-QUERY_BLOCK = 4096
+#: Queries and rows of a block.
+QUERY_BLOCK, ROW_BLOCK = 4096, 16_384
 #: Query terms up to which they are sent to every task.
 MOST_TERMS = 100_000
 
@@ -22,6 +23,28 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return queries.select(F.col(id_col).alias("query_id"), F.explode(T.tokenize(text_col)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, length, term, tf) of the documents' terms; the empty term, which no text has, stands for the document itself.
+
+    Written beside an index, and replaced for the documents that change (files.upsert with the key ``id``, see
+    replaced_postings), it spares tokenising the documents for each query.
+    """
+    words = docs.select(F.col(id_col).alias("id"), T.tokenize(text_col).alias("words"))
+    return words.select("id", F.size("words").alias("length"), F.explode(F.concat("words", F.array(F.lit("")))).alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+
+
+def replaced_postings(old: DataFrame, changed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Postings after an upsert of the changed documents."""
+    return old.join(changed.select(F.col(id_col).alias("id")).distinct(), "id", "left_anti").unionByName(postings(changed, id_col, text_col))
+
+
+def bm25_of(held: DataFrame, terms: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, bm25) by postings; among: (id) of the documents that count, in the statistics as well. See bm25()."""
+    held = held if among is None else held.join(among.select("id").distinct(), "id", "left_semi")
+    frequency = checkpointed(held.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("total")))
+    return _weighted(frequency, terms, lambda wanted, sent: held.join(sent(wanted), "term", "left_semi"))
+
+
 def bm25(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, id, bm25) of the documents that hold a term of the query; all others score 0.
 
@@ -33,6 +56,16 @@ def bm25(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: st
     # the empty term, which no text has, counts the documents and sums their lengths: one scan for all statistics
     distinct = words.select(F.size("words").alias("length"), F.explode(F.array_distinct(F.concat("words", F.array(F.lit(""))))).alias("term"))
     frequency = checkpointed(distinct.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("total")))
+
+    def counts(wanted, sent):
+        held = words.select("id", F.size("words").alias("length"), F.explode("words").alias("term")).join(sent(wanted), "term", "left_semi")
+        return held.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+
+    return _weighted(frequency, terms, counts)
+
+
+def _weighted(frequency: DataFrame, terms: DataFrame, counts) -> DataFrame:
+    """frequency: (term, df, total); counts(terms, sender) gives (id, length, term, tf) of these terms."""
     size = frequency.filter("term = ''").select(F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("mean_length"))  # one row at most
     plain = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
     weights = frequency.filter("term <> ''").join(F.broadcast(size)).withColumn("idf", plain)
@@ -43,10 +76,8 @@ def bm25(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: st
     used = weights.join(sent(wanted), "term", "left_semi").join(F.broadcast(floor))
     used = used.select("term", "mean_length", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
     weighted = checkpointed(terms.join(used, "term"))
-    counts = words.select("id", F.size("words").alias("length"), F.explode("words").alias("term")).join(sent(wanted), "term", "left_semi")
-    counts = counts.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    return counts.join(sent(weighted), "term").groupBy("query_id", "id").agg(F.sum(part).alias("bm25"))
+    return counts(wanted, sent).join(sent(weighted), "term").groupBy("query_id", "id").agg(F.sum(part).alias("bm25"))
 
 
 def cosine(docs: DataFrame, vector: DataFrame, vector_col: str = "embedding") -> DataFrame:
@@ -55,58 +86,70 @@ def cosine(docs: DataFrame, vector: DataFrame, vector_col: str = "embedding") ->
     return docs.join(F.broadcast(vector)).withColumn("similarity", F.try_divide(T.dot(a, q), T.norm(a) * T.norm(q))).drop("q")
 
 
+def _vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, v) of the rows with an id and a vector without null, NaN or infinite components."""
+    v = F.col(vector_col).cast("array<double>")
+    ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ok)
+
+
+def _matrix(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str, query_col: str, vector_col: str = "embedding") -> DataFrame:
-    """(query_id, id, similarity): the k most similar rows of each query, in numpy blocks; ties to the smaller id.
+    """(query_id, id, similarity): the k most similar rows of each query, in numpy blocks; ties, to 12 decimals, to the smaller id.
 
-    The queries are gathered, in blocks of a fixed number, and each block goes over the rows once; k rows of each batch and
-    query leave a task.
+    Blocks of queries and of rows of as many components meet once each, and k rows for each query leave a meeting. Rows and
+    queries without a vector, or with a null, NaN or infinite component, take no part; the similarity with zeros is 0.
     """
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("v is not null")
+    left, right = _vectors(queries, query_col, vector_col), _vectors(rows, id_col, vector_col)
+    nq, nr = (max(1, -(-df.count() // size)) for df, size in ((left, QUERY_BLOCK), (right, ROW_BLOCK)))
+    left = left.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("rb"))
+    right = right.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
     schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())])
-    found = None
-    todo = queries.select(F.col(query_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("v is not null").toLocalIterator()
-    block: list = []
-
-    def over(block):
-        ids, q = np.array([r[0] for r in block]), np.array([r[1] for r in block])
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def run(batches):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                at = batch.column(0).to_numpy()
-                x = batch.column(1).flatten().to_numpy().reshape(len(at), -1)
-                order = np.argsort(at, kind="stable")
-                at, x = at[order], x[order]
-                s = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                n = top.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(at[top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel())], schema=schema)
-
-        return rows.mapInArrow(run, "query_id long, id long, similarity double")
-
-    for r in todo:
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            found = over(block) if found is None else found.union(over(block))
-            block = []
-    if block or found is None:
-        found = over(block) if block and found is None else found.union(over(block)) if block else rows.sparkSession.createDataFrame([], "query_id long, id long, similarity double")
+
+    def unit(table):
+        v = _matrix(table.column("v"))
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+    def meet(q, r):
+        if not (q.num_rows and r.num_rows):
+            return schema.empty_table()
+        r = r.sort_by("id")
+        ids, at, x, out = q.column("id").to_numpy(), r.column("id").to_numpy(), unit(r).T, ([], [], [])
+        units = unit(q)
+        for a in range(0, len(ids), 256):
+            s = np.round(units[a : a + 256] @ x, 12)
+            for i, row in zip(ids[a : a + 256], s, strict=True):
+                found = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
+                found = found[np.argsort(-row[found], kind="stable")][:k]
+                out[0].append(np.full(len(found), i)), out[1].append(at[found]), out[2].append(row[found])
+        return pa.table([pa.array(np.concatenate(c)) for c in out], schema=schema)
+
+    keys = ["qb", "rb", "dim"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, id long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).drop("place")
 
 
-def fuse(lexical: DataFrame, vector: DataFrame, alpha: float = 0.7) -> DataFrame:
-    """(query_id, id, score) of lexical (bm25) and vector (similarity) hits: the vector part between 0 and 1 over its candidates, the lexical part by its largest score, missing parts 0."""
+def fuse(lexical: DataFrame, vector: DataFrame, most: int, alpha: float = 0.7) -> DataFrame:
+    """(query_id, id, score) of lexical (bm25) and vector (similarity) hits, with the ``most`` best of each query among them: the vector part between 0 and 1 over its candidates, ``most`` at most, the lexical part by its largest score, missing parts 0.
+
+    A document that is no vector candidate has a lexical part only, so of those only each query's best can count. All
+    others are dropped where they are found, before scores are compared.
+    """
+    both = lexical.join(vector, ["query_id", "id"], "full").withColumn("candidate", F.col("similarity").isNotNull())
+    place = F.row_number().over(Window.partitionBy("query_id", "candidate").orderBy(F.desc(F.round("bm25", 9)), "id"))
+    few = both.withColumn("place", place).filter(F.col("place") <= most)
     per_query = Window.partitionBy("query_id")
-    span = vector.withColumn("low", F.min("similarity").over(per_query)).withColumn("high", F.max("similarity").over(per_query))
-    span = span.select("query_id", "id", ((F.col("similarity") - F.col("low")) / (F.col("high") - F.col("low") + 1e-9)).alias("v"))
-    most = lexical.groupBy("query_id").agg(F.max("bm25").alias("most"))
-    scaled = lexical.join(most, "query_id").select("query_id", "id", (F.col("bm25") / F.when(F.col("most") > 0, F.col("most")).otherwise(1.0)).alias("b"))
-    both = scaled.join(span, ["query_id", "id"], "full")
-    score = alpha * F.coalesce("v", F.lit(0.0)) + (1 - alpha) * F.coalesce("b", F.lit(0.0))
-    return both.select("query_id", "id", F.round(score, 10).alias("score"))  # equal texts tie, in whatever order their parts were summed
+    for name, value in (("low", F.min("similarity")), ("high", F.max("similarity")), ("most", F.max("bm25"))):
+        few = few.withColumn(name, value.over(per_query))
+    v = (F.col("similarity") - F.col("low")) / (F.col("high") - F.col("low") + 1e-9)
+    b = F.col("bm25") / F.when(F.col("most") > 0, F.col("most")).otherwise(1.0)
+    score = alpha * F.coalesce(v, F.lit(0.0)) + (1 - alpha) * F.coalesce(b, F.lit(0.0))
+    return few.select("query_id", "id", F.round(score, 10).alias("score"))  # equal texts tie, in whatever order their parts were summed
 
 
 def hybrid_search(docs: DataFrame, embeddings: DataFrame, query_text: DataFrame, query_vector: DataFrame, k: int = 5, alpha: float = 0.7, id_col: str = "doc_id") -> DataFrame:
@@ -114,22 +157,22 @@ def hybrid_search(docs: DataFrame, embeddings: DataFrame, query_text: DataFrame,
 
     query_text: one row (query_id, text); query_vector: one row (q). The vector part looks at the 2k most similar documents.
     """
-    lexical = checkpointed(bm25(docs, query_terms(query_text, "query_id", "text"), id_col))
+    lexical = bm25(docs, query_terms(query_text, "query_id", "text"), id_col)
     known = embeddings.select(F.col("vec_id").alias("id"), "embedding").join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")
     vector = cosine(known, query_vector).orderBy(F.desc("similarity"), "id").limit(2 * k).select("id", "similarity")
     vector = vector.join(F.broadcast(query_text.select("query_id")))
-    best = fuse(lexical, vector, alpha).orderBy(F.desc("score"), "id").limit(k)
+    best = fuse(lexical, vector, 2 * k, alpha).orderBy(F.desc("score"), "id").limit(k)
     rank = F.row_number().over(Window.orderBy(F.desc("score"), "id"))  # of k rows
     return best.select(rank.alias("rank"), "id", "score")
 
 
 def multi_query_search(docs: DataFrame, embeddings: DataFrame, queries: DataFrame, k: int = 5, alpha: float = 0.7) -> DataFrame:
     """(query_id, rank, id, score) of many queries (query_id, text, embedding)."""
-    lexical = checkpointed(bm25(docs, query_terms(queries, "query_id", "text")))
+    lexical = bm25(docs, query_terms(queries, "query_id", "text"))
     known = embeddings.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     vector = nearest(known, queries, 2 * k, "vec_id", "query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return fuse(lexical, vector, alpha).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return fuse(lexical, vector, 2 * k, alpha).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def recommend(rows: DataFrame, query_vector: DataFrame, interests: list[str], k: int = 5) -> DataFrame:
@@ -146,12 +189,53 @@ def profile_text(college, track, grade, interests) -> F.Column:
     return F.concat_ws(" ", F.coalesce(college, F.lit("")), F.coalesce(track, F.lit("")), F.coalesce(grade, F.lit("")), F.concat(F.lit("interests: "), F.array_join(interests, ", ")))
 
 
-def answer_context(hits: DataFrame, n: int = 3, body_chars: int = 800) -> DataFrame:
-    """One row (context): the first n hits (rank, title, date, body) as numbered blocks."""
+def _numbered(hits: DataFrame, n: int, body_chars: int) -> DataFrame:
+    """hits with block: a numbered notice, cut to so many characters; the first n ranks."""
     body = F.substring(F.coalesce("body", F.lit("")), 1, body_chars)
     block = F.concat(F.lit("[Notice "), F.col("rank").cast("string"), F.lit("]\nTitle: "), F.coalesce("title", F.lit("")), F.lit("\nDate: "), F.coalesce("date", F.lit("")), F.lit("\nBody: "), F.when(body != "", body).otherwise("(no body)"))
-    few = hits.filter(F.col("rank") <= n).select("rank", block.alias("block"))
-    return few.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n\n").alias("context"))
+    return hits.filter(F.col("rank") <= n).withColumn("block", block)
+
+
+def _context() -> F.Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n\n").alias("context")
+
+
+def answer_context(hits: DataFrame, n: int = 3, body_chars: int = 800) -> DataFrame:
+    """One row (context): the first n hits (rank, title, date, body) as numbered blocks."""
+    return _numbered(hits, n, body_chars).agg(_context())
+
+
+NO_HITS = "No related notice was found. Please try other words."
+
+
+def greeting(name, is_first) -> F.Column:
+    """Said in the first turn only, to those whose name is known."""
+    return F.when(F.coalesce(is_first, F.lit(False)) & (F.coalesce(name, F.lit("")) != ""), F.concat(F.lit("Hello "), name, F.lit(". "))).otherwise("")
+
+
+def answers(questions: DataFrame, hits: DataFrame, notices: DataFrame, model=None, n: int = 3, body_chars: int = 800) -> DataFrame:
+    """(query_id, reply) of questions (query_id, question, name, is_first).
+
+    hits: (query_id, rank, url, title, date); notices: (url, body). The first n hits, with the bodies of the last notice of
+    their URL, are put to the model. Without a model the reply counts the hits; without hits it says so and no model is
+    called; an error of the model is the reply, and ends nothing.
+    """
+    count = hits.groupBy("query_id").agg(F.count("*").alias("hits"))
+    asked = questions.join(count, "query_id", "left")
+    none = asked.filter("hits is null").select("query_id", F.lit(NO_HITS).alias("reply"))
+    some = asked.filter("hits is not null")
+    if model is None:
+        return none.unionByName(some.select("query_id", F.concat(F.lit("Found "), F.col("hits").cast("string"), F.lit(" related notices.")).alias("reply")))
+    wanted = hits.filter(F.col("rank") <= n)
+    bodies = notices.join(wanted.select("url").distinct(), "url", "left_semi").groupBy("url").agg(F.max_by("body", F.col("ordinal")).alias("body") if "ordinal" in notices.columns else F.max("body").alias("body"))
+    context = _numbered(wanted.join(bodies, "url", "left"), n, body_chars).groupBy("query_id").agg(_context())
+    hello = greeting(F.col("name"), F.col("is_first"))
+    prompt = F.concat(
+        F.lit("Answer the question from these notices in two or three sentences. Name dates, amounts and conditions.\n"), F.lit("Begin with: "), F.when(hello != "", hello).otherwise("(no greeting)"),
+        F.lit("\n\nNotices:\n"), F.coalesce("context", F.lit("")), F.lit("\n\nQuestion:\n"), F.coalesce("question", F.lit("")),
+    )
+    reply = T.strip(ask(prompt, model, otherwise=lambda error: f"[model error] {error}"))
+    return none.unionByName(some.join(context, "query_id", "left").select("query_id", reply.alias("reply")))
 
 
 def retrieval_quality(rows: DataFrame, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", ks=(1, 3, 5, 10), block: int = 2048) -> DataFrame:
@@ -160,19 +244,20 @@ def retrieval_quality(rows: DataFrame, id_col: str = "vec_id", label_col: str =
     Rows and queries meet block by block. A first pass finds each query's best relevant similarity, a second one counts
     what is ranked before it, so no ranking of all rows is ever held.
     """
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null and v is not null")
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull())).withColumn("dim", F.size("v"))
     n = max(1, -(-rows.count() // block))
     left = rows.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     right = rows.select(*(F.col(c).alias(c) for c in rows.columns)).withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
 
     def similar(q: pa.Table, r: pa.Table):
         def unit(t):
-            v = np.array(t.column("v").to_pylist())
+            v = _matrix(t.column("v"))
             return v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9)
 
         s = np.round(unit(q) @ unit(r).T, 12)  # so that both passes see equal numbers
-        return s, q.column("id").to_numpy(), r.column("id").to_numpy(), np.array(q.column("label").to_pylist(), dtype=object), np.array(r.column("label").to_pylist(), dtype=object)
+        return s, q.column("id").to_numpy(), r.column("id").to_numpy(), *(t.column("label").to_pandas().to_numpy() for t in (q, r))
 
+    keys = ["qb", "rb", "dim"]
     one = pa.schema([("id", pa.int64()), ("best", pa.float64()), ("best_id", pa.int64())])
 
     def relevant(q, r):
@@ -186,7 +271,7 @@ def retrieval_quality(rows: DataFrame, id_col: str = "vec_id", label_col: str =
         ok = np.isfinite(best)
         return pa.table([pa.array(qi[ok]), pa.array(best[ok]), pa.array(ri[top][ok])], schema=one)
 
-    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(relevant, "id long, best double, best_id long")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(relevant, "id long, best double, best_id long")
     best = found.groupBy("id").agg(F.max(F.struct("best", -F.col("best_id"))).alias("b")).select("id", F.col("b.best").alias("best"), (-F.col("b.col2")).alias("best_id"))
     two = pa.schema([("id", pa.int64()), ("before", pa.int64())])
 
@@ -198,7 +283,7 @@ def retrieval_quality(rows: DataFrame, id_col: str = "vec_id", label_col: str =
         before = ((s > b) | ((s == b) & (ri[None, :] < bi))) & (qi[:, None] != ri[None, :])
         return pa.table([pa.array(qi), pa.array(before.sum(1).astype(np.int64))], schema=two)
 
-    counted = left.join(best, "id").groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(ahead, "id long, before long")
+    counted = left.join(best, "id").groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(ahead, "id long, before long")
     ranks = counted.groupBy("id").agg((F.sum("before") + 1).alias("rank"))
     ranked = rows.select("id").join(ranks, "id", "left")
     values = [F.struct(F.lit(f"Recall@{k}").alias("metric"), F.round(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), 4).alias("value")) for k in ks]

@@ -1,7 +1,8 @@
-"""Files that the engine reads and writes: JSON arrays, JSON lines, binary files, the document index."""
+"""Files that the engine reads and writes: JSON arrays, JSON lines, profiles, settings, binary files, the document index."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,14 +38,55 @@ def read_json_lines(spark: SparkSession, path: str, schema: str, strict: bool =
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """JSON lines, which many tasks can write at once; they replace what was there."""
-    df.write.mode("overwrite").json(path)
+    """Replaces what was there by files that each hold a JSON array, one for each task; nulls are written, and no character is escaped that need not be."""
+    lines = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
+
+    def arrays(batches):
+        last = None  # a row waits until it is known whether another one follows
+        for batch in batches:
+            out = []
+            for value in batch.column(0).to_pylist():
+                out.append("[" if last is None else f"{last},")
+                last = value
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]"] if last is None else [last, "]"], pa.string())], names=["value"])
+
+    lines.mapInArrow(arrays, "value string").write.mode("overwrite").option("maxRecordsPerFile", 0).text(path)
 
 
 def append_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def _remove(spark: SparkSession, path: str) -> bool:
+    """Removes a file or folder in any store that Spark knows; whether there was one."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def write_profile(profile: DataFrame, path: str) -> None:
+    """The one row of a profile, in the place of the one before."""
+    write_json(profile.limit(1).coalesce(1), path)
+
+
+def read_profile(spark: SparkSession, path: str) -> DataFrame:
+    """The stored profile, or no row."""
+    return read_json_array(spark, path, PROFILE)
+
+
+def delete_profile(spark: SparkSession, path: str) -> bool:
+    return _remove(spark, path)
+
+
+def read_settings(spark: SparkSession, path: str) -> dict[str, str]:
+    """KEY=value lines: blank lines and those that begin with # are left out, the first value of a key counts. A small file, read as a whole."""
+    lines = _or_empty(spark, "value string", lambda: spark.read.text(path, wholetext=True)).collect()
+    pairs = [line.partition("=") for r in lines for line in r[0].splitlines() if line.strip() and not line.strip().startswith("#") and "=" in line]
+    return {key.strip(): value.strip() for key, _, value in reversed(pairs)}
+
+
 def read_binary(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, length, content) of images, PDFs and other files."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "length", "content")
@@ -61,6 +103,18 @@ def index_records(notices: DataFrame, embed=None) -> DataFrame:
     return notices.select(F.md5("url").alias("doc_id"), vector.alias("embedding"), document.alias("document"), "title", "url", "date", "category")
 
 
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    """The stored index; an empty one if there is none."""
+    return _or_empty(spark, INDEX, lambda: spark.read.schema(INDEX).parquet(path))
+
+
+def ensure_index(spark: SparkSession, path: str, notices: DataFrame, embed=None) -> DataFrame:
+    """The stored index; it is made of the notices only where it is empty. Later notices go in by upsert()."""
+    if open_index(spark, path).isEmpty():
+        index_records(notices, embed).write.mode("overwrite").parquet(path)
+    return open_index(spark, path)
+
+
 def upsert(index: DataFrame, records: DataFrame, key: str = "doc_id", ordinal: str | None = None) -> DataFrame:
     """The index with the records put in: those with a known id replace it, the last of a batch wins."""
     place = F.col(ordinal).cast("long") if ordinal else F.lit(0).cast("long")

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
+from tesserae.operators import images as I
 from tesserae.operators.order import before_stop
+from tesserae.operators.rules import infer_category
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
@@ -74,40 +76,45 @@ class _Listing(HTMLParser):
 
 
 class _Text(HTMLParser):
-    """Text of the first element of a class, the images and links in it; without a class, of the whole page."""
+    """Text of the first element of a class, the images and links in it; without a class, of the whole page. An end tag closes what is open inside its element."""
 
     def __init__(self, wanted: str | None):
         super().__init__(convert_charrefs=True)
-        self.wanted, self.depth, self.done, self.skip = wanted, 0 if wanted else 1, False, 0
+        self.wanted, self.open, self.done, self.skip = wanted, None if wanted else [], False, 0
         self.parts, self.images, self.links, self.anchor = [], [], [], None
 
+    def inside(self) -> bool:
+        return self.open is not None and not self.done
+
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
         if tag in ("script", "style"):
             self.skip += 1
-        if self.wanted and not self.depth and not self.done and self.wanted in (attrs.get("class") or "").split():
-            self.depth = 1
+        if self.open is None:
+            if self.wanted in (attrs.get("class") or "").split() and tag not in VOID:
+                self.open = [tag]
             return
-        if self.depth and not self.done:
+        if self.inside():
             if tag == "img":
                 self.images.append(attrs.get("src") or "")
             if tag == "a":
                 self.anchor = [attrs.get("href") or "", ""]
                 self.links.append(self.anchor)
             if self.wanted and tag not in VOID:
-                self.depth += 1
+                self.open.append(tag)
 
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
             self.skip = max(0, self.skip - 1)
         if tag == "a":
             self.anchor = None
-        if self.wanted and self.depth and not self.done and tag not in VOID:
-            self.depth -= 1
-            self.done = not self.depth
+        if self.wanted and self.inside() and tag in self.open:
+            while self.open.pop() != tag:
+                pass
+            self.done = not self.open
 
     def handle_data(self, data):
-        if self.depth and not self.done and not self.skip:
+        if self.inside() and not self.skip:
             if data.strip():
                 self.parts.append(data.strip())
             if self.anchor:
@@ -150,6 +157,22 @@ def until_older(items: DataFrame, year: str, *order: str) -> DataFrame:
     return before_stop(items, of < year, *(order or ("page", "position"))).filter(of == year)
 
 
+def crawl_all(listing: DataFrame, posts: DataFrame, year: str, rules, board: Board = Board(), element: str | None = None, grace_pages: int = 5) -> DataFrame:
+    """(title, url, date, body, category) of a year's items on listing pages (page, html) whose posts (url, html) have been fetched.
+
+    The list ends at the first page that gives no item of the year, and from page ``grace_pages`` on at the first item of
+    another year. Items without a post have an empty body. Of several posts of a URL any one is taken.
+    """
+    items = of_year(listing_items(listing, board), year, grace_pages)
+    kept = items.groupBy("page").agg(F.count("*").alias("n"))
+    # of_year() has none of a page behind its stop, so that such pages end the list, too
+    end = listing.select(F.col("page").cast("long").alias("page")).distinct().join(kept, "page", "left").filter("n is null").agg(F.min("page").alias("end"))  # one row
+    items = items.join(F.broadcast(end), F.col("end").isNull() | (F.col("page") < F.col("end"))).drop("end")
+    body = bodies(posts, element, board.host).groupBy("url").agg(F.max("text").alias("body"))
+    found = items.join(body, "url", "left").withColumn("body", F.coalesce("body", F.lit("")))
+    return found.select("title", "url", "date", "body", infer_category(rules, "title", "body").alias("category"))
+
+
 def crawl_counts(items: DataFrame, done: DataFrame, key: str = "url", body: str = "body") -> DataFrame:
     """One row (new, skipped, empty): items not seen before, items that were, and new ones without a body."""
     marked = items.join(done.select(key).distinct().withColumn("_seen", F.lit(True)), key, "left")
@@ -183,14 +206,14 @@ def full_body(parts: DataFrame) -> DataFrame:
     return some.groupBy("url").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), " ").alias("body"))
 
 
-def ocr_tiles(height: Column, tile: int = 1500, overlap: int = 100) -> Column:
+def ocr_tiles(height: Column, tile: int = I.TILE, overlap: int = I.OVERLAP) -> Column:
     """Array of (top, bottom) of the tiles of an image of this height."""
     tops = F.sequence(F.lit(0), F.greatest(height - overlap - 1, F.lit(0)), F.lit(tile - overlap))
     return F.transform(tops, lambda y: F.struct(y.alias("top"), F.least(y + tile, height).alias("bottom")))
 
 
 def large_enough(height: Column, width: Column) -> Column:
-    return (height >= 30) & (width >= 100)
+    return (height >= I.LEAST_HEIGHT) & (width >= I.LEAST_WIDTH)
 
 
 def recognise(files: DataFrame, engine, pages: int = 10) -> DataFrame:
@@ -210,3 +233,37 @@ def recognise(files: DataFrame, engine, pages: int = 10) -> DataFrame:
 
     raw = files.select("path", "content").mapInArrow(run, "path string, ordinal int, text string")
     return raw.withColumn("text", T.clean_ocr("text")).filter("text <> ''")
+
+
+def recognised(files: DataFrame, engine: I.Engine, pages: int = 10) -> DataFrame:
+    """(path, text) of images and PDF files (path, content and, where it does not follow from the path's extension, format).
+
+    Images too small for text are left out; the others are prepared and read tile by tile. A PDF gives the text layer of
+    its first ``pages`` pages, and only where that is blank the text of their pictures. Unreadable files have no text.
+    """
+    schema = pa.schema([("path", pa.string()), ("format", pa.string()), ("text", pa.string())])
+    wanted = files.select("path", "content", F.col("format") if "format" in files.columns else T.image_format("path").alias("format"))
+
+    def run(batches):
+        for batch in batches:
+            rows = [(path, form, I.file_text(engine, content, form, pages)) for path, content, form in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)] if rows else [[]] * 3, schema=schema)
+
+    raw = wanted.mapInArrow(run, "path string, format string, text string")
+    return raw.select("path", F.when(F.col("format") == "pdf", T.strip("text")).otherwise(T.clean_ocr("text")).alias("text")).filter("text <> ''")
+
+
+def full_bodies(posts: DataFrame, files: DataFrame, engine: I.Engine, element: str | None = None, host: str = "") -> DataFrame:
+    """(url, body) of posts (url, html): their text, that of their images worth reading and that of their PDF files, in this order.
+
+    files: (path, content) of what has been fetched, path being the absolute URL.
+    """
+    body = bodies(posts, element, host)
+    refs = body.select("url", F.posexplode(F.concat(F.transform("images", lambda p: F.struct(F.lit("ocr").alias("kind"), p.alias("path"))), F.transform("pdfs", lambda p: F.struct(F.lit("pdf").alias("kind"), p.alias("path"))))).alias("at", "r"))
+    refs = refs.select("url", (F.col("at") + 1).alias("ordinal"), "r.kind", "r.path")
+    forms = refs.select("path", F.when(F.col("kind") == "pdf", "pdf").otherwise(T.image_format("path")).alias("format")).distinct()
+    read = recognised(files.select("path", "content").join(forms, "path"), engine).groupBy("path").agg(F.max("text").alias("text"))
+    parts = refs.join(read, "path").select("url", "ordinal", "kind", "text")
+    text = body.select("url", F.lit(0).alias("ordinal"), F.lit("text").alias("kind"), "text")
+    joined = full_body(text.unionByName(parts))
+    return body.select("url").join(joined, "url", "left").select("url", F.coalesce("body", F.lit("")).alias("body"))

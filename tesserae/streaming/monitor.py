@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,30 +14,44 @@ def first_seen(stream: DataFrame, key: str, time_col: str, delay: str = "7 days"
     return stream.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, delay).dropDuplicatesWithinWatermark([key])
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Runs over what there is and gives it as a table in memory."""
-    query = stream.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs over what there is, writes it to files at the path and reads them."""
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def monitor(spark: SparkSession, stream: DataFrame, seen_path: str, out_path: str, checkpoint: str, key: str = "url", order: str = "date", baseline: int = 50):
-    """Writes unseen items to out_path. The first run only notes the newest ``baseline`` keys as seen."""
+def in_steps(stream: DataFrame, work, out_path: str, checkpoint: str):
+    """Writes work(batch, epoch) of every batch to out_path as JSON lines; a batch that is run again replaces its own files, so a job that was stopped goes on where it was and loses and repeats nothing."""
 
     def step(batch: DataFrame, epoch: int) -> None:
-        from pyspark.errors import AnalysisException
+        work(batch, epoch).write.mode("overwrite").json(f"{out_path}/epoch={epoch}")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
+def monitor(spark: SparkSession, stream: DataFrame, seen_path: str, out_path: str, checkpoint: str, key: str = "url", order: str = "date", baseline: int = 50):
+    """Writes unseen items to out_path, the first row in the given order of each key. The first run only notes the newest ``baseline`` keys as seen.
+
+    Both folders hold a folder for each batch, which a batch that is run again replaces.
+    """
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        seen_type = dict(batch.dtypes)[key]
         try:
-            seen = spark.read.schema(f"{key} string").json(seen_path)
-            seen.schema
+            seen = spark.read.schema(f"{key} {seen_type}, epoch long").json(seen_path).filter(F.col("epoch") < epoch)
             known = seen.select(key)
-            known.isEmpty()
-        except AnalysisException:
-            batch.orderBy(F.desc(order)).limit(baseline).select(key).write.mode("append").json(seen_path)
+            first = known.isEmpty()
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            first = True
+        if first:
+            batch.orderBy(F.desc(order), key).limit(baseline).select(key).write.mode("overwrite").json(f"{seen_path}/epoch={epoch}")
             return
         new = unseen(batch, known, key, order).persist()
-        new.write.mode("append").json(out_path)
-        new.select(key).write.mode("append").json(seen_path)
+        new.write.mode("overwrite").json(f"{out_path}/epoch={epoch}")
+        new.select(key).write.mode("overwrite").json(f"{seen_path}/epoch={epoch}")
         new.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
