@@ -79,6 +79,8 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 
 def signature(items: np.ndarray) -> np.ndarray:
+    if len(items) <= 4096:  # all coordinates at once
+        return ((items[None] ^ _SALT[:, None]) * _ODD[:, None]).min(1)
     return np.array([((items ^ s) * a).min() for s, a in zip(_SALT, _ODD, strict=True)], dtype=np.uint64)
 
 
@@ -106,14 +108,14 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int, folder: str) -> DataFrame
     return written(docs.join(written(ids.distinct(), folder), "doc_id", "left_semi").mapInArrow(run, "doc_id long, items binary"), folder)
 
 
-def _postings(reps: DataFrame, wanted: int, folder: str) -> DataFrame:
-    """(doc_id, n_shingles, key) of the prefixes: the rarest shared coordinate-value pairs of each document."""
-    posts = reps.select("doc_id", "n_shingles", F.posexplode("signature").alias("at", "value")).select("doc_id", "n_shingles", F.xxhash64("at", "value").alias("key"))
+def _prefixes(reps: DataFrame, wanted: int, folder: str) -> DataFrame:
+    """(doc_id, n_shingles, signature, keys): the prefix of each document that can have a link, its rarest shared coordinate-value pairs."""
+    posts = reps.select("doc_id", F.posexplode("signature").alias("at", "value")).select("doc_id", F.xxhash64("at", "value").alias("key"))
     # read from files, so that adaptive execution can split a frequent pair between tasks
     counts = written(posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), folder)
-    shared = posts.join(counts, "key").groupBy("doc_id").agg(F.first("n_shingles").alias("n_shingles"), F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
-    prefix = F.slice("keys", F.lit(1), F.size("keys") - (wanted - 1))
-    return written(shared.filter(F.size("keys") >= wanted).select("doc_id", "n_shingles", F.explode(prefix).alias("k")).select("doc_id", "n_shingles", F.col("k.key").alias("key")), folder)
+    shared = posts.join(counts, "key").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
+    prefix = F.transform(F.slice("keys", F.lit(1), F.size("keys") - (wanted - 1)), lambda k: k["key"])
+    return written(shared.filter(F.size("keys") >= wanted).select("doc_id", prefix.alias("keys")).join(reps.select("doc_id", "n_shingles", "signature"), "doc_id"), folder)
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -151,17 +153,17 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, fold
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def _hub_pairs(posts: DataFrame, reps: DataFrame, percent: int, folder: str) -> DataFrame:
+def _hub_pairs(prefixes: DataFrame, percent: int, folder: str) -> DataFrame:
     """(hub, part, doc_id): the documents of each posting list that collide often enough with the list's first one, its hub. They stream past the hub's signature, in parts of bounded size."""
-    wanted = matches(percent)
+    wanted, posts = matches(percent), prefixes.select("doc_id", F.explode("keys").alias("key"))
     hubs = written(posts.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1"), folder)
     parts = lambda n: F.ceil(n / HUB_PART).cast("int")
-    marks = reps.select("doc_id", "n_shingles", "signature")
+    marks = prefixes.select("doc_id", "n_shingles", "signature")
     pairs = posts.join(hubs, "key").filter("doc_id <> hub").groupBy("hub", "doc_id").agg(F.max("n").alias("n"))
     members = pairs.select("hub", F.pmod(F.xxhash64("doc_id"), parts(F.col("n"))).cast("int").alias("part"), F.lit(1).alias("side"), "doc_id").join(marks, "doc_id")
     firsts = hubs.groupBy("hub").agg(F.max("n").alias("n")).select("hub", F.explode(F.sequence(F.lit(0), parts(F.col("n")) - 1)).alias("part"), F.lit(0).alias("side"), F.col("hub").alias("doc_id")).join(marks, "doc_id")
     dealt = members.unionByName(firsts).select("hub", "part", "side", "doc_id", "n_shingles", "signature")
-    dealt = dealt.repartition(shuffle_partitions(posts.sparkSession), "hub", "part").sortWithinPartitions("hub", "part", "side")
+    dealt = dealt.repartition(shuffle_partitions(prefixes.sparkSession), "hub", "part").sortWithinPartitions("hub", "part", "side")
 
     def run(batches):
         first = None  # signature and size of the hub
@@ -249,14 +251,17 @@ def _forest(percent: int):
 
 
 def _colliding(percent: int):
-    """Of the rows of pairs of blocks, in their order, those that collide often enough with one of another group."""
+    """Of the rows of pairs of blocks, in their order, those that collide often enough with one of another group. Two documents that several lists hold are compared in that of the smallest key."""
     wanted = matches(percent)
 
-    def near(marks, sizes, labels, side, inside):
+    def near(key, marks, sizes, labels, side, inside, keys):
         out = np.zeros(len(marks), dtype=bool)
         for i, of in _collisions(marks, wanted):
             of = of[(labels[of] != labels[i]) & (100 * np.minimum(sizes[of], sizes[i]) >= percent * np.maximum(sizes[of], sizes[i]))]
             of = of if inside else of[side[of] != side[i]]
+            if len(of):
+                smaller = keys[i][keys[i] < key]
+                of = of[[not np.isin(keys[j], smaller).any() for j in of]] if len(smaller) else of
             if len(of):
                 out[of] = out[i] = True
         return out
@@ -277,19 +282,23 @@ def _colliding(percent: int):
 
     def judged(table, cuts):
         table = table.combine_chunks()
-        marks, sizes, labels, side, inside = _signs(table.column("signature").chunk(0)), *(table.column(c).to_numpy() for c in ("n_shingles", "label", "side", "inside"))
-        kept = np.concatenate([near(marks[a:b], sizes[a:b], labels[a:b], side[a:b], inside[a]) for a, b in pairwise(cuts)])
-        yield from table.filter(pa.array(kept)).drop_columns(["n_shingles"]).to_batches()
+        marks, key, sizes, labels, side, inside = _signs(table.column("signature").chunk(0)), *(table.column(c).to_numpy() for c in ("key", "n_shingles", "label", "side", "inside"))
+        lists = table.column("keys").chunk(0)
+        ends, values = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
+        keys = [values[a:b] for a, b in pairwise(ends)]
+        kept = np.concatenate([near(key[a], marks[a:b], sizes[a:b], labels[a:b], side[a:b], inside[a], keys[a:b]) for a, b in pairwise(cuts)])
+        yield from table.filter(pa.array(kept)).drop_columns(["n_shingles", "keys"]).to_batches()
 
     return run
 
 
-def _list_links(posts: DataFrame, reps: DataFrame, docs: DataFrame, known: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
+def _list_links(prefixes: DataFrame, docs: DataFrame, known: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
     """Confirmed links between documents that a posting list holds and ``known`` (node, component) does not connect yet.
 
     A list whose documents are all connected is skipped, and so is one of the same documents as another. Of the others the
     largest connected group is met by the rest, and the rest by itself, in pairs of blocks of bounded size.
     """
+    posts = prefixes.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
     held = posts.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("label"))
     held = written(held, folder)
     groups = held.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
@@ -306,10 +315,10 @@ def _list_links(posts: DataFrame, reps: DataFrame, docs: DataFrame, known: DataF
     own = F.transform(upto(F.col("others")), lambda o: place(F.least(b, o), F.greatest(b, o), False, F.when(b <= o, 0).otherwise(1)))
     places = placed.select("key", "doc_id", "label", F.explode(F.when(F.col("is_main"), met).otherwise(F.concat(meets, own))).alias("p")).select("key", "doc_id", "label", "p.*")
     places = places.withColumn("inside", ~F.col("cross") & (F.col("a") == F.col("c")))
-    dealt = places.join(reps.select("doc_id", "n_shingles", "signature"), "doc_id").select("key", "a", "c", "cross", "doc_id", "label", "side", "inside", "n_shingles", "signature")
+    dealt = places.join(prefixes, "doc_id").select("key", "a", "c", "cross", "doc_id", "label", "side", "inside", "n_shingles", "signature", "keys")
     dealt = dealt.repartition(shuffle_partitions(posts.sparkSession), "key", "a", "c", "cross").sortWithinPartitions("key", "a", "c", "cross", "doc_id")
     # signatures first, so that only sets of documents that collide are sent
-    met = written(dealt.mapInArrow(_colliding(percent), StructType([f for f in dealt.schema if f.name != "n_shingles"])), folder)
+    met = written(dealt.mapInArrow(_colliding(percent), StructType([f for f in dealt.schema if f.name not in ("n_shingles", "keys")])), folder)
     sets = _sets(docs, met.select("doc_id"), words, folder)
     return met.join(sets, "doc_id").groupBy("key", "a", "c", "cross").applyInArrow(_forest(percent), "u long, v long")
 
@@ -321,9 +330,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     signed = written(signatures(docs, words), folder)
     reps = signed.filter("n_shingles > 0").groupBy("set_hash").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("r")).select("set_hash", "r.*")
     reps = written(reps, folder)
-    posts = _postings(reps, matches(percent), folder)
-    known = components(_confirmed(_hub_pairs(posts, reps, percent, folder), docs, words, percent, folder))
-    more = written(_list_links(posts, reps, docs, known, words, percent, folder), folder)
+    prefixes = _prefixes(reps, matches(percent), folder)
+    known = components(_confirmed(_hub_pairs(prefixes, percent, folder), docs, words, percent, folder))
+    more = written(_list_links(prefixes, docs, known, words, percent, folder), folder)
     linked = components(more.union(known.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     named = reps.select("set_hash", F.col("doc_id").alias("node")).join(linked, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
