@@ -163,7 +163,7 @@ def _text_runs(docs: DataFrame, length: int) -> DataFrame:
             for ids, texts, shift in pieces(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 yield batch_runs(ids, texts, shift)
 
-    return docs.mapInArrow(run, "key long, text_hash long, doc_id long, spot long")
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, text_hash long, doc_id long, spot long")
 
 
 def _judge(batches):
@@ -232,7 +232,7 @@ def _sorted_runs(length: int, splitters: list[bytes]):
     def run(batches):
         held = []
         for part in slices(batches, BLOCK):
-            for doc, text, spots in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for doc, text, spots in zip(*(c.to_pylist() for c in part.columns[:3]), strict=True):
                 text = text.encode("utf-8", "replace")
                 for spot in spots:
                     start, n, place = spot >> 17, spot >> 9 & 255, spot >> 1 & 255
@@ -413,26 +413,33 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 def compared(docs: DataFrame, open_runs: DataFrame, splitters: list[bytes], length: int) -> DataFrame:
     """(doc_id, start, n) of the repeats among runs that have their anchors in common."""
     spots = open_runs.groupBy("doc_id").agg(F.collect_list("spot").alias("spots"))
-    coded = docs.join(spots, "doc_id").select("doc_id", "text", "spots").mapInArrow(_sorted_runs(length, splitters), "part int, common binary, sizes binary, rest binary, left_sizes binary, lefts binary, doc_ids binary, starts binary")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]  # read as well, so that the exchange is that of the last join
+    coded = docs.join(spots, "doc_id").select("doc_id", "text", "spots", *rest).mapInArrow(_sorted_runs(length, splitters), "part int, common binary, sizes binary, rest binary, left_sizes binary, lefts binary, doc_ids binary, starts binary")
     return coded.repartitionById(len(splitters) + 1, F.coalesce("part", F.lit(0))).mapInArrow(_merge_range(length), "doc_id long, start int, n int")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, spans (array of begin and end, in bytes) and kept (binary: the remaining bytes) of every row with an id. length: ANCHOR to LONGEST bytes."""
+def repeated_places(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, places (array of start and n: a window that repeats an earlier one starts at each of n bytes from start; null if there is none) and carried (struct of these columns, where there are some) of every row with an id. length: ANCHOR to LONGEST bytes."""
     if not ANCHOR <= length <= LONGEST:
         raise ValueError(f"length must be from {ANCHOR} to {LONGEST}")
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).filter("doc_id is not null")
+    carried = [F.struct(*[docs[c] for c in carry]).alias("carried")] if carry else []
+    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *carried).filter("doc_id is not null")
     marked = docs.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
     if marked.groupBy("doc_id").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).filter("a <> b").isEmpty():
-        return _cut(docs, length)
-    placed = written(with_position(marked.select("doc_id", "mark").distinct(), "doc_id", "mark"))
-    cut = _cut(marked.join(placed, ["doc_id", "mark"]).select(F.col("position").alias("doc_id"), "text"), length)
-    return cut.withColumnRenamed("doc_id", "position").join(placed, "position").select("doc_id", "n_bytes", "spans", "kept")
+        return _placed(docs, length)
+    numbered = written(with_position(marked.select("doc_id", "mark").distinct(), "doc_id", "mark"))
+    placed = _placed(marked.join(numbered, ["doc_id", "mark"]).withColumn("doc_id", F.col("position")).select(docs.columns), length)
+    return placed.withColumnRenamed("doc_id", "position").join(numbered, "position").select(*docs.columns, "places")
 
 
-def _cut(docs: DataFrame, length: int) -> DataFrame:
+def _placed(docs: DataFrame, length: int) -> DataFrame:
     dealt = docs.repartition(shuffle_partitions(docs.sparkSession), "doc_id")  # the same exchange as that of compared()
     places = repeats(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("places"))
+    return dealt.join(places, "doc_id", "left")
+
+
+def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, spans (array of begin and end, in bytes) and kept (binary: the remaining bytes) of every row with an id; see repeated_places()."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
     def cut(batches):
@@ -448,4 +455,4 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
                 sizes.append(len(data)), spans.append(mine), kept.append(b"".join([*out, data[at:]]))
             yield record_batch(schema, part.column(0), sizes, spans, kept)
 
-    return dealt.join(places, "doc_id", "left").select("doc_id", "text", "places").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
+    return repeated_places(docs, length, id_col, text_col).select("doc_id", "text", "places").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
