@@ -1,7 +1,9 @@
 """The corpus pipeline: from raw documents to packed training sequences.
 
 Each stage works on all rows its predecessor kept and is written as Parquet before the next one reads it. SQL cannot express
-the classifiers and the tokeniser, so there is no SQL for the whole; tests compare the stages with brute-force versions.
+the classifiers and the tokeniser, so there is no SQL for the whole. Tests compare each stage with a plain version: the two
+classifiers row by row with the operators' own functions, near duplicates and repeated passages with all pairs and all
+strings, packed ids with the tokenizers library.
 """
 
 from __future__ import annotations
