@@ -15,7 +15,8 @@ order of the documents.
 
 Equal runs are folded within each batch before anything is shuffled, so a passage that a third of all documents holds is
 sent a few times, not for each of them. What is kept of a document's repeats is bounded by its own length, and what a merge
-keeps by the different surroundings of one anchor.
+keeps by ``GROUP`` runs: windows of anchors with more different surroundings are compared by their hashes instead, and
+anchors that fill more than one range are dealt to several.
 
 Null and empty texts have no bytes and no repeats. Rows with a null doc_id are left out. Rows that repeat whole are one
 document and have the same result; rows of one doc_id and different texts are documents of their own, in the order of a
@@ -28,6 +29,7 @@ from __future__ import annotations
 import functools
 from array import array
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from itertools import pairwise
 
 import numpy as np
@@ -41,8 +43,8 @@ from tesserae.operators.order import with_position
 
 #: The longest strings for which sizes of suffixes, 2 * length - ANCHOR at most, fit a byte.
 LONGEST = 141
-#: Bytes whose hash makes an anchor, bytes hashed at once, suffixes of one sorted run, and suffixes sampled for splitters.
-ANCHOR, BLOCK, RUN, SAMPLE = 28, 2 << 20, 100_000, 20_000
+#: Bytes whose hash makes an anchor, bytes hashed at once, suffixes of one sorted run, suffixes sampled for splitters, and runs of one anchor that are held at once.
+ANCHOR, BLOCK, RUN, SAMPLE, GROUP = 28, 2 << 20, 100_000, 20_000, 20_000
 _RANDOM = np.random.default_rng(33)
 _BYTE = _RANDOM.integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -51,7 +53,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 #: spot: start << 17 | windows << 9 | anchor's place in the run << 1 | whether it is a repeat
 RUNS = pa.schema([("key", pa.int64()), ("text_hash", pa.int64()), ("doc_id", pa.int64()), ("spot", pa.int64())])
 MARKS = pa.schema([("doc_id", pa.int64()), ("spot", pa.int64())])
-REPEATS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+#: n repeats from start; with a hash, one window that is to be compared with others by it.
+REPEATS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("window", pa.int64())])
 PARTS = pa.schema([("part", pa.int32()), ("common", pa.binary()), ("sizes", pa.binary()), ("rest", pa.binary()), ("left_sizes", pa.binary()), ("lefts", pa.binary()), ("doc_ids", pa.binary()), ("starts", pa.binary())])
 
 
@@ -219,7 +222,7 @@ def _sorted_runs(length: int, splitters: list[bytes]):
         held.sort()
         a = 0
         while a < len(held):
-            part = bisect_right(splitters, held[a][0][:ANCHOR])
+            part = bisect_right(splitters, held[a][0])
             b = bisect_left(held, (splitters[part],), lo=a) if part < len(splitters) else len(held)
             rows = held[a:b]
             common = [0, *(common_prefix(s[0], t[0]) for s, t in pairwise(rows))]
@@ -345,26 +348,59 @@ def window_repeats(group: list, length: int):
             yield doc, start + begin, last + 1 - begin
 
 
-def _merge_range(length: int):
+def open_windows(suffix: bytes, left: bytes, doc: int, start: int, common: int, length: int):
+    """The windows of one run that can be elsewhere, as (doc, start, 1, hash): those that take no more of the suffix than ``common``, what a neighbour shares."""
+    text = left + suffix
+    for k in range(min(len(text) - length, len(left) + common - length) + 1):
+        yield doc, start + k, 1, xxhash.xxh3_64_intdigest(text[k : k + length]) - (1 << 63)
+
+
+def _merge_range(length: int, frequent: frozenset[bytes]):
+    """Merges the sorted runs of a range and compares the runs of each anchor with each other.
+
+    Runs of ``frequent`` anchors, which lie in several ranges, and of those with more than GROUP runs are not held: their
+    windows go on to be compared by hash. A range's first and last suffix may share more with one of another range.
+    """
+
     def run(batches):
         sources, out = [], []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 sources.append(_decoded(*row[:5], array("q", row[5]), array("i", row[6])))
-        group: list = []
+        group: list = []  # runs of one anchor, each with the longest prefix in common with a neighbour
+        passing, first = False, True
+
+        def let_go(n):
+            for g in group[:n]:
+                out.extend(open_windows(*g, length))
+            del group[:n]
+
+        def close(last):
+            if passing:
+                if last:
+                    group[-1] = (*group[-1][:4], 2 * length)
+                let_go(len(group))
+            elif len(group) > 1:
+                out.extend((*r, None) for r in window_repeats(group, length))
+            group.clear()
+
         for common, (_, suffix, left, doc, start) in merge(sources):
-            if common < ANCHOR:
-                if len(group) > 1:
-                    out.extend(window_repeats(group, length))
-                group = []
+            if common < ANCHOR or not group:
+                if group:
+                    close(False)
+                passing, common = suffix[:ANCHOR] in frequent, 2 * length if first else 0
             elif common > group[-1][4]:
                 group[-1] = (*group[-1][:4], common)
-            group.append((suffix, left, doc, start, common if group else 0))
+            first = False
+            group.append((suffix, left, doc, start, common))
+            passing = passing or len(group) > GROUP
+            if passing:
+                let_go(len(group) - 1)  # the last one's next neighbour is to come
             if len(out) >= 65536:
                 yield record_batch(REPEATS, *map(list, zip(*out, strict=True)))
-                out = []
-        if len(group) > 1:
-            out.extend(window_repeats(group, length))
+                out.clear()
+        if group:
+            close(True)
         if out:
             yield record_batch(REPEATS, *map(list, zip(*out, strict=True)))
 
@@ -402,20 +438,30 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
             out = []
             for text, spot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at = (spot >> 17) + (spot >> 1 & 255)
-                out.append(text.encode("utf-8", "replace")[at : at + ANCHOR])
+                out.append(text.encode("utf-8", "replace")[at : at + length])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["head"])
 
     found = sorted(r["head"] for r in texts.select("text", "spot").mapInArrow(heads, "head binary").toLocalIterator())
-    splitters = sorted({found[k * len(found) // parts] for k in range(1, parts)}) if found else []
-    return done.union(compared(docs.repartition(parts, "doc_id"), open_runs, splitters, length))
+    return done.union(compared(docs.repartition(parts, "doc_id"), open_runs, *ranges(found, parts), length))
+
+
+def ranges(heads: list[bytes], parts: int) -> tuple[list[bytes], frozenset[bytes]]:
+    """Splitters of about so many ranges by sorted heads of suffixes, and the anchors that lie in several ranges: those that fill more than one. All others are in one."""
+    picked = [heads[k * len(heads) // parts] for k in range(1, parts)] if heads else []
+    times = Counter(h[:ANCHOR] for h in picked)
+    return sorted({h if times[h[:ANCHOR]] > 1 else h[:ANCHOR] for h in picked}), frozenset(a for a, n in times.items() if n > 1)
 
 
-def compared(docs: DataFrame, open_runs: DataFrame, splitters: list[bytes], length: int) -> DataFrame:
+def compared(docs: DataFrame, open_runs: DataFrame, splitters: list[bytes], frequent: frozenset[bytes], length: int) -> DataFrame:
     """(doc_id, start, n) of the repeats among runs that have their anchors in common."""
     spots = open_runs.groupBy("doc_id").agg(F.collect_list("spot").alias("spots"))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]  # read as well, so that the exchange is that of the last join
     coded = docs.join(spots, "doc_id").select("doc_id", "text", "spots", *rest).mapInArrow(_sorted_runs(length, splitters), "part int, common binary, sizes binary, rest binary, left_sizes binary, lefts binary, doc_ids binary, starts binary")
-    return coded.repartitionById(len(splitters) + 1, F.coalesce("part", F.lit(0))).mapInArrow(_merge_range(length), "doc_id long, start int, n int")
+    found = written(coded.repartitionById(len(splitters) + 1, F.coalesce("part", F.lit(0))).mapInArrow(_merge_range(length, frequent), "doc_id long, start int, n int, window long"))
+    windows = found.filter("window is not null").select("window", F.struct("doc_id", "start").alias("at"))
+    first = windows.groupBy("window").agg(F.min("at").alias("first"), F.count("*").alias("times")).filter("times > 1")
+    later = windows.join(first, "window").filter("at <> first").select("at.doc_id", "at.start", F.lit(1).alias("n"))
+    return found.filter("window is null").select("doc_id", "start", "n").union(later)
 
 
 def repeated_places(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -98,6 +98,24 @@ def test_suffix_dedup_of_one_id_with_several_texts(spark):
     assert got == [(1, 300, 300), (2, 300, 300), (2, 300, 300), (2, 450, 300), (3, 300, 0), (4, 600, 300)]
 
 
+@pytest.mark.parametrize("held", [1, 3, 20])
+def test_suffix_dedup_of_a_frequent_anchor(spark, monkeypatch, held):
+    """The same 40 bytes in many different surroundings, some of which repeat in part: more than a task holds, and in several ranges."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", held)
+    rng = np.random.default_rng(held)
+    noise = lambda n: "".join(rng.choice(list("abcdefghijklmnop "), n))
+    lefts, rights, core = [noise(80) for _ in range(6)], [noise(80) for _ in range(6)], "0123456789012345678901234567890123456789"
+    rows = []
+    for k in range(200):
+        text = ""
+        for _ in range(3):
+            left, right = lefts[rng.integers(6)] if rng.random() < 0.5 else noise(80), rights[rng.integers(6)] if rng.random() < 0.5 else noise(80)
+            text += noise(20) + left + core + right
+        rows.append((k, text))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: bytes(r["kept"]) for r in got} == brute_cover(rows, 100)
+
+
 @pytest.mark.parametrize("length", [28, 60, 141])
 def test_suffix_dedup_lengths(spark, docs, length):
     got = suffix_dedup.remove_repeats(docs, length).collect()

@@ -133,6 +133,15 @@ def test_loser_tree(groups):
     assert [c for c, _ in got] == [0, *(suffix_dedup.common_prefix(a[1][1], b[1][1]) for a, b in zip(got, got[1:], strict=False))][: len(got)]
 
 
+def test_ranges_split_frequent_anchors():
+    often = b"f" * suffix_dedup.ANCHOR
+    heads = sorted([bytes([k]) * 100 for k in range(97, 123)] + [often + bytes([k]) * 72 for k in range(200)])
+    splitters, frequent = suffix_dedup.ranges(heads, 8)
+    assert frequent == {often} and splitters == sorted(splitters) and sum(x.startswith(often) for x in splitters) > 3
+    assert suffix_dedup.ranges([], 8) == ([], frozenset()) and suffix_dedup.ranges(heads, 1)[0] == []
+    assert suffix_dedup.ranges(heads[:5], 3)[1] == frozenset()
+
+
 def test_covered():
     places = [{"start": 5, "n": 2}, {"start": 0, "n": 1}, {"start": 30, "n": 1}]
     assert suffix_dedup.covered(places, 10).tolist() == [[0, 16], [30, 40]]
