@@ -302,12 +302,16 @@ def test_pages(spark):
     assert html.main_text(df.filter("page_id < 0")).count() == 0
 
 
-def test_queries_against_sql(spark):
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_queries_against_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
-    want = con.sql(queries.ORACLE_SQL["op4_exact_topk"]).fetchall()
-    got = [tuple(r) for r in queries.op4_exact_topk(spark, SF).collect()]
-    assert sorted(got) == sorted(want)
+    for table in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, SF)
+    columns = sorted(got.columns)
+    assert sorted(want.columns) == columns
+    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(tuple(dict(zip(want.columns, r, strict=True))[c] for c in columns) for r in want.fetchall())
 
 
 def test_query_digests(spark):
