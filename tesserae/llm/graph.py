@@ -2,7 +2,8 @@
 
 Each round moves every node's larger neighbours to the smallest one it knows (large star) and then its smaller ones
 (small star), until nothing changes; what is left are stars around the smallest node of each component. Minima are
-combined before they are shuffled, and joins on a hub can be split by adaptive execution. Every round is checkpointed.
+combined before they are shuffled and written before they are joined, so that adaptive execution can split the join on a
+hub. Every round is checkpointed.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from tesserae.llm.common import checkpoint
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+    least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    least = checkpoint(links.groupBy("u").agg(F.min("v").alias("m")))
     moved = links.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
