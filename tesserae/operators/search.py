@@ -238,7 +238,7 @@ def answers(questions: DataFrame, hits: DataFrame, notices: DataFrame, model=Non
     return none.unionByName(some.join(context, "query_id", "left").select("query_id", reply.alias("reply")))
 
 
-def retrieval_quality(rows: DataFrame, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", ks=(1, 3, 5, 10), block: int = 2048) -> DataFrame:
+def retrieval_quality(rows: DataFrame, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", ks=(1, 3, 5, 10), block: int = 8192) -> DataFrame:
     """(metric, value): Recall@k and MRR when each row looks for the nearest other row of its label.
 
     Rows and queries meet block by block. A first pass finds each query's best relevant similarity, a second one counts
@@ -249,13 +249,15 @@ def retrieval_quality(rows: DataFrame, id_col: str = "vec_id", label_col: str =
     left = rows.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     right = rows.select(*(F.col(c).alias(c) for c in rows.columns)).withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
 
-    def similar(q: pa.Table, r: pa.Table):
-        def unit(t):
-            v = _matrix(t.column("v"))
-            return v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9)
+    def unit(t):
+        v = _matrix(t.column("v"))
+        return v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9)
 
-        s = np.round(unit(q) @ unit(r).T, 12)  # so that both passes see equal numbers
-        return s, q.column("id").to_numpy(), r.column("id").to_numpy(), *(t.column("label").to_pandas().to_numpy() for t in (q, r))
+    def similar(q: pa.Table, r: pa.Table):
+        """(places of some queries, their similarities with the rows), 256 queries at a time; rounded, so that both passes see equal numbers."""
+        units, rows = unit(q), unit(r).T
+        for k in range(0, q.num_rows, 256):
+            yield slice(k, k + 256), np.round(units[k : k + 256] @ rows, 12)
 
     keys = ["qb", "rb", "dim"]
     one = pa.schema([("id", pa.int64()), ("best", pa.float64()), ("best_id", pa.int64())])
@@ -263,13 +265,15 @@ def retrieval_quality(rows: DataFrame, id_col: str = "vec_id", label_col: str =
     def relevant(q, r):
         if not (q.num_rows and r.num_rows):
             return one.empty_table()
-        s, qi, ri, ql, rl = similar(q, r)
-        s = np.where((ql[:, None] == rl[None, :]) & (qi[:, None] != ri[None, :]), s, -np.inf)
-        order = np.argsort(ri, kind="stable")
-        top = order[np.argmax(s[:, order], axis=1)]
-        best = s[np.arange(len(qi)), top]
-        ok = np.isfinite(best)
-        return pa.table([pa.array(qi[ok]), pa.array(best[ok]), pa.array(ri[top][ok])], schema=one)
+        r, out = r.sort_by("id"), []  # of equal similarities the first has the smallest id
+        (qi, ql), (ri, rl) = ((t.column("id").to_numpy(), t.column("label").to_pandas().to_numpy()) for t in (q, r))
+        for some, s in similar(q, r):
+            s = np.where((ql[some, None] == rl[None, :]) & (qi[some, None] != ri[None, :]), s, -np.inf)
+            top = np.argmax(s, axis=1)
+            best = s[np.arange(len(s)), top]
+            ok = np.isfinite(best)
+            out.append((qi[some][ok], best[ok], ri[top][ok]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=one)
 
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(relevant, "id long, best double, best_id long")
     best = found.groupBy("id").agg(F.max(F.struct("best", -F.col("best_id"))).alias("b")).select("id", F.col("b.best").alias("best"), (-F.col("b.col2")).alias("best_id"))
@@ -278,10 +282,11 @@ def retrieval_quality(rows: DataFrame, id_col: str = "vec_id", label_col: str =
     def ahead(q, r):
         if not (q.num_rows and r.num_rows):
             return two.empty_table()
-        s, qi, ri, *_ = similar(q, r)
-        b, bi = q.column("best").to_numpy()[:, None], q.column("best_id").to_numpy()[:, None]
-        before = ((s > b) | ((s == b) & (ri[None, :] < bi))) & (qi[:, None] != ri[None, :])
-        return pa.table([pa.array(qi), pa.array(before.sum(1).astype(np.int64))], schema=two)
+        qi, ri, b, bi, out = q.column("id").to_numpy(), r.column("id").to_numpy(), q.column("best").to_numpy(), q.column("best_id").to_numpy(), []
+        for some, s in similar(q, r):
+            before = ((s > b[some, None]) | ((s == b[some, None]) & (ri[None, :] < bi[some, None]))) & (qi[some, None] != ri[None, :])
+            out.append(before.sum(1).astype(np.int64))
+        return pa.table([pa.array(qi), pa.array(np.concatenate(out))], schema=two)
 
     counted = left.join(best, "id").groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(ahead, "id long, before long")
     ranks = counted.groupBy("id").agg((F.sum("before") + 1).alias("rank"))

@@ -475,6 +475,19 @@ def q59_training_pairs(spark, sf_dir):
     return qa.training_pairs(qa.judge(_pairs(spark, sf_dir)))
 
 
+def q60_base64(spark, sf_dir):
+    """Files of a folder, and documents as files, in base64."""
+    rows = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+    return files.as_base64(rows).select("path", F.md5("base64").alias("base64_md5"))
+
+
+def q61_classified(spark, sf_dir):
+    """Categories by a model that knows some texts, by rules where it says nothing, and "other" where it names none of the labels."""
+    title, body = T.title_of("text"), T.body_of("text")
+    found = models.classify(title, body, rules.infer_category(RULES, title, body), ["nouns", "short"], models.LengthModel())
+    return _t(spark, sf_dir, "documents").select("doc_id", found.alias("category"))
+
+
 _HYBRID = """
     docs AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents {filter}),
     tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM docs),
@@ -677,6 +690,10 @@ ORACLE_SQL = {
     "q58_prompt_parts": rf"""
         WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[.!?。]{_WS}*'), lambda x: regexp_replace(x, {_STRIP}, '', 'g')), lambda x: length(x) > 10) AS p FROM documents)
         SELECT doc_id, md5(coalesce(array_to_string(list_transform(p, lambda x, i: i || '. ' || x), chr(10)), '')) AS numbered_md5, CAST(CASE WHEN doc_id % 2 = 0 THEN doc_id % 50 + 2 ELSE 60 END AS INTEGER) AS wait, doc_id // 60 || ' min ' || doc_id % 60 || ' s' AS elapsed FROM s""",
+    "q60_base64": "SELECT CAST(doc_id AS VARCHAR) AS path, md5(base64(encode(text))) AS base64_md5 FROM documents",
+    "q61_classified": f"""
+        WITH r AS ({_category_sql()}), s AS (SELECT doc_id, length({_TITLE} || ' ' || substr({_BODY}, 1, 200)) % 3 AS n FROM documents)
+        SELECT doc_id, CASE n WHEN 0 THEN 'short' WHEN 1 THEN 'other' ELSE category END AS category FROM r JOIN s USING (doc_id)""",
     "q59_training_pairs": f"WITH {_JUDGED} SELECT question AS query, answer AS positive FROM judged WHERE NOT hallucination AND judge_score >= 4",
 }
 

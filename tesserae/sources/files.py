@@ -93,7 +93,8 @@ def read_binary(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
 
 
 def as_base64(files: DataFrame) -> DataFrame:
-    return files.select("path", F.base64("content").alias("base64"))
+    """(path, base64) without line breaks."""
+    return files.select("path", F.regexp_replace(F.base64("content"), r"[\r\n]", "").alias("base64"))
 
 
 def index_records(notices: DataFrame, embed=None) -> DataFrame:
