@@ -9,10 +9,11 @@ the rest need to be posted only under the prefix of that order which two documen
 
 The documents of a posting list meet its first one, the hub, and those above the match threshold are confirmed on the
 full sets. That connects what most groups of copies have, at one comparison for each document and list. Lists whose
-documents are connected are then skipped, and so are all but one of equal lists. In what is left, documents of different
-groups are joined through the postings of their coordinates: collisions are counted with the longest lists skipped, and
-those above the match threshold confirmed unless they are connected already. Large lists go in pairs of blocks of bounded
-size, and a pair of blocks returns a forest of its links, never all pairs of a group.
+documents are connected are then skipped, and so are all but one of equal lists. In what is left the collisions of
+documents of different groups are counted, each pair in the one of its common lists that has the smallest key, and skipped
+in the others; further coordinates of a byte each, as ``matches`` of FINE, tell most pairs that are not similar enough, and the
+rest are confirmed on the full sets unless they are connected already. Large lists go in pairs of blocks of bounded size,
+first with signatures only, and a pair of blocks returns a forest of its links, never all pairs of a group.
 
 Null text, empty text and text without a word has an empty set and is linked with nothing; a text with fewer words than a
 shingle has its whole sequence as its only shingle. Repeated rows and ties of any kind are settled by the smallest doc_id;
@@ -29,31 +30,34 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tesserae.llm.common import active, record_batch, shared_dir, shuffle_partitions, slices, written
 from tesserae.llm.graph import components
 
 COORDINATES, LOSS = 24, 1e-9
-#: Documents and shingles of one block at most, documents that meet a hub in one part (in the mean: they are dealt by a hash), and documents whose signatures are compared directly.
-BLOCK_DOCS, BLOCK_SHINGLES, HUB_PART, FEW = 512, 2_000_000, 128, 16
+#: Documents and shingles of one block at most, and documents that meet a hub in one part (in the mean: they are dealt by a hash).
+BLOCK_DOCS, BLOCK_SHINGLES, HUB_PART = 512, 2_000_000, 128
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Further coordinates, of a byte each, by which pairs that collide are judged before their sets are compared.
+FINE = 256
 _RANDOM = np.random.default_rng(20)
 _SALT = _RANDOM.integers(0, 1 << 63, COORDINATES).astype(np.uint64)
 _ODD = _RANDOM.integers(0, 1 << 63, COORDINATES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_FINE_SALT = _RANDOM.integers(0, 1 << 63, FINE).astype(np.uint64)
+_FINE_ODD = _RANDOM.integers(0, 1 << 63, FINE).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("signature", pa.list_(pa.int64()))])
-SETS = pa.schema([("doc_id", pa.int64()), ("items", pa.binary())])
+SETS = pa.schema([("doc_id", pa.int64()), ("items", pa.binary()), ("fine", pa.binary())])
 LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def matches(percent: int) -> int:
-    """The most coordinates that two sets of this similarity share but for a chance of LOSS; at least one."""
+def matches(percent: int, of: int = COORDINATES) -> int:
+    """The most coordinates, of so many, that two sets of this similarity share but for a chance of LOSS; at least one."""
     p, lost = percent / 100, 0.0
-    for n in range(COORDINATES):
-        lost += math.comb(COORDINATES, n) * p**n * (1 - p) ** (COORDINATES - n)
+    for n in range(of):
+        lost += math.comb(of, n) * p**n * (1 - p) ** (of - n)
         if lost > LOSS:
             return max(1, n)
-    return COORDINATES
+    return of
 
 
 #: At the 85 % of the query.
@@ -84,6 +88,14 @@ def signature(items: np.ndarray) -> np.ndarray:
     return np.array([((items ^ s) * a).min() for s, a in zip(_SALT, _ODD, strict=True)], dtype=np.uint64)
 
 
+def fine_signature(items: np.ndarray) -> np.ndarray:
+    """The top byte of the mixed minimum of each further coordinate: equal for two sets with their similarity, and by chance for one in 256 of the rest."""
+    least = np.full(FINE, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for k in range(0, len(items), 2048):
+        least = np.minimum(least, ((items[None, k : k + 2048] ^ _FINE_SALT[:, None]) * _FINE_ODD[:, None]).min(1))
+    return (_mixed(least) >> np.uint64(56)).astype(np.uint8)
+
+
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).filter("doc_id is not null")
 
@@ -99,13 +111,14 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int, folder: str) -> DataFrame:
-    """(doc_id, items) of the documents with these ids; written, with the ids, so that few ids are sent to the texts instead of the texts to them."""
+    """(doc_id, items, fine) of the documents with these ids; written, with the ids, so that few ids are sent to the texts instead of the texts to them."""
 
     def run(batches):
         for part in slices(batches):
-            yield record_batch(SETS, part.column(0), [shingles(t, words).tobytes() for t in part.column(1).to_pylist()])
+            sets = [shingles(t, words) for t in part.column(1).to_pylist()]
+            yield record_batch(SETS, part.column(0), [s.tobytes() for s in sets], [fine_signature(s).tobytes() for s in sets])
 
-    return written(docs.join(written(ids.distinct(), folder), "doc_id", "left_semi").mapInArrow(run, "doc_id long, items binary"), folder)
+    return written(docs.join(written(ids.distinct(), folder), "doc_id", "left_semi").mapInArrow(run, "doc_id long, items binary, fine binary"), folder)
 
 
 def _prefixes(reps: DataFrame, wanted: int, folder: str) -> DataFrame:
@@ -187,84 +200,51 @@ def _signs(column) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), COORDINATES)
 
 
-def _collisions(marks: np.ndarray, wanted: int):
-    """For each document but the first, the earlier ones that share at least ``wanted`` coordinates with it.
+def _share(keys: np.ndarray) -> np.ndarray:
+    """Which rows have a value in common that is not the greatest of all."""
+    n, values = len(keys), np.unique(keys, return_inverse=True)
+    at = values[1].reshape(keys.shape)
+    common = np.flatnonzero(np.bincount(at.ravel(), minlength=len(values[0]))[:-1] > 1)  # in a row each value is there once
+    column = np.full(len(values[0]), -1)
+    column[common] = np.arange(len(common))
+    out = np.zeros((n, n), dtype=bool)
+    for k in range(0, len(common), 1024):
+        held = (column[at] >= k) & (column[at] < k + 1024)
+        has = np.zeros((n, min(1024, len(common) - k)), dtype=np.float32)
+        has[np.nonzero(held)[0], column[at][held] - k] = 1
+        out |= has @ has.T > 0
+    return out
 
-    Every coordinate has posting lists of its values. Of a document's lists the ``wanted - 1`` longest are skipped: whoever
-    shares enough is in one of the others, which are merged; collisions of those found are then counted in all lists.
-    """
-    n = len(marks)
-    if n <= FEW:  # too few for lists
-        same = (marks[:, None] == marks[None]).sum(2)
-        for i in range(1, n):
-            near = np.flatnonzero(same[i, :i] >= wanted)
-            if len(near):
-                yield i, near[np.argsort(-same[i, near], kind="stable")]
-        return
-    orders, begins, earlier = [], np.zeros((n, COORDINATES), dtype=np.int64), np.zeros((n, COORDINATES), dtype=np.int64)
-    for c in range(COORDINATES):
-        order = np.argsort(marks[:, c], kind="stable")
-        value = marks[order, c]
-        begin = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-        begin = np.repeat(begin, np.diff(np.append(begin, n)))
-        begins[order, c], earlier[order, c] = begin, np.arange(n) - begin
-        orders.append(order)
-    for i in range(1, n):
-        if np.count_nonzero(earlier[i]) < wanted:
-            continue
-        merged = [orders[c][begins[i, c] : begins[i, c] + earlier[i, c]] for c in np.argsort(earlier[i], kind="stable")[: COORDINATES - wanted + 1] if earlier[i, c]]
-        near = np.unique(np.concatenate(merged)) if merged else np.zeros(0, dtype=np.int64)
-        count = (marks[near] == marks[i]).sum(1)
-        near, count = near[count >= wanted], count[count >= wanted]
-        if len(near):
-            yield i, near[np.argsort(-count, kind="stable")]
 
+def _keys(column) -> np.ndarray:
+    """Key lists as rows, filled up with the greatest number."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    out = np.full((len(column), COORDINATES), np.iinfo(np.int64).max)
+    out[np.arange(COORDINATES) < np.diff(column.offsets.to_numpy())[:, None]] = column.flatten().to_numpy()
+    return out
 
-def _forest(percent: int):
-    """Links between documents of different groups in a pair of blocks, as few as connect what they connect."""
-    wanted = matches(percent)
 
-    def links(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id")
-        ids, side, group = table.column("doc_id").to_numpy(), table.column("side").to_numpy(), table.column("label").to_numpy()
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("items").to_pylist()]
-        marks = _signs(table.column("signature").combine_chunks())
-        inside = table.column("inside")[0].as_py()
-        parent = np.unique(group, return_index=True)[1][np.unique(group, return_inverse=True)[1]].tolist()
+def _collisions(percent: int, key: int, marks, sizes, labels, side, inside: bool, keys):
+    """For each document of a posting list's pair of blocks that has some, the earlier ones that it collides with often enough: (place, places).
 
-        def root(k):
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
-        found = ([], [])
-        for i, near in _collisions(marks, wanted):
-            for j in near.tolist():
-                if (inside or side[i] != side[j]) and root(i) != root(j) and _linked(sets[i], sets[j], percent):
-                    parent[root(i)] = root(j)
-                    found[0].append(ids[i])
-                    found[1].append(ids[j])
-        return pa.table([pa.array(x, pa.int64()) for x in found], schema=LINKS)
-
-    return links
+    Pairs are skipped that are connected, of sizes too different, or met in a list of a smaller key: every pair is counted
+    in one list. (Of a pair of different blocks only those of different sides are looked at.)
+    """
+    wanted = matches(percent)
+    met = (labels[:, None] != labels) & (100 * np.minimum(sizes[:, None], sizes) >= percent * np.maximum(sizes[:, None], sizes))
+    if not inside:
+        met &= side[:, None] != side
+    if met.any():
+        met &= ~_share(np.where(keys < key, keys, key))
+    for i in np.flatnonzero(met.any(1)):
+        of = np.flatnonzero(met[i, :i])
+        of = of[(marks[of] == marks[i]).sum(1) >= wanted]
+        if len(of):
+            yield i, of
 
 
 def _colliding(percent: int):
-    """Of the rows of pairs of blocks, in their order, those that collide often enough with one of another group. Two documents that several lists hold are compared in that of the smallest key."""
-    wanted = matches(percent)
-
-    def near(key, marks, sizes, labels, side, inside, keys):
-        out = np.zeros(len(marks), dtype=bool)
-        for i, of in _collisions(marks, wanted):
-            of = of[(labels[of] != labels[i]) & (100 * np.minimum(sizes[of], sizes[i]) >= percent * np.maximum(sizes[of], sizes[i]))]
-            of = of if inside else of[side[of] != side[i]]
-            if len(of):
-                smaller = keys[i][keys[i] < key]
-                of = of[[not np.isin(keys[j], smaller).any() for j in of]] if len(smaller) else of
-            if len(of):
-                out[of] = out[i] = True
-        return out
+    """Of the rows of pairs of blocks, in their order, those that collide often enough with one of another group."""
 
     def run(batches):
         held = []  # of the last group, which may go on
@@ -282,16 +262,50 @@ def _colliding(percent: int):
 
     def judged(table, cuts):
         table = table.combine_chunks()
-        marks, key, sizes, labels, side, inside = _signs(table.column("signature").chunk(0)), *(table.column(c).to_numpy() for c in ("key", "n_shingles", "label", "side", "inside"))
-        lists = table.column("keys").chunk(0)
-        ends, values = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
-        keys = [values[a:b] for a, b in pairwise(ends)]
-        kept = np.concatenate([near(key[a], marks[a:b], sizes[a:b], labels[a:b], side[a:b], inside[a], keys[a:b]) for a, b in pairwise(cuts)])
-        yield from table.filter(pa.array(kept)).drop_columns(["n_shingles", "keys"]).to_batches()
+        marks, keys, key = _signs(table.column("signature").chunk(0)), _keys(table.column("keys").chunk(0)), table.column("key").to_numpy()
+        sizes, labels, side, inside = (table.column(c).to_numpy() for c in ("n_shingles", "label", "side", "inside"))
+        kept = np.zeros(len(key), dtype=bool)
+        for a, b in pairwise(cuts):
+            for i, of in _collisions(percent, key[a], marks[a:b], sizes[a:b], labels[a:b], side[a:b], inside[a], keys[a:b]):
+                kept[a + i] = kept[a + of] = True
+        yield from table.filter(pa.array(kept)).to_batches()
 
     return run
 
 
+def _forest(percent: int):
+    """Links between documents of different groups in a pair of blocks, as few as connect what they connect."""
+    fine_wanted = matches(percent, FINE)
+
+    def links(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
+        ids, sizes, side, group = (table.column(c).to_numpy() for c in ("doc_id", "n_shingles", "side", "label"))
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("items").to_pylist()]
+        fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), dtype=np.uint8).reshape(-1, FINE)
+        marks, keys = _signs(table.column("signature").combine_chunks()), _keys(table.column("keys"))
+        first = np.unique(group, return_index=True, return_inverse=True)
+        parent = first[1][first[2]].tolist()
+
+        def root(k):
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        found = ([], [])
+        for i, near in _collisions(percent, table.column("key")[0].as_py(), marks, sizes, group, side, table.column("inside")[0].as_py(), keys):
+            same = (fine[near] == fine[i]).sum(1)
+            near, same = near[same >= fine_wanted], same[same >= fine_wanted]
+            for j in near[np.argsort(-same, kind="stable")].tolist():
+                if root(i) != root(j) and _linked(sets[i], sets[j], percent):
+                    parent[root(i)] = root(j)
+                    found[0].append(ids[i])
+                    found[1].append(ids[j])
+        return pa.table([pa.array(x, pa.int64()) for x in found], schema=LINKS)
+
+    return links
+
+
 def _list_links(prefixes: DataFrame, docs: DataFrame, known: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
     """Confirmed links between documents that a posting list holds and ``known`` (node, component) does not connect yet.
 
@@ -318,7 +332,7 @@ def _list_links(prefixes: DataFrame, docs: DataFrame, known: DataFrame, words: i
     dealt = places.join(prefixes, "doc_id").select("key", "a", "c", "cross", "doc_id", "label", "side", "inside", "n_shingles", "signature", "keys")
     dealt = dealt.repartition(shuffle_partitions(posts.sparkSession), "key", "a", "c", "cross").sortWithinPartitions("key", "a", "c", "cross", "doc_id")
     # signatures first, so that only sets of documents that collide are sent
-    met = written(dealt.mapInArrow(_colliding(percent), StructType([f for f in dealt.schema if f.name not in ("n_shingles", "keys")])), folder)
+    met = written(dealt.mapInArrow(_colliding(percent), dealt.schema), folder)
     sets = _sets(docs, met.select("doc_id"), words, folder)
     return met.join(sets, "doc_id").groupBy("key", "a", "c", "cross").applyInArrow(_forest(percent), "u long, v long")
 

@@ -283,13 +283,47 @@ def test_coordinates_wanted_of_a_similarity():
         assert lost <= minhash.LOSS
 
 
-def test_collisions_by_skipping_long_lists():
+def test_every_pair_is_counted_in_one_list():
     rng = np.random.default_rng(9)
-    marks = rng.integers(0, 3, (120, minhash.COORDINATES)).astype(np.uint64)
-    marks[40:60] = marks[40]
-    for wanted in (1, 9, 20, minhash.COORDINATES):
-        got = {(i, int(j)) for i, near in minhash._collisions(marks, wanted) for j in near}
-        assert got == {(i, j) for i in range(120) for j in range(i) if (marks[i] == marks[j]).sum() >= wanted}
+    n = 60
+    marks = rng.integers(0, 3, (n, minhash.COORDINATES)).astype(np.uint64)
+    marks[20:40] = marks[20]
+    prefixes = [sorted(rng.permutation(12)[: rng.integers(1, 6)].tolist()) for _ in range(n)]
+    keys = minhash._keys(pa.array(prefixes, pa.list_(pa.int64())))
+    labels, side = rng.integers(0, 50, n), rng.integers(0, 2, n)
+    for percent, inside in ((50, True), (80, True), (80, False)):
+        sizes = rng.integers(80, 120, n)
+        got = []
+        for key in range(12):
+            at = np.array([k for k in range(n) if key in prefixes[k]], dtype=int)
+            if len(at):
+                got += [(at[i], at[j]) for i, of in minhash._collisions(percent, key, marks[at], sizes[at], labels[at], side[at], inside, keys[at]) for j in of]
+        want = {(i, j) for i in range(n) for j in range(i) if set(prefixes[i]) & set(prefixes[j]) and labels[i] != labels[j] and (inside or side[i] != side[j]) and (marks[i] == marks[j]).sum() >= minhash.matches(percent) and 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j])}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_fine_signature():
+    rng = np.random.default_rng(2)
+    for n, changed in ((300, 24), (5000, 400), (13, 1)):
+        items = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        other = items.copy()
+        other[:changed] = rng.integers(0, 1 << 62, changed)
+        other = np.unique(other)
+        similarity = len(np.intersect1d(items, other)) / len(np.union1d(items, other))
+        same = (minhash.fine_signature(items) == minhash.fine_signature(other)).sum()
+        assert same >= minhash.matches(int(100 * similarity), minhash.FINE) and abs(same / minhash.FINE - similarity) < 0.12
+    assert (minhash.fine_signature(items) == minhash.fine_signature(np.unique(rng.integers(0, 1 << 62, 300).astype(np.uint64)))).mean() < 0.05
+
+
+def test_rows_that_share_values():
+    rng = np.random.default_rng(10)
+    for n, most in ((1, 5), (2, 5), (40, 400), (60, 5000)):
+        keys = np.stack([rng.permutation(most)[:5] for _ in range(n)])
+        keys[:, 3:] = most  # what fills the rows
+        got = minhash._share(keys)
+        want = np.array([[bool(set(a[:3].tolist()) & set(b[:3].tolist())) for b in keys] for a in keys])
+        off = ~np.eye(n, dtype=bool)
+        assert (got[off] == want[off]).all()
 
 
 def test_languages():
