@@ -3,7 +3,7 @@
 Each round moves every node's larger neighbours to the smallest one it knows (large star) and then its smaller ones
 (small star), until nothing changes; what is left are stars around the smallest node of each component. Minima are
 combined before they are shuffled and written before they are joined, so that adaptive execution can split the join on a
-hub. Every round is checkpointed.
+hub. Every round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -11,17 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import checkpoint
+from tesserae.llm.common import shared_dir, written
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, folder: str) -> DataFrame:
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), folder)
+    return written(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), folder)
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    least = checkpoint(links.groupBy("u").agg(F.min("v").alias("m")))
+def _small_star(links: DataFrame, folder: str) -> DataFrame:
+    least = written(links.groupBy("u").agg(F.min("v").alias("m")), folder)
     moved = links.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -29,10 +29,11 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """links (u, v: long, not null) to (node, component), component being the smallest node reachable; nodes without a link are not in it."""
     links = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    links = checkpoint(links)
+    folder = shared_dir(links.sparkSession)
+    links = written(links, folder)
     mark = None
     while True:
-        links = checkpoint(_small_star(_large_star(links)))
+        links = written(_small_star(_large_star(links, folder), folder), folder)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
