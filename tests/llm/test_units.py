@@ -469,3 +469,17 @@ def test_suffixes_are_sorted():
 
 def test_crc_of_ids():
     assert zlib.crc32(np.array([1, 2], dtype="<u4").tobytes()) == zlib.crc32(b"\x01\0\0\0\x02\0\0\0")
+
+
+def test_components(spark):
+    from tesserae.llm.graph import components
+
+    rng = random.Random(12)
+    for edges in ([], [(1, 1)], [(3, 1), (3, 2)], [(5, 4), (4, 3), (3, 2), (2, 1)], [(9, 1), (8, 1), (7, 6)], [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]):
+        name = {n: n for e in edges for n in e if e[0] != e[1]}
+        for _ in name:
+            for a, b in edges:
+                if a != b:
+                    name[a] = name[b] = min(name[a], name[b])
+        got = components(spark.createDataFrame(edges, "u long, v long")).collect()
+        assert {r["node"]: r["component"] for r in got} == name and len(got) == len(name)
