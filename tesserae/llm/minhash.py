@@ -36,7 +36,7 @@ from tesserae.llm.graph import components
 
 COORDINATES, LOSS = 24, 1e-9
 #: Documents and shingles of one block at most, and documents that meet a hub in one part (in the mean: they are dealt by a hash).
-BLOCK_DOCS, BLOCK_SHINGLES, HUB_PART = 512, 2_000_000, 128
+BLOCK_DOCS, BLOCK_SHINGLES, HUB_PART = 256, 2_000_000, 128
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Further coordinates, of a byte each, by which pairs that collide are judged before their sets are compared.
 FINE = 256
