@@ -442,14 +442,15 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["head"])
 
     found = sorted(r["head"] for r in texts.select("text", "spot").mapInArrow(heads, "head binary").toLocalIterator())
-    return done.union(compared(docs.repartition(parts, "doc_id"), open_runs, *ranges(found, parts), length))
+    return done.union(compared(docs.repartition(parts, "doc_id"), open_runs, *ranges(found, parts, total), length))
 
 
-def ranges(heads: list[bytes], parts: int) -> tuple[list[bytes], frozenset[bytes]]:
-    """Splitters of about so many ranges by sorted heads of suffixes, and the anchors that lie in several ranges: those that fill more than one. All others are in one."""
+def ranges(heads: list[bytes], parts: int, total: int) -> tuple[list[bytes], frozenset[bytes]]:
+    """Splitters of about so many ranges by sorted heads of some of ``total`` suffixes, and the anchors that lie in several ranges: those that fill more than one and have more than GROUP suffixes. All others are in one."""
     picked = [heads[k * len(heads) // parts] for k in range(1, parts)] if heads else []
     times = Counter(h[:ANCHOR] for h in picked)
-    return sorted({h if times[h[:ANCHOR]] > 1 else h[:ANCHOR] for h in picked}), frozenset(a for a, n in times.items() if n > 1)
+    frequent = frozenset(a for a, n in times.items() if n > 1 and n * total > GROUP * parts)
+    return sorted({h if h[:ANCHOR] in frequent else h[:ANCHOR] for h in picked}), frequent
 
 
 def compared(docs: DataFrame, open_runs: DataFrame, splitters: list[bytes], frequent: frozenset[bytes], length: int) -> DataFrame:

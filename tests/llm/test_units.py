@@ -136,10 +136,12 @@ def test_loser_tree(groups):
 def test_ranges_split_frequent_anchors():
     often = b"f" * suffix_dedup.ANCHOR
     heads = sorted([bytes([k]) * 100 for k in range(97, 123)] + [often + bytes([k]) * 72 for k in range(200)])
-    splitters, frequent = suffix_dedup.ranges(heads, 8)
+    splitters, frequent = suffix_dedup.ranges(heads, 8, 1_000_000)
     assert frequent == {often} and splitters == sorted(splitters) and sum(x.startswith(often) for x in splitters) > 3
-    assert suffix_dedup.ranges([], 8) == ([], frozenset()) and suffix_dedup.ranges(heads, 1)[0] == []
-    assert suffix_dedup.ranges(heads[:5], 3)[1] == frozenset()
+    assert suffix_dedup.ranges([], 8, 0) == ([], frozenset()) and suffix_dedup.ranges(heads, 1, 1_000_000)[0] == []
+    assert suffix_dedup.ranges(heads[:5], 3, 1_000_000)[1] == frozenset()
+    splitters, frequent = suffix_dedup.ranges(heads, 8, 226)  # one task can hold them
+    assert frequent == frozenset() and {len(x) for x in splitters} == {suffix_dedup.ANCHOR}
 
 
 def test_covered():
