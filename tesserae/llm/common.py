@@ -113,8 +113,8 @@ def released_by_others(clear):
 
 
 def active(owner: str) -> None:
-    """Called where an operator starts in a Python worker. Workers live on from stage to stage: when another operator takes
-    over, the caches of the one before are emptied and their memory goes back to the system."""
+    """Called where an operator, or a part of one, starts in a Python worker. Workers live on from stage to stage: when
+    another one takes over, the caches of the one before are emptied and all free memory goes back to the system."""
     global _ACTIVE
     if _ACTIVE == owner:
         return
@@ -122,6 +122,7 @@ def active(owner: str) -> None:
         for clear in _RELEASES.values():
             clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # not everywhere
             ctypes.CDLL(None).malloc_trim(0)
     _ACTIVE = owner

@@ -114,6 +114,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int, folder: str) -> DataFrame
     """(doc_id, items, fine) of the documents with these ids; written, with the ids, so that few ids are sent to the texts instead of the texts to them."""
 
     def run(batches):
+        active("minhash sets")
         for part in slices(batches):
             sets = [shingles(t, words) for t in part.column(1).to_pylist()]
             yield record_batch(SETS, part.column(0), [s.tobytes() for s in sets], [fine_signature(s).tobytes() for s in sets])
@@ -150,8 +151,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, fold
     dealt = dealt.repartition(shuffle_partitions(docs.sparkSession), "hub", "part").sortWithinPartitions("hub", "part", "side")
 
     def run(batches):
+        active("minhash hubs")
         first = None
-        for batch in batches:
+        for batch in slices(batches, column=4):
             out = ([], [])
             for hub, _, side, doc, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 items = np.frombuffer(items, dtype=np.uint64)
@@ -179,8 +181,11 @@ def _hub_pairs(prefixes: DataFrame, percent: int, folder: str) -> DataFrame:
     dealt = dealt.repartition(shuffle_partitions(prefixes.sparkSession), "hub", "part").sortWithinPartitions("hub", "part", "side")
 
     def run(batches):
+        active("minhash hubs")
         first = None  # signature and size of the hub
         for batch in batches:
+            if not batch.num_rows:
+                continue
             side, sizes, signs = batch.column(2).to_numpy(), batch.column(4).to_numpy(), _signs(batch.column(5))
             # the hub of each row is the last one before it
             at = np.maximum.accumulate(np.where(side == 0, np.arange(1, len(side) + 1), 0))
@@ -188,8 +193,7 @@ def _hub_pairs(prefixes: DataFrame, percent: int, folder: str) -> DataFrame:
                 first = signs[:1], sizes[:1]
             signs_of, sizes_of = np.concatenate([first[0], signs])[at], np.concatenate([first[1], sizes])[at]
             near = (side == 1) & ((signs == signs_of).sum(1) >= wanted) & (100 * np.minimum(sizes, sizes_of) >= percent * np.maximum(sizes, sizes_of))
-            if len(side):
-                first = signs_of[-1:], sizes_of[-1:]
+            first = signs_of[-1:], sizes_of[-1:]
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1, 3)], names=["hub", "part", "doc_id"])
 
     return dealt.mapInArrow(run, "hub long, part int, doc_id long")
@@ -247,6 +251,7 @@ def _colliding(percent: int):
     """Of the rows of pairs of blocks, in their order, those that collide often enough with one of another group."""
 
     def run(batches):
+        active("minhash lists")
         held = []  # of the last group, which may go on
         for batch in batches:
             table = pa.Table.from_batches([*held, batch])
@@ -278,6 +283,7 @@ def _forest(percent: int):
     fine_wanted = matches(percent, FINE)
 
     def links(table: pa.Table) -> pa.Table:
+        active("minhash links")
         table = table.sort_by("doc_id")
         ids, sizes, side, group = (table.column(c).to_numpy() for c in ("doc_id", "n_shingles", "side", "label"))
         sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("items").to_pylist()]

@@ -77,6 +77,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches):
+        active("suffix cut")
         for part in slices(batches):
             rows = []
             for doc_id, text, lang, source, n_chars, places in zip(*(c.to_pylist() for c in part.columns), strict=True):

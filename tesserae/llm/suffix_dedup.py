@@ -171,6 +171,7 @@ def _text_runs(docs: DataFrame, length: int) -> DataFrame:
 
 def _judge(batches):
     """Rows in the order of key, text_hash, doc_id and spot: repeats, and the first of equal runs where other runs have its key."""
+    active("suffix judge")
     waiting = None  # the last first row: key, doc, spot, whether another run has its key
     seen = None  # the last row's key and text_hash, and its first row's doc and spot
     for batch in batches:
@@ -233,6 +234,7 @@ def _sorted_runs(length: int, splitters: list[bytes]):
             a = b
 
     def run(batches):
+        active("suffix runs")
         held = []
         for part in slices(batches, BLOCK):
             for doc, text, spots in zip(*(c.to_pylist() for c in part.columns[:3]), strict=True):
@@ -363,6 +365,7 @@ def _merge_range(length: int, frequent: frozenset[bytes]):
     """
 
     def run(batches):
+        active("suffix merge")
         sources, out = [], []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
@@ -490,6 +493,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
     def cut(batches):
+        active("suffix cut")
         for part in slices(batches):
             sizes, spans, kept = [], [], []
             for text, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
