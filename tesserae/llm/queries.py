@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import ann, arrow_output, bpe, html, langid, minhash, packing, quality, suffix_dedup, topk
+from tesserae.llm import ann, arrow_output, bpe, conversation, exact_dedup, html, langid, merkle, minhash, oracles, packing, quality, suffix_dedup, topk
 from tesserae.llm.common import held_out, shared_dir, table
 
 
@@ -73,6 +75,30 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of equal texts stays, the documents being taken in as two batches."""
+    found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest edits of damaged conversations."""
+    whole = table(spark, sf_dir, "conversations")
+    return conversation.report_of(whole, conversation.damaged(whole))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and the root that its proof leads to when some texts have been lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    claimed = merkle.row_hash(*map(F.col, fields), F.when(tampered, lower).otherwise(F.col("text")))
+    proved = merkle.manifest(docs, [*fields, "text"], "lang", "doc_id", claimed=claimed)
+    out = proved.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_hash(F.col("proof")).alias("proof_sha256"), merkle.folded(F.col("claimed"), F.col("proof")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_byte_bpe": op2_byte_bpe,
@@ -84,9 +110,18 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_language": op9_language,
     "op10_html": op10_html,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+    """,
+    "op12_conversation_repair": oracles.CONVERSATION_REPAIR,
+    "op13_merkle": oracles.MERKLE,
     "op4_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
