@@ -10,8 +10,7 @@ WS = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
 #: Letters, digits and underscores of every script.
 WORD = r"[\p{L}\p{N}_]+"
 
-# Board labels that lead a title, and markers that end one.
-TITLE_LABELS = ("한성공지", "국제", "학사", "비교과", "장학", "취업", "진로", "창업", "기타", "현장실습", "교육프로그램", "행사", "일반공지")
+# Markers that end a title.
 TITLE_MARKERS = ("새글", "hot", "NEW")
 # Image extensions that OCR takes, and those and names that it skips.
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "tif", "tiff", "pdf")
@@ -38,8 +37,8 @@ def _any_of(words) -> str:
     return "|".join(w.replace("\\", "\\\\").replace(".", r"\.") for w in words)
 
 
-def clean_title(c: Column | str, labels=TITLE_LABELS, markers=TITLE_MARKERS) -> Column:
-    """One line, single spaces, without one leading label and one trailing marker."""
+def clean_title(c: Column | str, labels, markers=TITLE_MARKERS) -> Column:
+    """One line, single spaces, without one leading label of the board (labels: those that it uses) and one trailing marker."""
     out = F.regexp_replace(col(c), r"[\r\n]", " ")
     out = strip(F.regexp_replace(out, rf"{WS}{{2,}}", " "))
     out = strip(F.regexp_replace(out, rf"^(?:{_any_of(labels)}){WS}*", ""))

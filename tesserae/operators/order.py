@@ -20,7 +20,16 @@ def shared_folder(spark: SparkSession) -> str:
         base = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp()
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return removed_at_exit(spark, f"{base.rstrip('/')}/{uuid.uuid4().hex}")
+
+
+def removed_at_exit(spark: SparkSession, folder: str) -> str:
+    """Makes a folder for intermediate tables, which the file system removes when the application ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

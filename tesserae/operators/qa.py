@@ -6,7 +6,9 @@ sent to the next.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
@@ -41,6 +43,33 @@ def seed_questions(notices: DataFrame, model=None, min_chars: int = 300) -> Data
     return rows.select("notice_id", F.col("title").alias("notice_title"), F.explode(made).alias("q")).select("notice_id", "notice_title", "q.*")
 
 
+def seed_table(spark: SparkSession, make, name: str = "seed_pairs") -> str:
+    """Registers a table function ``name(title, body)`` over make(title, body), and returns its name.
+
+    make gives (question, answer, type, source_span) one after another, and is called once for a notice, which is at hand
+    in Python only while its pairs are made; what it cannot make pairs of gives no row. In SQL: SELECT ... FROM notices, LATERAL seed_pairs(title, body).
+    """
+
+    class SeedPairs:
+        def eval(self, title: str, body: str):
+            for pair in make(title or "", body or ""):
+                yield tuple(pair)
+
+    spark.udtf.register(name, F.udtf(SeedPairs, returnType="question string, answer string, type string, source_span string", useArrow=True))
+    return name
+
+
+def seed_pairs(notices: DataFrame, make, min_chars: int = 300) -> DataFrame:
+    """notices (notice_id, title, body) of more than min_chars to (notice_id, notice_title, question, answer, type, source_span), by a table function in a lateral join."""
+    spark, view = notices.sparkSession, f"notices_{uuid.uuid4().hex}"
+    name = seed_table(spark, make, f"seed_pairs_{uuid.uuid4().hex}")
+    notices.filter(F.length(F.coalesce("body", F.lit(""))) > min_chars).select("notice_id", "title", "body").createOrReplaceTempView(view)
+    try:
+        return spark.sql(f"SELECT n.notice_id, n.title AS notice_title, s.question, s.answer, s.type, s.source_span FROM {view} n, LATERAL {name}(n.title, n.body) s")
+    finally:
+        spark.catalog.dropTempView(view)
+
+
 def judge(pairs: DataFrame, model=None) -> DataFrame:
     """pairs (…, question, answer, notice) with hallucination, hallucinated_claims, inferred_claims, hall_reason, judge_score, judge_reason, unchecked, needs_review."""
     own = pairs.columns

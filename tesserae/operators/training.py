@@ -1,7 +1,8 @@
 """Training data for encoders and classifiers, guards, evaluation, and a driver for trainers that are brought along.
 
-The trainers themselves need libraries that are not part of this package. A trainer is an object with ``train(batches,
-path)``, which gets an iterator over batches of pandas frames in their order and leaves its model at the path.
+A trainer is an object with ``train_rows(rows, path)``, which gets the table of its rows and leaves its model at the path: those of
+this package (contrastive.ContrastiveTrainer, TextTrainer) work where the rows are. One that is brought along and needs to see
+batches one after another has ``train(batches, path)`` instead, and gets an iterator over pandas frames; rows then stream through the driver.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
 from tesserae.operators import order
+from tesserae.operators.models import save_classifier, train_text_classifier
 from tesserae.operators.rules import label_index
 
 #: Rows that training and evaluation need.
@@ -58,6 +60,23 @@ def batches(rows: DataFrame, size: int = 64) -> Iterator:
         yield pd.DataFrame([r.asDict() for r in held])
 
 
+def _train(trainer, rows: DataFrame, path: str) -> None:
+    if hasattr(trainer, "train_rows"):
+        trainer.train_rows(rows, path)
+    else:
+        trainer.train(batches(rows), path)
+
+
+class TextTrainer:
+    """Trains and saves the text classifier of models.py on rows (text, label); labels: their names."""
+
+    def __init__(self, labels: list[str], features: int = 1 << 14):
+        self.labels, self.features = labels, features
+
+    def train_rows(self, rows: DataFrame, path: str) -> None:
+        save_classifier(train_text_classifier(rows, features=self.features), self.labels, path)
+
+
 def finetune_all(notices: DataFrame, pairs: DataFrame, labels: list[str], embedding, classifier, path: str, seed: str = "42") -> dict[str, str]:
     """Trains an encoder on pairs (query, positive) and then a classifier on notices (title, body, category).
 
@@ -69,7 +88,7 @@ def finetune_all(notices: DataFrame, pairs: DataFrame, labels: list[str], embedd
     done = {}
     if enough(pairs, LEAST_TRAIN):
         keyed = pairs.withColumn("_key", F.md5(F.concat_ws("\x1f", "query", "positive")))
-        embedding.train(batches(order.round_robin(keyed, "positive", "_key").drop("_key")), f"{path}/embedding")
+        _train(embedding, order.round_robin(keyed, "positive", "_key").drop("_key"), f"{path}/embedding")
         done["embedding"] = "trained"
     else:
         done["embedding"] = "too few rows"
@@ -77,7 +96,7 @@ def finetune_all(notices: DataFrame, pairs: DataFrame, labels: list[str], embedd
     if enough(rows, LEAST_TRAIN):
         split = order.stratified_split(rows.withColumn("_key", F.md5("text")), "label", "_key", seed=seed).filter("split = 'train'")
         dealt = order.with_position(split, "_key").withColumn("batch", F.floor(F.col("position") / 64)).drop("_key", "split")
-        classifier.train(batches(dealt), f"{path}/classifier")
+        _train(classifier, dealt, f"{path}/classifier")
         done["classifier"] = "trained"
     else:
         done["classifier"] = "too few rows"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import text as T
 from tesserae.operators import images, models, order, profiles, qa, rules, search, training
 from tesserae.operators.order import shared_folder
+from tesserae.plans import stored
 from tesserae.sources import files, pages
 from tesserae.streaming import monitor
 
@@ -324,7 +325,7 @@ def q42_crawl_all(spark, sf_dir):
     key = F.col("o_orderkey").cast("string")
     posts = rows.filter("o_orderkey % 3 = 0").select(F.concat(F.lit(f"{HOST}/v?id="), key).alias("url"), F.concat(F.lit("<h1>x</h1><div class='txt'><p>Station "), key, F.lit("</p><p> of the line<script>1</script></div><p>y")).alias("html"))
     year = rows.agg(F.max(F.substring("date", 1, 4))).first()[0] or ""
-    return pages.crawl_all(_listing(rows, pages.Board()), posts, year, RULES, pages.Board(host=HOST), "txt")
+    return pages.crawl_all(_listing(rows, pages.Board()), posts, year, RULES, pages.Board(host=HOST, labels=("학사",)), "txt")
 
 
 def q43_listing_variants(spark, sf_dir):
@@ -698,3 +699,5 @@ ORACLE_SQL = {
 }
 
 QUERIES = {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit() and callable(f)}
+QUERIES |= stored.QUERIES
+ORACLE_SQL |= stored.oracle_sql()

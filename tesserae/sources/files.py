@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.operators.order import latest
+from tesserae.operators.order import checkpointed, latest
 
 NOTICE = "title string, url string, date string, body string, category string"
 QA = "question string, answer string, type string, source_span string, notice_id bigint, notice_title string"
@@ -124,6 +126,80 @@ def upsert(index: DataFrame, records: DataFrame, key: str = "doc_id", ordinal: s
     return latest(old.unionByName(new.select(old.columns)), key, "_version", "_at").select(index.columns)
 
 
+def replace_partitions(rows: DataFrame, path: str, partition: str, touched: list) -> None:
+    """Puts the rows in the place of what these partitions hold; a partition that gets none is removed, and the files of all others stay.
+
+    The rows, which may be made of what is replaced, are written beside first. A run that is stopped while partitions are moved
+    leaves some old and some new; run again with the same rows it ends with all new.
+    """
+    staged = checkpointed(rows)
+    staged.hint("rebalance", F.col(partition)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(partition).parquet(path)
+    for value in set(touched) - {r[0] for r in staged.select(partition).distinct().collect()}:  # as many as were touched
+        _remove(rows.sparkSession, f"{path}/{partition}={value}")
+
+
+class BucketedIndex:
+    """An index whose rows lie in partitions by a hash of their key, so that an upsert rewrites only the partitions its records fall in.
+
+    The number of buckets is part of the layout: an index is opened with the number it was made with. A null key is a key like others.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str = INDEX, key: str = "doc_id", buckets: int = 64):
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def rows(self) -> DataFrame:
+        """The index, with the column ``bucket``; a filter on it reaches the files. An empty one if there is none."""
+        schema = f"{self.schema}, bucket int"
+        return _or_empty(self.spark, schema, lambda: self.spark.read.schema(schema).parquet(self.path))
+
+    def among(self, keys: DataFrame) -> DataFrame:
+        """The rows with one of these keys; only their buckets are read."""
+        wanted = keys.select(self.key).distinct().withColumn("bucket", self.bucket())
+        touched = [r[0] for r in wanted.select("bucket").distinct().collect()]
+        return self.rows().filter(F.col("bucket").isin(touched)).join(wanted, ["bucket", self.key], "left_semi")
+
+    def upsert(self, records: DataFrame, ordinal: str | None = None) -> list[int]:
+        """Puts records in: those with a known key replace it, the last of a batch wins. Returns the buckets that were rewritten."""
+        names = self.rows().drop("bucket").columns
+        new = checkpointed(records.select(*names, *([F.col(ordinal).alias("_ordinal")] if ordinal else [])).withColumn("bucket", self.bucket()))
+        touched = sorted(r[0] for r in new.select("bucket").distinct().collect())  # as many as there are buckets at most
+        old = self.rows().filter(F.col("bucket").isin(touched))
+        if ordinal:
+            old = old.withColumn("_ordinal", F.lit(None).cast(new.schema["_ordinal"].dataType))
+        merged = upsert(old, new, self.key, "_ordinal" if ordinal else None).select(*names, "bucket")
+        replace_partitions(merged, self.path, "bucket", touched)
+        return touched
+
+    def remove(self, keys: DataFrame) -> list[int]:
+        """Takes the rows with these keys out; returns the buckets that were rewritten."""
+        gone = checkpointed(keys.select(self.key).distinct().withColumn("bucket", self.bucket()))
+        touched = sorted(r[0] for r in gone.select("bucket").distinct().collect())
+        left = self.rows().filter(F.col("bucket").isin(touched)).join(gone, ["bucket", self.key], "left_anti")
+        replace_partitions(left.select(*self.rows().columns), self.path, "bucket", touched)
+        return touched
+
+
+def write_co_located(rows: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """Writes rows as a table bucketed and sorted by the key. Tables of one key and number of buckets are joined on it without a shuffle."""
+    if rows.sparkSession.conf.get("spark.sql.sources.bucketing.enabled") == "false":
+        raise RuntimeError("bucketing is switched off in this session")
+    name = f"tesserae_{uuid.uuid4().hex}"
+    dealt = rows.repartition(buckets, key)  # a file for each bucket
+    dealt.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
+def open_co_located(spark: SparkSession, path: str, schema: str, key: str, buckets: int) -> DataFrame:
+    """A table that write_co_located() wrote, in another session."""
+    name = f"tesserae_{uuid.uuid4().hex}"
+    quoted = path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{quoted}'")
+    return spark.table(name)
+
+
 def scan(index: DataFrame, category: str | None = None, everything: str = "all") -> DataFrame:
     """The index, or one category of it; the filter reaches the files."""
     return index if not category or category == everything else index.filter(F.col("category") == category)

@@ -5,16 +5,17 @@ Fetching is left to the caller, who brings a table (page, html).
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
 from tesserae.operators import images as I
-from tesserae.operators.order import before_stop
+from tesserae.operators.order import before_stop, checkpointed
 from tesserae.operators.rules import infer_category
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -22,13 +23,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 
 @dataclass(frozen=True)
 class Board:
-    """How a board marks up its listing. pinned: 'own' class of the row, or a 'descendant' with the class."""
+    """How a board marks up its listing. pinned: 'own' class of the row, or a 'descendant' with the class; labels: words that it puts in front of titles."""
 
     title: str = "td-title"
     date: str = "td-date"
     pinned: str = "own"
     pinned_class: str = "notice"
     host: str = ""
+    labels: tuple[str, ...] = ()
 
 
 class _Listing(HTMLParser):
@@ -137,11 +139,11 @@ def listing_rows(pages: DataFrame, board: Board = Board()) -> DataFrame:
     return pages.select(F.col("page").cast("long"), "html").mapInArrow(run, "page long, position int, cells int, pinned boolean, title string, date string, href string")
 
 
-def listing_items(pages: DataFrame, board: Board = Board(), clean: bool = True, labels=T.TITLE_LABELS) -> DataFrame:
+def listing_items(pages: DataFrame, board: Board = Board(), clean: bool = True) -> DataFrame:
     """(page, position, title, url, date) of the listed items: no pinned, header or incomplete rows."""
     rows = listing_rows(pages, board).filter("cells > 0 and not pinned and title is not null and date is not null")
     url = T.absolute("href", board.host)
-    title, url = (T.clean_title("title", labels), T.clean_url(url)) if clean else (T.strip("title"), url)
+    title, url = (T.clean_title("title", board.labels), T.clean_url(url)) if clean else (T.strip("title"), url)
     return rows.select("page", "position", title.alias("title"), url.alias("url"), T.strip("date").alias("date"))
 
 
@@ -163,7 +165,7 @@ def crawl_all(listing: DataFrame, posts: DataFrame, year: str, rules, board: Boa
     The list ends at the first page that gives no item of the year, and from page ``grace_pages`` on at the first item of
     another year. Items without a post have an empty body. Of several posts of a URL any one is taken.
     """
-    items = of_year(listing_items(listing, board), year, grace_pages)
+    items = of_year(checkpointed(listing_items(listing, board)), year, grace_pages)  # used four times, parsed once
     kept = items.groupBy("page").agg(F.count("*").alias("n"))
     # of_year() has none of a page behind its stop, so that such pages end the list, too
     end = listing.select(F.col("page").cast("long").alias("page")).distinct().join(kept, "page", "left").filter("n is null").agg(F.min("page").alias("end"))  # one row
@@ -173,6 +175,18 @@ def crawl_all(listing: DataFrame, posts: DataFrame, year: str, rules, board: Boa
     return found.select("title", "url", "date", "body", infer_category(rules, "title", "body").alias("category"))
 
 
+def counted_crawl(items: DataFrame, done: DataFrame, write, key: str = "url", body: str = "body") -> dict[str, int]:
+    """Gives the items that were not seen before to write(rows), and counts {new, skipped, empty} on the way: one job, whatever write() is.
+
+    See crawl_counts() for the counts; write() has to use all its rows once, as a save does.
+    """
+    marked = items.join(done.select(key).distinct().withColumn("_seen", F.lit(True)), key, "left")
+    new, seen = F.col("_seen").isNull(), Observation(f"crawl-{uuid.uuid4().hex}")
+    counts = [F.count_if(new).alias("new"), F.count_if(~new).alias("skipped"), F.count_if(new & (T.strip(F.coalesce(body, F.lit(""))) == "")).alias("empty")]
+    write(marked.observe(seen, *counts).filter(new).select(items.columns))
+    return {k: seen.get[k] or 0 for k in ("new", "skipped", "empty")}
+
+
 def crawl_counts(items: DataFrame, done: DataFrame, key: str = "url", body: str = "body") -> DataFrame:
     """One row (new, skipped, empty): items not seen before, items that were, and new ones without a body."""
     marked = items.join(done.select(key).distinct().withColumn("_seen", F.lit(True)), key, "left")

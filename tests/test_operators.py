@@ -105,7 +105,7 @@ LISTING = """<table><tr><th>h</th></tr>
 
 def test_listing(spark):
     table = spark.createDataFrame([(1, LISTING), (5, LISTING), (6, LISTING), (7, None)], "page int, html string")
-    items = pages.listing_items(table, pages.Board(host="http://h.kr"))
+    items = pages.listing_items(table, pages.Board(host="http://h.kr", labels=("학사", "장학")))
     first = items.filter("page = 1").orderBy("position").collect()
     assert [(r["title"], r["url"], r["date"]) for r in first] == [("First", "http://h.kr/v?id=1", "2026.01.08"), ("Second", "http://e.org/2", "2025.12.31"), ("Third", "http://h.kr/4", "2026.01.01")]
     kept = pages.of_year(items, "2026").orderBy("page", "position").collect()
@@ -186,7 +186,7 @@ def test_plans(spark, tmp_path):
     assert "EqualTo(category,x)" in plan and "text" not in plan.partition("ReadSchema")[2]
     top = index.orderBy(F.desc("id")).limit(3)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in top
-    assert "Python" not in index.select(T.clean_title("text"), T.clean_url("text"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in index.select(T.clean_title("text", ("Label",)), T.clean_url("text"))._jdf.queryExecution().executedPlan().toString()
 
 
 def failing(message, times):

@@ -42,7 +42,8 @@ def test_clean_url_generated(spark):
 
 def test_clean_title(spark):
     titles = ["학사  공지\n안내 새글", "장학 국가장학금 HOT", "취업취업 박람회", "　제목 ", "", None, "국제"]
-    assert apply(spark, titles, T.clean_title) == ["공지 안내", "국가장학금", "취업 박람회", "제목", "", None, ""]
+    assert apply(spark, titles[:1] + [" a  b "], lambda c: T.clean_title(c, ())) == ["학사 공지 안내", "a b"]
+    assert apply(spark, titles, lambda c: T.clean_title(c, ("국제", "학사", "장학", "취업"))) == ["공지 안내", "국가장학금", "취업 박람회", "제목", "", None, ""]
 
 
 def test_tokenize(spark):
