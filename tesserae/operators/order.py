@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the one the session names for checkpoints, which all executors share; in a temporary one only where it names none and everything runs on one machine."""
+    """The path of a new folder, which is not made yet, in the one the session names for checkpoints, which all executors share; in a temporary one only where it names none and everything runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -20,7 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
         base = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp()
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
-    return removed_at_exit(spark, f"{base.rstrip('/')}/{uuid.uuid4().hex}")
+    return f"{removed_at_exit(spark, f"{base.rstrip('/')}/{uuid.uuid4().hex}")}/data"
 
 
 def removed_at_exit(spark: SparkSession, folder: str) -> str:
