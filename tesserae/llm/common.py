@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.operators.order import removed_at_exit
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,7 +26,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that all executors share.
+    """The path of a new folder below the one that all executors share; what is in it is removed when the application ends.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and everything runs on one machine, as in
     tests, a temporary folder is taken and set as the checkpoint folder; on a cluster that is an error.
@@ -39,14 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="tesserae-")
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tesserae-{uuid.uuid4().hex}"
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint; Spark's cleaner removes it when nothing refers to it any more."""
-    if not df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return removed_at_exit(spark, f"{base.rstrip('/')}/tesserae-{uuid.uuid4().hex}") + "/data"
 
 
 def written(df: DataFrame, folder: str | None = None) -> DataFrame:
