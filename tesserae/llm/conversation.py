@@ -301,7 +301,7 @@ def repair(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     flags = named.select("tree", "turn", "slot", "role", "digest", (~F.col("text").rlike(_BLANK)).alias("blank"), (~F.col("text").rlike(_WHOLE)).alias("open"))
     one = flags.groupBy("tree", "turn", "slot", "role", "digest", "blank", "open").agg(F.count("*").alias("copies"))
     seen = one.filter("not blank").groupBy("tree", "role", "digest").agg(F.min(F.struct("turn")).alias("_first"))
-    one = one.join(seen, ["tree", "role", "digest"], "left")
+    one = one.join(seen.hint("merge"), ["tree", "role", "digest"], "left")
     again = F.when(F.col("blank"), 0).when(F.col("turn").eqNullSafe(F.col("_first.turn")), F.col("copies") - 1).otherwise(F.col("copies"))
     one = one.withColumn("again", again).withColumn("stays", ~F.col("blank") & (F.col("again") < F.col("copies")))
     one = one.select("tree", "turn", "slot", "role", "digest", "blank", "copies", "again", "stays", (F.col("open") & F.col("stays")).alias("late"), F.substring("role", 1, 1).alias("initial"))
@@ -317,14 +317,15 @@ def repair(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
         known = short.unionByName(long.join(_boundaries(long), ["tree", "segment"]).select(*short.columns))
     edits = written(_edited(known), folder)
 
-    kept = edits.filter("said is not null or before is not null or after is not null").join(at.select("tree", "pos", "slot", "role", "digest"), ["tree", "pos"])
+    # written tables are far smaller than their rows, so that their size says little about a broadcast
+    kept = edits.filter("said is not null or before is not null or after is not null").join(at.select("tree", "pos", "slot", "role", "digest").hint("merge"), ["tree", "pos"])
     words = named.dropDuplicates(["tree", "slot", "role", "digest"]).select("tree", "slot", "role", "digest", "text")
-    lines = kept.join(words, ["tree", "slot", "role", "digest"]).select("tree", "pos", "before", "said", "text", "after")
+    lines = kept.join(words.hint("merge"), ["tree", "slot", "role", "digest"]).select("tree", "pos", "before", "said", "text", "after")
 
     def pairs(first: Column, second: Column) -> Column:
         return (~F.concat(first, F.lit(" "), second).isin("s u", "u a", "a u")).cast("long")
 
-    follows = at.select("tree", (F.col("pos") + 1).alias("pos"), F.col("initial").alias("_initial")).join(at.select("tree", "pos", "initial"), ["tree", "pos"])
+    follows = at.select("tree", (F.col("pos") + 1).alias("pos"), F.col("initial").alias("_initial")).join(at.select("tree", "pos", "initial").hint("merge"), ["tree", "pos"])
     zero = F.lit(0).cast("long")
     counted = at.select(
         "tree", (F.col("blank").cast("long") * F.col("copies")).alias("blank"), F.col("again").cast("long").alias("duplicate"), F.col("late").cast("long").alias("truncated"), (F.col("copies") - 1).alias("illegal"), zero.alias("cost"),
@@ -358,7 +359,7 @@ def report_of(conversations: DataFrame, rows: DataFrame, conv: str = "conv_id",
     """The report on ``rows`` for every conversation of the original table, those of which no row is left included."""
     report, _ = repair(rows, conv, **how)
     all_of = conversations.select(tree_of(conv).alias("tree"), F.col(conv).alias("_conv")).distinct()
-    out = all_of.join(report, "tree", "left")
+    out = all_of.join(report.hint("merge"), "tree", "left")
     numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return out.select(F.col("_conv").alias(conv), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
