@@ -485,3 +485,19 @@ def test_components(spark):
                     name[a] = name[b] = min(name[a], name[b])
         got = components(spark.createDataFrame(edges, "u long, v long")).collect()
         assert {r["node"]: r["component"] for r in got} == name and len(got) == len(name)
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>" * 60_000 + "</ul>" * 60_000, "<b>" * 60_000 + "<div></div>" * 30_000, "<svg>" * 60_000, "<b>" * 60_000 + "<head><p>" * 30_000, "<!x " * 250_000, "<a \"'>" * 100_000, "<!--" * 250_000, "x > " + "<a '" * 250_000], ids=range(9))
+def test_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html.parse(page)
+    assert time.process_time() - began < 5  # hours when each tag looks through the rest of the page
+
+
+def test_elements_without_end():
+    assert html.parse("<article><p>A</p><svg>B<p>C</p></article>") == [(html.MAIN, "A"), (html.MAIN, "B"), (html.MAIN, "C")]
+    assert html.parse("<p>A</p><svg>drop</svg>B<script>no end <p>C") == [(html.OTHER, "A"), (html.OTHER, "B")]
+    assert html.parse("<p>A<!-- x <p>B") == [(html.OTHER, "A")] and html.parse("<p>A</p>B <i <!-- c") == [(html.OTHER, "A"), (html.OTHER, "B <i")]
+    assert html.parse("<title>t<p>A</p>") == [(html.OTHER, "t"), (html.OTHER, "A")]
