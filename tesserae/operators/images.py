@@ -141,22 +141,3 @@ def file_text(engine: Engine, content: bytes, form: str, pages: int = 10) -> str
         return layer or "\n".join(t for p in engine.pdf_pictures(content, pages)[:pages] if (t := picture_text(engine, p, "jpg")))
     except Exception:  # noqa: BLE001  an unreadable file has no text
         return ""
-
-
-class PlainEngine:
-    """Stand-in engine without libraries: reads binary portable gray maps (P5) as pictures, whose text is their size, and plain text with form feeds between pages as PDF files."""
-
-    def decode(self, content):
-        kind, width, height, most, pixels = content.split(maxsplit=4) if content.count(b" ") >= 3 else (b"", 0, 0, 0, b"")
-        if kind != b"P5" or int(most) != 255:
-            return None
-        return np.frombuffer(pixels[: int(width) * int(height)], dtype=np.uint8).reshape(int(height), int(width))
-
-    def read(self, picture, form):
-        return [f"{picture.shape[0]}x{picture.shape[1]}"]
-
-    def pdf_text(self, content):
-        return content.decode("utf-8").split("\f")
-
-    def pdf_pictures(self, content, pages):
-        return []

@@ -1,4 +1,4 @@
-"""Model calls behind small interfaces, with offline stand-ins that are deterministic and make no claim to quality.
+"""Model calls behind small interfaces; texts are encoded and tokenised by hashing words where no model is given.
 
 A model is an object whose ``load()`` gives a function over lists of strings; it is loaded once per Python worker.
 """
@@ -57,53 +57,6 @@ def embed(text: Column | str, model=None) -> Column:
     return run(text)
 
 
-class EchoTextModel:
-    """Stand-in text model: answers by rule, as JSON in a fence, as a served model would."""
-
-    def load(self):
-        import json
-
-        def reply(prompts):
-            out = []
-            for p in prompts:
-                task, _, rest = (p or "").partition("\n")
-                claims = [s.strip() for s in re.split(r"[.!?]\s*", rest.partition("\x1f")[0]) if len(s.strip()) > 10][:3]
-                if task == "claims":
-                    out.append("```json\n" + json.dumps(claims) + "\n```")
-                elif task == "verify":
-                    notice = rest.split("\x1f")[1]
-                    results = [{"claim": c, "status": "supported" if c in notice else "inferred" if len(c) % 3 else "contradicted", "evidence": ""} for c in claims]
-                    wrong = [r["claim"] for r in results if r["status"] == "contradicted"]
-                    out.append(json.dumps({"results": results, "hallucination": bool(wrong), "hallucinated_claims": wrong, "reason": "stub"}))
-                else:
-                    out.append(json.dumps({"score": str(1 + len(rest) % 5), "reason": "stub"}))
-            return out
-
-        return reply
-
-
-class DigestModel:
-    """Stand-in text model whose reply is a digest of the prompt, so that prompts can be compared; it fails where the prompt holds ``fails_on``."""
-
-    def __init__(self, fails_on: str = ""):
-        self.fails_on = fails_on
-
-    def load(self):
-        def reply(prompts):
-            if self.fails_on and any(self.fails_on in (p or "") for p in prompts):
-                raise ValueError("no reply to this prompt")
-            return ["Reply " + hashlib.md5((p or "").encode()).hexdigest() + " " for p in prompts]
-
-        return reply
-
-
-class LengthModel:
-    """Stand-in classifier of texts by their length modulo 3: a label, an unknown one, no answer."""
-
-    def load(self):
-        return lambda texts: [("short", "unheard of", "")[len(t or "") % 3] for t in texts]
-
-
 def replies(model, prompts: list, sleep=time.sleep) -> list:
     """The replies to a batch. A rate limit (429) is waited for, as long as it says, in five tries at most; other errors are raised."""
     for attempt in range(TRIES):
@@ -118,11 +71,10 @@ def replies(model, prompts: list, sleep=time.sleep) -> list:
             sleep(int(said.group(1)) + 2 if said else 60)  # as T.retry_delay
 
 
-def ask(prompt: Column, model=None, otherwise=None) -> Column:
+def ask(prompt: Column, model, otherwise=None) -> Column:
     """The model's reply to each prompt. An error, after the tries of replies(), ends the query; where ``otherwise`` is given,
     a function of the error, the prompts of a batch that failed are sent one by one and its result stands for those that
     fail again. Filter rows before: a Python function runs for every row it gets."""
-    model = model or EchoTextModel()
 
     def one(prompt):
         try:

@@ -70,7 +70,7 @@ def seed_pairs(notices: DataFrame, make, min_chars: int = 300) -> DataFrame:
         spark.catalog.dropTempView(view)
 
 
-def judge(pairs: DataFrame, model=None) -> DataFrame:
+def judge(pairs: DataFrame, model) -> DataFrame:
     """pairs (…, question, answer, notice) with hallucination, hallucinated_claims, inferred_claims, hall_reason, judge_score, judge_reason, unchecked, needs_review."""
     own = pairs.columns
     none = F.array().cast("array<string>")

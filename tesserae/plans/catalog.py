@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import text as T
 from tesserae.operators import images, models, order, profiles, qa, rules, search, training
 from tesserae.operators.order import shared_folder
-from tesserae.plans import stored
+from tesserae.plans import standins, stored
 from tesserae.sources import files, pages
 from tesserae.streaming import monitor
 
@@ -173,7 +173,7 @@ def _pairs(spark, sf_dir):
 
 
 def q22_judge_pipeline(spark, sf_dir):
-    judged = qa.judge(_pairs(spark, sf_dir))
+    judged = qa.judge(_pairs(spark, sf_dir), standins.EchoTextModel())
     return judged.select("conv_id", "at", qa.verdict(F.col("hallucination"), F.col("judge_score")).alias("verdict"), "judge_score", "unchecked", "needs_review", F.size("inferred_claims").alias("n_inferred"))
 
 
@@ -355,7 +355,7 @@ def q45_full_bodies(spark, sf_dir):
     key = F.col("doc_id").cast("string")
     pdf = posts.select(F.concat(F.lit(f"{HOST}/download/"), key).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
     image = posts.select(F.concat(F.lit(f"{HOST}/i/"), key, F.lit(".png")).alias("path"), F.concat(F.lit("P5 50 20 255\n"), F.repeat(F.lit("x"), F.lit(1000))).cast("binary").alias("content"))
-    found = pages.full_bodies(posts, pdf.unionByName(image), images.PlainEngine(), "txt", HOST)
+    found = pages.full_bodies(posts, pdf.unionByName(image), standins.PlainEngine(), "txt", HOST)
     return found.select("url", F.md5("body").alias("body_md5"))
 
 
@@ -414,7 +414,7 @@ def q51_answers(spark, sf_dir):
     hits = found.join(notices.select("id", "url", "title"), "id").withColumn("date", F.lit("2026"))
     item = F.col("item_id")
     questions = items.select(item.alias("query_id"), F.col("text").alias("question"), F.when(item % 2 == 1, F.concat(F.lit("N"), item.cast("string"))).alias("name"), (item % 3 == 0).alias("is_first"))
-    return search.answers(questions, hits, notices.select("url", "body"), models.DigestModel("Hello N3."))
+    return search.answers(questions, hits, notices.select("url", "body"), standins.DigestModel("Hello N3."))
 
 
 def q52_first_long_notices(spark, sf_dir):
@@ -473,7 +473,7 @@ def q58_prompt_parts(spark, sf_dir):
 
 def q59_training_pairs(spark, sf_dir):
     """Questions and answers that passed the judge."""
-    return qa.training_pairs(qa.judge(_pairs(spark, sf_dir)))
+    return qa.training_pairs(qa.judge(_pairs(spark, sf_dir), standins.EchoTextModel()))
 
 
 def q60_base64(spark, sf_dir):
@@ -485,7 +485,7 @@ def q60_base64(spark, sf_dir):
 def q61_classified(spark, sf_dir):
     """Categories by a model that knows some texts, by rules where it says nothing, and "other" where it names none of the labels."""
     title, body = T.title_of("text"), T.body_of("text")
-    found = models.classify(title, body, rules.infer_category(RULES, title, body), ["nouns", "short"], models.LengthModel())
+    found = models.classify(title, body, rules.infer_category(RULES, title, body), ["nouns", "short"], standins.LengthModel())
     return _t(spark, sf_dir, "documents").select("doc_id", found.alias("category"))
 
 

@@ -44,7 +44,8 @@ class Versions:
     def commit(self, version: int, base: bool = False) -> None:
         """base: from now on the version stands for all before it, too."""
         for marks in ("bases", "commits") if base else ("commits",):
-            self.spark.range(0).write.mode("overwrite").parquet(f"{self.path}/{marks}/version={version}")
+            fs, where = self._fs(f"{self.path}/{marks}/version={version}/_SUCCESS")
+            fs.create(where, True).close()
 
     def read(self, table: str) -> DataFrame:
         """All committed versions of a table, with the column ``version``; filters on partitions reach the files."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
 from tesserae.operators import models, order, qa, rules, search
+from tesserae.plans import standins
 from tesserae.sources import files, pages
 
 
@@ -154,7 +155,7 @@ def test_recognise_survives_errors(spark):
 
 def test_judge(spark):
     rows = [("q1", "A fact that is in the notice.", "A fact that is in the notice"), ("q2", "no", "x"), ("q3", "Invented long claims. Another one here?", "x")]
-    judged = {r["question"]: r for r in qa.judge(spark.createDataFrame(rows, "question string, answer string, notice string")).collect()}
+    judged = {r["question"]: r for r in qa.judge(spark.createDataFrame(rows, "question string, answer string, notice string"), standins.EchoTextModel()).collect()}
     assert judged["q2"]["unchecked"] and not judged["q2"]["hallucination"]
     assert not judged["q1"]["hallucination"] and not judged["q1"]["needs_review"]
     bad = judged["q3"]
@@ -292,7 +293,7 @@ def test_pictures():
     ready = images.prepared(np.repeat(page[..., None], 3, axis=2))
     assert ready.shape == (800, 2000, 3) and ready[330, 1000].max() < 60 and ready[700, 1000].min() > 200
     assert images.tiles(1500) == [(0, 1500)] and images.tiles(1501) == [(0, 1500), (1400, 1501)]
-    plain = images.PlainEngine()
+    plain = standins.PlainEngine()
     assert plain.decode(b"P5 3 2 255\nabcdef").shape == (2, 3) and plain.decode(b"GIF89a") is None
 
 
@@ -343,7 +344,7 @@ def test_answers(spark):
     said = {r["query_id"]: r["reply"] for r in search.answers(questions, hits, notices, Whole()).collect()}
     assert said[1].endswith("Begin with: Hello Kim. \n\nNotices:\n[Notice 1]\nTitle: A\nDate: d\nBody: new\n\n[Notice 2]\nTitle: B\nDate: \nBody: (no body)\n\nQuestion:\nwhen?")
     assert "(no greeting)" in said[2] and "(no body)" in said[2] and said[3] == search.NO_HITS
-    failed = {r["query_id"]: r["reply"] for r in search.answers(questions, hits, notices, models.DigestModel("when?")).collect()}
+    failed = {r["query_id"]: r["reply"] for r in search.answers(questions, hits, notices, standins.DigestModel("when?")).collect()}
     assert failed[1] == "[model error] no reply to this prompt" and failed[2].startswith("Reply ")
 
 
@@ -477,7 +478,7 @@ def test_work_goes_on_where_it_was_stopped(spark, tmp_path):
 
 def test_one_prompt_fails_alone(spark):
     rows = spark.createDataFrame([("bad",), ("good",)], "p string").coalesce(1)
-    got = {r["p"]: r["r"] for r in rows.select("p", models.ask(F.col("p"), models.DigestModel("bad"), otherwise=lambda e: "none").alias("r")).collect()}
+    got = {r["p"]: r["r"] for r in rows.select("p", models.ask(F.col("p"), standins.DigestModel("bad"), otherwise=lambda e: "none").alias("r")).collect()}
     assert got["bad"] == "none" and got["good"].startswith("Reply ")
 
 
