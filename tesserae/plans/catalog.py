@@ -700,4 +700,4 @@ ORACLE_SQL = {
 
 QUERIES = {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit() and callable(f)}
 QUERIES |= stored.QUERIES
-ORACLE_SQL |= stored.oracle_sql()
+ORACLE_SQL |= stored.oracle_sql(ORACLE_SQL.get)

@@ -1,4 +1,4 @@
-"""Queries over what is kept between runs: lexical and vector indexes, indexes in buckets, monitors and crawls; with their SQL."""
+"""Queries over what is kept between runs: lexical and vector indexes, indexes in buckets, monitors and crawls, trained models; and over models and files; with their SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
-from tesserae.operators import contrastive, order, qa, rules, search
-from tesserae.operators.lexical import LexicalIndex
+from tesserae.operators import contrastive, models, order, qa, rules, search, training
+from tesserae.operators.lexical import LexicalIndex, indexed_search
 from tesserae.operators.order import checkpointed, shared_folder
 from tesserae.operators.vector_index import VectorIndex
+from tesserae.plans import standins
 from tesserae.sources import files, pages
 from tesserae.streaming import monitor
 
@@ -80,6 +81,17 @@ def q66_cells_recall(spark, sf_dir):
     return both.agg(F.count("*").alias("neighbours"), F.count("hit").alias("found"), F.round(F.try_divide(F.count("hit").cast("double"), F.count("*")), 4).alias("recall"), F.lit(share).cast("double").alias("met"))
 
 
+def q80_indexed_search(spark, sf_dir):
+    """The five best documents for every benchmark text with a vector, by both kept indexes after their upserts."""
+    rows = _t(spark, sf_dir, "embeddings").join(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    vectors = VectorIndex(spark, shared_folder(spark))
+    vectors.build(rows.filter("vec_id % 7 <> 0"))
+    vectors.upsert(rows.filter("vec_id % 7 = 0"))
+    queries = _t(spark, sf_dir, "benchmark").join(_t(spark, sf_dir, "embeddings"), F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), "text", "embedding")
+    found = indexed_search(_moved_index(spark, sf_dir), vectors, queries)
+    return found.select("query_id", "rank", F.col("id").alias("doc_id"), F.round("score", 4).alias("score"))
+
+
 _DOC = "doc_id long, text string, lang string"
 
 
@@ -196,6 +208,46 @@ def q74_contrastive(spark, sf_dir):
     return ends.crossJoin(before).crossJoin(after).crossJoin(held.agg(F.count("*").alias("held_out")))  # one row each
 
 
+def q75_lenient_lines(spark, sf_dir):
+    """JSON lines some of which are broken or lack their key: those are left out."""
+    folder, key = shared_folder(spark), F.col("doc_id").cast("string")
+    whole = F.concat(F.lit('{"doc_id": '), key, F.lit(', "lang": "'), "lang", F.lit('"}'))
+    keyless = F.concat(F.lit('{"lang": "'), "lang", F.lit('"}'))
+    lines = F.when(F.col("doc_id") % 7 == 0, F.substring(whole, 1, 12)).when(F.col("doc_id") % 11 == 0, keyless).otherwise(whole)
+    _t(spark, sf_dir, "documents").select(lines.alias("value")).write.text(folder)
+    return files.read_json_lines(spark, folder, "doc_id long, lang string", required="doc_id")
+
+
+def q76_summaries(spark, sf_dir):
+    """Summaries by a model that fails for some prompts, which get their first sentences instead."""
+    said = models.summarize(T.title_of("text"), T.body_of("text"), standins.DigestModel("***"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(said).alias("summary_md5"))
+
+
+def q77_embedded(spark, sf_dir):
+    """Places of documents' vectors that are not zero, and their signs."""
+    vector = models.embed("text")
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(vector).alias("place", "value"))
+    return rows.filter("value <> 0").select("doc_id", "place", F.signum("value").cast("int").alias("sign"))
+
+
+def q78_saved_classifier(spark, sf_dir):
+    """What a classifier that was saved and loaded says, beside what it said before."""
+    rows = training.classify_dataset(_t(spark, sf_dir, "documents").select("doc_id", T.title_of("text").alias("title"), T.body_of("text").alias("body"), F.col("lang").alias("category")), ["en", "fr", "de", "es"], keep=("doc_id",))
+    folder, model = shared_folder(spark), models.train_text_classifier(rows)
+    models.save_classifier(model, ["en", "fr", "de", "es"], folder)
+    first = models.predicted_category(rows, (model, ["en", "fr", "de", "es"]), F.lit("none"))
+    again = models.predicted_category(rows, models.load_classifier(spark, folder), F.lit("none"))
+    both = first.select("doc_id", F.col("category").alias("before")).join(again.select("doc_id", F.col("category").alias("after")), "doc_id")
+    return both.select("doc_id", (F.col("before") == F.col("after")).alias("same"))
+
+
+def q79_first_pdf_pages(spark, sf_dir):
+    """The text of the first ten pages of PDF files."""
+    pdf = _t(spark, sf_dir, "documents").select(F.concat(F.lit("/d/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.translate(F.coalesce("text", F.lit("")), "\n", "\f").cast("binary").alias("content"))
+    return pages.recognised(pdf, standins.PlainEngine(), 10).select("path", F.md5("text").alias("text_md5"))
+
+
 def _topk_sql(k: int, columns: str) -> str:
     from tesserae.plans.catalog import _hybrid_sql
 
@@ -215,8 +267,9 @@ def _many_sql() -> str:
         SELECT doc_id, CASE WHEN starts_with(title, 'The') THEN 'articles' ELSE coalesce(t.c, b.c, 'other') END AS category FROM d LEFT JOIN t USING (doc_id) LEFT JOIN b USING (doc_id)"""
 
 
-def oracle_sql() -> dict[str, str]:
-    from tesserae.plans.catalog import _BODY, _TITLE, _category_sql
+def oracle_sql(catalog_sql) -> dict[str, str]:
+    """catalog_sql: the SQL of a query of the catalogue."""
+    from tesserae.plans.catalog import _BODY, _STRIP, _TITLE, _WS, _category_sql
 
     arriving = f"""
         s AS (SELECT max(doc_id) // {_BATCHES} + 1 AS size FROM documents),
@@ -225,6 +278,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "q62_blockmax_topk": _topk_sql(10, "query_id, rank, doc_id, round(bm25, 6) AS bm25"),
         "q64_compacted_index": _topk_sql(1, "query_id, doc_id, round(bm25, 6) AS bm25"),
+        "q80_indexed_search": catalog_sql("q06_multi_query_search"),
         "q63_kept_statistics": r"""
             WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents)
             SELECT term, count(*) AS df, 0::BIGINT AS total FROM (SELECT unnest(list_distinct(w)) AS term FROM w) GROUP BY term UNION ALL SELECT '', count(*), CAST(sum(len(w)) AS BIGINT) FROM w""",
@@ -249,6 +303,19 @@ def oracle_sql() -> dict[str, str]:
             WITH p AS (SELECT url, CASE WHEN page_id % 7 <> 0 THEN html END AS body, page_id FROM pages), d AS (SELECT DISTINCT url FROM p WHERE page_id % 3 = 0),
             m AS (SELECT p.*, d.url IS NULL AS new FROM p LEFT JOIN d USING (url))
             SELECT count(*) FILTER (WHERE new) AS new, count(*) FILTER (WHERE NOT new) AS skipped, count(*) FILTER (WHERE new AND trim(coalesce(body, '')) = '') AS empty, count(*) FILTER (WHERE new) AS written FROM m""",
+        "q75_lenient_lines": "SELECT doc_id, lang FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0",
+        "q76_summaries": rf"""
+            WITH d AS (SELECT doc_id, {_TITLE} AS title, {_BODY} AS body FROM documents),
+            s AS (SELECT *, title || chr(10) || chr(10) || substr(body, 1, 512) AS prompt, list_filter(list_transform(regexp_split_to_array(body, '[.!?。]{_WS}*'), lambda x: regexp_replace(x, {_STRIP}, '', 'g')), lambda x: length(x) > 10) AS p FROM d)
+            SELECT doc_id, md5(CASE WHEN NOT contains(prompt, '***') THEN 'Reply ' || md5(prompt) || ' ' WHEN len(p) > 0 THEN array_to_string(p[1:2], '. ') || '.' ELSE substr(body, 1, 150) END) AS summary_md5 FROM s""",
+        "q77_embedded": r"""
+            WITH w AS (SELECT doc_id, md5(unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+'))) AS h FROM documents),
+            p AS (SELECT doc_id, CAST(CAST('0x' || substr(h, 1, 2) AS INTEGER) % 64 AS INTEGER) AS place, CASE WHEN CAST('0x' || substr(h, 15, 2) AS INTEGER) >= 128 THEN 1 ELSE -1 END AS v FROM w)
+            SELECT doc_id, place, CAST(sign(sum(v)) AS INTEGER) AS sign FROM p GROUP BY doc_id, place HAVING sum(v) <> 0""",
+        "q78_saved_classifier": "SELECT doc_id, true AS same FROM documents",
+        "q79_first_pdf_pages": rf"""
+            WITH t AS (SELECT doc_id, array_to_string(string_split(coalesce(text, ''), chr(10))[1:10], ' ') AS t FROM documents), s AS (SELECT doc_id, regexp_replace(t, {_STRIP}, '', 'g') AS t FROM t)
+            SELECT '/d/' || doc_id || '.pdf' AS path, md5(t) AS text_md5 FROM s WHERE t <> ''""",
         "q73_seed_pairs": f"""
             WITH n AS (SELECT doc_id, {_TITLE} AS title, {_BODY} AS body FROM documents),
             l AS (SELECT doc_id, title, list_filter(string_split(body, chr(10)), lambda x: length(x) > 20)[1:3] AS l FROM n WHERE length(body) > 300),

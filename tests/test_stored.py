@@ -452,3 +452,62 @@ spark.stop()
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
     assert "left 0" not in out.stdout and "left" in out.stdout, out.stderr[-500:]
     assert not [f for f in glob.glob(f"{tmp_path}/shared/*") if glob.glob(f"{f}/**/*.parquet", recursive=True)]
+
+
+# a remote service
+
+
+@pytest.fixture
+def service():
+    """A local OCR service: says the size of the picture; every first request of a size is turned away, and black pictures are refused."""
+    import json
+    import struct
+    import threading
+    import zlib
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            edge = self.headers["Content-Type"].split("boundary=")[1].encode()
+            message, content = (p.split(b"\r\n\r\n", 1)[1][:-2] for p in body.split(b"--" + edge)[1:3])
+            width, height = struct.unpack(">II", content[16:24])
+            size = struct.unpack(">I", content[33:37])[0]
+            black = not any(zlib.decompress(content[41 : 41 + size]))
+            seen.append((self.headers["X-OCR-SECRET"], json.loads(message)["version"], width, height))
+            code = 400 if black else 429 if seen.count(seen[-1]) == 1 else 200
+            self.send_response(code)
+            self.send_header("Retry-After", "0")
+            self.end_headers()
+            if code == 200:
+                self.wfile.write(json.dumps({"images": [{"fields": [{"inferText": f"{width}x{height}"}, {"inferText": " "}, {}]}]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/", seen
+    server.shutdown()
+
+
+def test_remote_ocr(spark, service):
+    from tesserae.operators.remote_ocr import RemoteOcr
+    from tesserae.plans import standins
+    from tesserae.sources import pages
+
+    url, seen = service
+    engine = RemoteOcr(url, "secret", standins.PlainEngine(), wait=0.01)
+    assert engine.read(np.full((40, 120, 3), 7, np.uint8), "jpg") == ["120x40"] and engine.read(np.full((41, 120), 7, np.uint8), "jpg") == ["120x41"]
+    assert [s[:2] for s in seen] == [("secret", "V2")] * 4
+    with pytest.raises(Exception, match="400"):
+        engine.read(np.zeros((40, 120), np.uint8), "jpg")
+    with pytest.raises(RuntimeError):
+        RemoteOcr(url, "", standins.PlainEngine())
+    with pytest.raises(Exception, match="refused"):
+        RemoteOcr("http://127.0.0.1:9/", "k", standins.PlainEngine(), wait=0.0).read(np.ones((2, 2), np.uint8), "png")
+    files = spark.createDataFrame([("a.png", b"P5 300 200 255\n" + bytes(range(200)) * 300), ("b.png", b"broken"), ("c.png", b"P5 20 20 255\n" + b"x" * 400)], "path string, content binary")
+    got = {r["path"]: r["text"] for r in pages.recognised(files, engine).collect()}
+    assert set(got) == {"a.png"} and "x" in got["a.png"]
