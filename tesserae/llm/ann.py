@@ -11,7 +11,8 @@ scaled to it, it is the smallest distance. Products are summed in one fixed orde
 
 Vectors that are null, empty, all zero, or hold null or non-finite components (or ones of 1e150 and more) take no part; rows of another number of
 components are not compared; rows that share the query's id count as its own. Ties go to the smaller id; with fewer
-candidates than k all are returned, for the test does not stop a query that has found fewer. Other columns are not carried.
+candidates than k all are returned, for the test does not stop a query that has found fewer. Rows that repeat an id
+are candidates each, and as queries give one list together. Other columns are not carried.
 """
 
 from __future__ import annotations

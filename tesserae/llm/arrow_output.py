@@ -11,7 +11,7 @@ approximate quantiles of doc_id, as many as there are shards. Files are written
 a task that runs again replaces its own files.
 
 Null text counts as empty: the document is its end id alone. Null doc_ids come first. Repeated rows are documents of their
-own, ties ordered by their ids. Empty tables give no shard and no row; other columns are not carried.
+own, ties ordered by their ids. Texts are encoded whole; a row of ids is as long as its text. Empty tables give no shard and no row; other columns are not carried.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ first with signatures only, and a pair of blocks returns a forest of its links,
 
 Null text, empty text and text without a word has an empty set and is linked with nothing; a text with fewer words than a
 shingle has its whole sequence as its only shingle. Repeated rows and ties of any kind are settled by the smallest doc_id;
-rows with a null doc_id are left out. Empty tables give empty results; other columns are not carried.
+rows with a null doc_id are left out. Texts count whole, however long. Empty tables give empty results; other columns are not carried.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ coordinates and fewer and fewer rows (coordinate pruning). What is left is verif
 Vectors are quantised to floor(scale * x) in double. Vectors that are null, empty, or hold null or non-finite
 components (or ones of 1e150 and more) take no part; rows of another number of components are not compared; rows that share the query's id count as
 its own. Zero vectors take part. Ties go to the smaller id; with fewer candidates than k all are returned; a query without
-candidates has no row. Products beyond 64 bits are cut to the largest or smallest. Other columns are not carried.
+candidates has no row. Rows that repeat an id are candidates each, and as queries give one list together. Products beyond 64 bits are cut to the largest or smallest. Other columns are not carried.
 """
 
 from __future__ import annotations
