@@ -88,7 +88,7 @@ def queries(spark):
 
 def test_lexical_index_after_upserts(spark, path, queries):
     """Statistics and results after upserts, a removal and a rewrite are those of a new index; every change is seen at once."""
-    index = LexicalIndex(spark, path, block=4)
+    index = LexicalIndex(spark, path, block=4, buckets=3)
     now = dict(texts(120))
     index.upsert(spark.createDataFrame(list(now.items()), DOCS))
     changes = [texts(40, 1, 100), [r for r in texts(15, 2, 3) if r[0] > 8] + [(5, None), (6, ""), (7, "w0 " * 30), (None, "w1"), (8, "w2")]]
