@@ -253,16 +253,9 @@ def q35_resume_jsonl(spark, sf_dir):
 
 def q36_ann_lsh(spark, sf_dir):
     """Recall of neighbours by random projections against exact search, for the vectors whose id is divisible by 50: one row (queries, neighbours, found, recall)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    rows = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.6, numHashTables=6, seed=7).fit(rows)
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     queries = rows.filter("vec_id % 50 = 0")
-    met = model.approxSimilarityJoin(queries.select("vec_id", "v"), rows.select("vec_id", "v"), float("inf"), distCol="distance")
-    met = met.select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("id"), "distance").filter("query_id <> id")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    near = met.withColumn("place", place).filter("place <= 10").select("query_id", "id", F.lit(1).alias("hit"))
+    near = search.nearest_in_buckets(rows, queries, 10, "vec_id").select("query_id", "id", F.lit(1).alias("hit"))
     exact = search.nearest(rows, queries, 11, "vec_id", "vec_id").filter("query_id <> id")
     exact = exact.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).filter("place <= 10")
     both = exact.join(near, ["query_id", "id"], "left")
