@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
+from tesserae.functions.batches import in_ranges
 from tesserae.operators import images as I
 from tesserae.operators.order import before_stop, checkpointed
 from tesserae.operators.rules import infer_category
@@ -128,7 +129,7 @@ def listing_rows(pages: DataFrame, board: Board = Board()) -> DataFrame:
     schema = pa.schema([("page", pa.int64()), ("position", pa.int32()), ("cells", pa.int32()), ("pinned", pa.bool_()), ("title", pa.string()), ("date", pa.string()), ("href", pa.string())])
 
     def run(batches):
-        for batch in batches:
+        for batch in in_ranges(batches):
             out = []
             for page, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 parser = _Listing(board)
@@ -199,7 +200,7 @@ def bodies(pages: DataFrame, element: str | None = None, host: str = "") -> Data
     schema = pa.schema([("url", pa.string()), ("text", pa.string()), ("images", pa.list_(pa.string())), ("links", pa.list_(pa.list_(pa.string())))])
 
     def run(batches):
-        for batch in batches:
+        for batch in in_ranges(batches):
             out = []
             for url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 parser = _Text(element)
@@ -235,7 +236,7 @@ def recognise(files: DataFrame, engine, pages: int = 10) -> DataFrame:
     schema = pa.schema([("path", pa.string()), ("ordinal", pa.int32()), ("text", pa.string())])
 
     def run(batches):
-        for batch in batches:
+        for batch in in_ranges(batches):
             out = []
             for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
@@ -259,7 +260,7 @@ def recognised(files: DataFrame, engine: I.Engine, pages: int = 10) -> DataFrame
     wanted = files.select("path", "content", F.col("format") if "format" in files.columns else T.image_format("path").alias("format"))
 
     def run(batches):
-        for batch in batches:
+        for batch in in_ranges(batches):
             rows = [(path, form, I.file_text(engine, content, form, pages)) for path, content, form in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)] if rows else [[]] * 3, schema=schema)
 

@@ -51,3 +51,35 @@ def test_best_documents_by_words(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert len(got) == best.count() and {9_000_001, 9_000_002, 7} <= {i for q, i in got if q == 9_999}
     assert search.bm25_best(docs.filter("false"), terms, 6, also).count() == 0
+
+
+def test_in_ranges():
+    """All rows in their order, in ranges of bounded size; a long row stands alone."""
+    import pyarrow as pa
+
+    from tesserae.functions.batches import in_ranges
+
+    texts = ["x" * (2000 if k % 100 else 300_000) for k in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(1000)), "t": texts})
+    cut = list(in_ranges([batch, batch.slice(0, 0), batch.slice(7, 1)], 100_000, 64))
+    assert pa.Table.from_batches(cut).column("k").to_pylist() == [*range(1000), 7]
+    assert all(c.num_rows <= 64 and (c.nbytes <= 100_000 or c.num_rows == 1) for c in cut) and len(cut) < 120
+
+
+def test_tokenized_a_few_at_a_time(spark):
+    from tesserae.operators import models
+
+    class FewTexts:
+        """A tokenizer that takes 64 texts at once."""
+
+        def load(self):
+            def run(texts):
+                assert len(texts) <= 64
+                return [list(range(len(t or ""))) for t in texts]
+
+            return run
+
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 7 != 0, F.repeat(F.lit("x"), (F.col("id") % 11).cast("int"))).alias("text")).coalesce(1)
+    got = models.tokenized(rows, FewTexts(), length=5).orderBy("id").collect()
+    n = [min(5, r["id"] % 11 if r["id"] % 7 else 0) for r in got]
+    assert [r["input_ids"] for r in got] == [list(range(k)) + [0] * (5 - k) for k in n] and [sum(r["attention_mask"]) for r in got] == n
