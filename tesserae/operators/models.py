@@ -20,6 +20,8 @@ from tesserae.functions import text as T
 _LOADED: dict = {}
 #: Tries of a model that is limited in its rate.
 TRIES = 5
+#: Texts that are tokenized at once.
+TEXTS = 64
 
 
 def loaded(model):
@@ -130,7 +132,10 @@ def tokenized(rows: DataFrame, tokenizer=None, text_col: str = "text", length: i
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series(loaded(tokenizer)(texts.tolist()))
+        out = []  # of a few texts at a time the tokens are Python's numbers; none is kept beyond the length
+        for k in range(0, len(texts), TEXTS):
+            out += [np.asarray(x[:length], dtype=np.int32) for x in loaded(tokenizer)(texts.iloc[k : k + TEXTS].tolist())]
+        return pd.Series(out, dtype=object)
 
     found = F.slice(ids(F.col(text_col)), 1, length)
     out = rows.withColumn("_ids", found).drop(text_col)
