@@ -117,24 +117,25 @@ def q68_co_located_join(spark, sf_dir):
 _BATCHES = 4
 
 
-def _arriving(spark, sf_dir):
-    """Documents as notices that come in four files; a quarter of the URLs comes twice."""
-    docs, folder = _t(spark, sf_dir, "documents"), shared_folder(spark)
+def _arriving(spark, sf_dir, folder):
+    """Documents as notices that come in four batches of files, each put into the folder when it is taken; a quarter of the URLs comes twice."""
+    docs = _t(spark, sf_dir, "documents")
     most = docs.agg(F.max("doc_id")).first()[0] or 0
     size = most // _BATCHES + 1
     url = F.concat(F.lit("http://h.org/"), F.when(F.col("doc_id") % 4 == 0, F.col("doc_id") % size).otherwise(F.col("doc_id")).cast("string"))
     rows = docs.select("doc_id", T.title_of("text").alias("title"), url.alias("url"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("date"), T.body_of("text").alias("body"))
     for k in range(_BATCHES):
-        rows.filter(F.floor(F.col("doc_id") / size) == k).drop("doc_id").coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema("title string, url string, date string, body string").option("maxFilesPerTrigger", 1).parquet(folder)
+        rows.filter(F.floor(F.col("doc_id") / size) == k).drop("doc_id").write.mode("append").parquet(folder)
+        yield spark.readStream.schema("title string, url string, date string, body string").parquet(folder)
 
 
 def q69_index_new(spark, sf_dir):
-    """A monitor over four batches: categories and index records of the notices that are new in each."""
+    """A monitor over four batches: categories and index records of the notices that are new in each. It is started anew for each and goes on where it was."""
     from tesserae.plans.catalog import RULES
 
-    index = monitor.monitored_index(spark, shared_folder(spark), 16)
-    monitor.index_new(_arriving(spark, sf_dir), index, RULES, shared_folder(spark)).awaitTermination()
+    index, checkpoint = monitor.monitored_index(spark, shared_folder(spark), 16), shared_folder(spark)
+    for stream in _arriving(spark, sf_dir, shared_folder(spark)):
+        monitor.index_new(stream, index, RULES, checkpoint).awaitTermination()
     return index.rows().select("url", "date", "category", "epoch", F.md5("document").alias("document_md5"))
 
 

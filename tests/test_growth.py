@@ -83,3 +83,31 @@ def test_tokenized_a_few_at_a_time(spark):
     got = models.tokenized(rows, FewTexts(), length=5).orderBy("id").collect()
     n = [min(5, r["id"] % 11 if r["id"] % 7 else 0) for r in got]
     assert [r["input_ids"] for r in got] == [list(range(k)) + [0] * (5 - k) for k in n] and [sum(r["attention_mask"]) for r in got] == n
+
+
+def test_batches_of_many_files(spark, tmp_path):
+    """A batch of the monitor of q69 is as many files as its rows come from, and comes when the one before has been taken."""
+    from tesserae.plans import stored
+
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    folder = tmp_path / "arriving"
+    counts = [len(list(folder.glob("*.parquet"))) for _ in stored._arriving(spark, str(tmp_path), str(folder))]
+    assert len(counts) == 4 and counts[0] > 1 and counts[1] > counts[0]
+
+
+def test_similar_rows_are_counted(spark):
+    """Recall and MRR of rows with copies, ties and labels of one row against brute force."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8)).round(1)
+    x[50:90] = x[:40]
+    labels = [int(k) for k in rng.integers(0, 40, 300)]
+    labels[7] = 1000
+    rows = spark.createDataFrame([(k * 3 % 301, labels[k], x[k].tolist()) for k in range(300)], "vec_id long, label long, embedding array<double>")
+    u = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)
+    s, ids, ranks = np.round(u @ u.T, 12), np.array([k * 3 % 301 for k in range(300)]), []
+    for k in range(300):
+        order = [j for j in np.lexsort([ids, -s[k]]) if j != k]
+        ranks.append(next((p + 1 for p, j in enumerate(order) if labels[j] == labels[k]), None))
+    got = {r["metric"]: r["value"] for r in search.retrieval_quality(rows, block=64).collect()}
+    want = {f"Recall@{n}": round(sum(r is not None and r <= n for r in ranks) / 300, 4) for n in (1, 3, 5, 10)}
+    assert got == {**want, "MRR": round(sum(1 / r for r in ranks if r) / 300, 4)}
