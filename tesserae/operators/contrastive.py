@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import base64
 from dataclasses import asdict, dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,11 +42,10 @@ def hashed_tokens(text: Column | str, features: int) -> Column:
     return F.transform(T.tokenize(text), lambda t: F.pmod(F.xxhash64(t), F.lit(features)).cast("int"))
 
 
-def _bags(tokens: list, features: int) -> np.ndarray:
-    x = np.zeros((len(tokens), features))
-    for row, places in zip(x, tokens, strict=True):
-        np.add.at(row, np.asarray(places, dtype=np.int64), 1.0)
-    return np.log1p(x)
+def _bags(tokens: list | pa.Array, features: int) -> np.ndarray:
+    tokens = tokens if isinstance(tokens, pa.Array) else pa.array(tokens, pa.list_(pa.int32()))
+    row = np.repeat(np.arange(len(tokens)), np.asarray(pc.list_value_length(tokens)))
+    return np.log1p(np.bincount(row * features + np.asarray(tokens.flatten()), minlength=len(tokens) * features).astype(float).reshape(-1, features))
 
 
 def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +53,7 @@ def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x / norm, norm
 
 
-def gradient(weights: np.ndarray, queries: list, positives: list, shape: Shape) -> tuple[float, np.ndarray]:
+def gradient(weights: np.ndarray, queries: list | pa.Array, positives: list | pa.Array, shape: Shape) -> tuple[float, np.ndarray]:
     """(loss, gradient) of one batch: the cross entropy of each query's own positive among those of the batch."""
     xq, xp = _bags(queries, shape.features), _bags(positives, shape.features)
     (uq, nq), (up, np_) = _unit(xq @ weights), _unit(xp @ weights)
@@ -87,17 +88,19 @@ def train(pairs: DataFrame, path: str, shape: Shape = Shape(), tasks: int = 0) -
     schema = pa.schema([("round", pa.int32()), ("loss", pa.float64()), ("weights", pa.binary())])
 
     def run(batches):
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[int, pa.Table] = {}  # as Arrow, four bytes a token
         for batch in batches:
-            for k, q, p in zip(*(batch.column(c).to_pylist() for c in ("batch", "q", "p")), strict=True):
-                q_p = held.setdefault(k, ([], []))
-                q_p[0].append(q), q_p[1].append(p)
+            of = batch.column("batch").to_numpy()
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for a, b in pairwise(cuts) if len(of) else []:
+                part = pa.Table.from_batches([batch.slice(a, b - a)])
+                held[int(of[a])] = pa.concat_tables([held[int(of[a])], part]) if int(of[a]) in held else part
         context = BarrierTaskContext.get()
         weights, speed, losses = start(shape), 0.0, []
         for step in range(shape.rounds + 1):
             loss, total = 0.0, np.zeros_like(weights)
-            for q, p in held.values():
-                one, slope = gradient(weights, q, p, shape)
+            for rows in held.values():
+                one, slope = gradient(weights, *(rows.column(c).combine_chunks() for c in ("q", "p")), shape)
                 loss, total = loss + one, total + slope
             message = np.concatenate([[len(held), loss], total.ravel()]).astype("<f8").tobytes()
             every = [np.frombuffer(base64.b64decode(m), "<f8") for m in context.allGather(base64.b64encode(message).decode())]

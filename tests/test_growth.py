@@ -111,3 +111,16 @@ def test_similar_rows_are_counted(spark):
     got = {r["metric"]: r["value"] for r in search.retrieval_quality(rows, block=64).collect()}
     want = {f"Recall@{n}": round(sum(r is not None and r <= n for r in ranks) / 300, 4) for n in (1, 3, 5, 10)}
     assert got == {**want, "MRR": round(sum(1 / r for r in ranks if r) / 300, 4)}
+
+
+def test_bags_of_arrow_tokens():
+    """Tokens held as Arrow, also as parts of batches, make the same bags as lists of numbers."""
+    import pyarrow as pa
+
+    from tesserae.operators import contrastive
+
+    tokens = [[3, 3, 1], [], [0], [4, 4, 4]]
+    want = np.log1p([[0, 1, 0, 2, 0], [0] * 5, [1, 0, 0, 0, 0], [0, 0, 0, 0, 3]])
+    column = pa.array([[2], *tokens, [1]], pa.list_(pa.int32())).slice(1, 4)
+    assert (contrastive._bags(tokens, 5) == want).all() and (contrastive._bags(column, 5) == want).all()
+    assert contrastive._bags([], 5).shape == (0, 5)
