@@ -33,9 +33,9 @@ class Versions:
     def next(self) -> int:
         return max(self._marked("commits"), default=-1) + 1
 
-    def write(self, version: int, table: str, rows: DataFrame, *partitions: str, sort: tuple[str, ...] = ()) -> None:
-        """Writes the table's part of a version, in place of what a stopped run may have left. Partitions are brought together in one task each unless they are large."""
-        if partitions:
+    def write(self, version: int, table: str, rows: DataFrame, *partitions: str, sort: tuple[str, ...] = (), dealt: bool = False) -> None:
+        """Writes the table's part of a version, in place of what a stopped run may have left. Partitions are brought together in one task each unless they are large; dealt: they are already."""
+        if partitions and not dealt:
             rows = rows.hint("rebalance", *map(F.col, partitions))
         if sort:
             rows = rows.sortWithinPartitions(*partitions, *sort)

@@ -124,3 +124,42 @@ def test_bags_of_arrow_tokens():
     column = pa.array([[2], *tokens, [1]], pa.list_(pa.int32())).slice(1, 4)
     assert (contrastive._bags(tokens, 5) == want).all() and (contrastive._bags(column, 5) == want).all()
     assert contrastive._bags([], 5).shape == (0, 5)
+
+
+def test_documents_of_the_lexical_index(spark, tmp_path):
+    """A document is one row of the index with its counts, not a row for each of its terms."""
+    from tesserae.operators.lexical import LexicalIndex
+
+    index = LexicalIndex(spark, f"file://{tmp_path}/index", block=2, buckets=3)
+    index.upsert(spark.createDataFrame([(1, "a b a c"), (2, None), (3, "c"), (3, "d d")], "doc_id long, text string"))
+    got = {r["id"]: (r["length"], dict(zip(r["terms"].split(), r["tfs"], strict=True))) for r in index.tables.read("documents").collect()}
+    assert index.tables.read("documents").count() == 3 and got == {1: (4, {"a": 2, "b": 1, "c": 1}), 2: (0, {}), 3: (2, {"d": 2})}
+
+
+def test_postings_of_whole_blocks(monkeypatch):
+    """However documents are cut into batches and ranges, a term has one row of a block, with all its documents and those pairs that none beats."""
+    import pyarrow as pa
+
+    from tesserae.operators import lexical
+
+    monkeypatch.setattr(lexical, "RANGE", 300)
+    rng = np.random.default_rng(5)
+    docs = []
+    for k in range(120):
+        counts = {f"t{x}": int(rng.integers(1, 4)) for x in np.unique(rng.zipf(1.6, 6) % 30)} if k % 9 else {}
+        docs.append({"block": k // 5, "id": k, "length": int(rng.integers(1, 9)), "terms": " ".join(counts), "tfs": list(counts.values())})
+    rows = pa.RecordBatch.from_pylist(docs, pa.schema([("block", pa.int64()), ("id", pa.int64()), ("length", pa.int32()), ("terms", pa.string()), ("tfs", pa.list_(pa.int32()))]))
+    packed = list(lexical._packed_postings(rows.slice(k, 7) for k in range(0, 120, 7)))
+    assert len(packed) > 5
+    dealt = [pa.RecordBatch.from_arrays([pa.array([1] * b.num_rows, pa.int32()), *b.columns], names=["bucket", "term", "entries"]) for b in packed]
+    got = pa.Table.from_batches(list(lexical._postings(dealt))).to_pylist()
+    want = {}
+    for d in docs:
+        for term, tf in zip(d["terms"].split(), d["tfs"], strict=True):
+            want.setdefault((term, d["block"]), []).append((d["id"], tf, d["length"]))
+    assert len(got) == len(want) and {(r["term"], r["block"]) for r in got} == want.keys()
+    for r in got:
+        of = want[r["term"], r["block"]]
+        assert r["bucket"] == 1 and r["n"] == len(of) and sorted(map(tuple, (e.values() for e in r["entries"]))) == of
+        peaks = {(t, n) for _, t, n in of if not any(u >= t and m <= n and (u, m) != (t, n) for _, u, m in of)}
+        assert sorted((p["tf"], p["length"]) for p in r["peaks"]) == sorted(peaks)
