@@ -129,13 +129,20 @@ def upsert(index: DataFrame, records: DataFrame, key: str = "doc_id", ordinal: s
 def replace_partitions(rows: DataFrame, path: str, partition: str, touched: list) -> None:
     """Puts the rows in the place of what these partitions hold; a partition that gets none is removed, and the files of all others stay.
 
-    The rows, which may be made of what is replaced, are written beside first. A run that is stopped while partitions are moved
-    leaves some old and some new; run again with the same rows it ends with all new.
+    The rows, which may be made of what is replaced, are written once, beside what is there, and then moved. A run that is stopped
+    while partitions are moved leaves some old and some new; run again with the same rows it ends with all new.
     """
-    staged = checkpointed(rows)
-    staged.hint("rebalance", F.col(partition)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(partition).parquet(path)
-    for value in set(touched) - {r[0] for r in staged.select(partition).distinct().collect()}:  # as many as were touched
-        _remove(rows.sparkSession, f"{path}/{partition}={value}")
+    spark = rows.sparkSession
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"  # readers pass over names that begin so
+    rows.hint("rebalance", F.col(partition)).write.option("compression", "zstd").partitionBy(partition).parquet(staged)
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    fs = where(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    made = {f.getPath().getName() for f in fs.listStatus(where(staged)) if f.isDirectory()}  # a name for each partition
+    for name in sorted(made | {f"{partition}={value}" for value in touched}):
+        _remove(spark, f"{path}/{name}")
+        if name in made and not fs.rename(where(f"{staged}/{name}"), where(f"{path}/{name}")):
+            raise OSError(f"{staged}/{name} could not be moved")
+    _remove(spark, staged)
 
 
 class BucketedIndex:

@@ -174,3 +174,21 @@ def test_postings_deal_texts(spark):
     assert "explode" in plan and executed.count("Exchange hashpartitioning(") == executed.count("Exchange hashpartitioning(id#") == 1
     want = [(1, 1, "", 1), (1, 1, "d", 1), (1, 3, "", 2), (1, 3, "a", 3), (1, 3, "b", 1), (1, 3, "c", 2), (2, 0, "", 1), (None, 2, "", 1), (None, 2, "e", 2)]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_partitions_are_written_once(spark, tmp_path):
+    """What replaces partitions, made of them, is written once: the files that are moved, and nothing that stays beside."""
+    from tesserae.sources import files
+
+    index = files.BucketedIndex(spark, f"file://{tmp_path}/index", "doc_id long, text string", "doc_id", 4)
+    index.upsert(spark.range(100).selectExpr("id as doc_id", "'old' as text"))
+    written, write = [], files.checkpointed
+    files.checkpointed = lambda df: written.append(df.columns) or write(df)
+    try:
+        index.upsert(spark.range(50, 120).selectExpr("id as doc_id", "'new' as text"))
+        index.remove(spark.range(0, 120, 7).selectExpr("id as doc_id"))
+    finally:
+        files.checkpointed = write
+    assert written == [["doc_id", "text", "bucket"], ["doc_id", "bucket"]]  # the records and the keys only
+    assert {r["doc_id"]: r["text"] for r in index.rows().collect()} == {k: "new" if k >= 50 else "old" for k in range(120) if k % 7}
+    assert {p.name for p in (tmp_path / "index").iterdir() if p.is_dir()} == {f"bucket={k}" for k in range(4)}
