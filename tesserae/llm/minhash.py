@@ -13,7 +13,10 @@ documents are connected are then skipped, and so are all but one of equal lists.
 documents of different groups are counted, each pair in the one of its common lists that has the smallest key, and skipped
 in the others; further coordinates of a byte each, as ``matches`` of FINE, tell most pairs that are not similar enough, and the
 rest are confirmed on the full sets unless they are connected already. Large lists go in pairs of blocks of bounded size,
-first with signatures only, and a pair of blocks returns a forest of its links, never all pairs of a group.
+first with signatures only, and a pair of blocks returns a forest of its links, never all pairs of a group. Where more than
+a block of a list is outside its largest connected group, as of documents that share a passage and no more, all documents of
+the list are posted under bands of further coordinates instead, of which a pair of the wanted similarity shares one but for a
+chance of LOSS at most; few others do. The lists of bands are treated as the others are, whatever their size.
 
 Null text, empty text and text without a word has an empty set and is linked with nothing; a text with fewer words than a
 shingle has its whole sequence as its only shingle. Repeated rows and ties of any kind are settled by the smallest doc_id;
@@ -64,6 +67,16 @@ def matches(percent: int, of: int = COORDINATES) -> int:
 MATCHES = matches(85)
 
 
+def bands(percent: int) -> tuple[int, int]:
+    """How many bands, of how many further coordinates: the widest of which two sets of this similarity share one, but for a chance of LOSS at most. (0, 0): there are too few coordinates."""
+    p = min(percent, 99) / 100
+    for width in range(FINE, 0, -1):
+        n = FINE // width
+        if n * math.log1p(-(p**width)) <= math.log(LOSS):
+            return math.ceil(math.log(LOSS) / math.log1p(-(p**width))), width
+    return 0, 0
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return h ^ (h >> np.uint64(29))
@@ -223,8 +236,9 @@ def _share(keys: np.ndarray) -> np.ndarray:
 def _keys(column) -> np.ndarray:
     """Key lists as rows, filled up with the greatest number."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    out = np.full((len(column), COORDINATES), np.iinfo(np.int64).max)
-    out[np.arange(COORDINATES) < np.diff(column.offsets.to_numpy())[:, None]] = column.flatten().to_numpy()
+    sizes = np.diff(column.offsets.to_numpy())
+    out = np.full((len(column), sizes.max(initial=1)), np.iinfo(np.int64).max)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = column.flatten().to_numpy()
     return out
 
 
@@ -312,11 +326,10 @@ def _forest(percent: int):
     return links
 
 
-def _list_links(prefixes: DataFrame, docs: DataFrame, known: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
-    """Confirmed links between documents that a posting list holds and ``known`` (node, component) does not connect yet.
+def _lists(prefixes: DataFrame, known: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(key, doc_id, n_shingles, label): what posting lists hold; and (key, main, mains, others): the lists to be compared, their largest connected group and the blocks of it and of the rest.
 
-    A list whose documents are all connected is skipped, and so is one of the same documents as another. Of the others the
-    largest connected group is met by the rest, and the rest by itself, in pairs of blocks of bounded size.
+    A list whose documents ``known`` (node, component) connects is skipped, and so is one of the same documents as another.
     """
     posts = prefixes.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
     held = posts.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("label"))
@@ -326,7 +339,12 @@ def _list_links(prefixes: DataFrame, docs: DataFrame, known: DataFrame, words: i
     lists = lists.groupBy("n", "x", "y").agg(F.min(F.struct("key", "main", "s")).alias("l")).select("n", "l.*")
     count = lambda n, s: F.greatest(F.ceil(n / BLOCK_DOCS), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
     lists = lists.select("key", F.col("main.label").alias("main"), count(F.col("main.n"), F.col("main.s")).alias("mains"), count(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("others"))
-    placed = held.join(written(lists, folder), "key").withColumn("is_main", F.col("label") == F.col("main"))
+    return held, written(lists, folder)
+
+
+def _places(held: DataFrame, lists: DataFrame) -> DataFrame:
+    """(key, doc_id, label, a, c, cross, side, inside): the pairs of blocks of each document. The rest of a list meets its largest connected group and itself."""
+    placed = held.join(lists, "key").withColumn("is_main", F.col("label") == F.col("main"))
     b = F.pmod(F.xxhash64("doc_id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
     place = lambda a, c, cross, side: F.struct(a.cast("int").alias("a"), c.cast("int").alias("c"), F.lit(cross).alias("cross"), side.cast("int").alias("side"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
@@ -334,15 +352,42 @@ def _list_links(prefixes: DataFrame, docs: DataFrame, known: DataFrame, words: i
     meets = F.transform(upto(F.col("mains")), lambda m: place(b, m, True, F.lit(0)))
     own = F.transform(upto(F.col("others")), lambda o: place(F.least(b, o), F.greatest(b, o), False, F.when(b <= o, 0).otherwise(1)))
     places = placed.select("key", "doc_id", "label", F.explode(F.when(F.col("is_main"), met).otherwise(F.concat(meets, own))).alias("p")).select("key", "doc_id", "label", "p.*")
-    places = places.withColumn("inside", ~F.col("cross") & (F.col("a") == F.col("c")))
+    return places.withColumn("inside", ~F.col("cross") & (F.col("a") == F.col("c")))
+
+
+def _block_links(places: DataFrame, prefixes: DataFrame, docs: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
+    """Confirmed links between documents of different labels that meet in a pair of blocks."""
     dealt = places.join(prefixes, "doc_id").select("key", "a", "c", "cross", "doc_id", "label", "side", "inside", "n_shingles", "signature", "keys")
-    dealt = dealt.repartition(shuffle_partitions(posts.sparkSession), "key", "a", "c", "cross").sortWithinPartitions("key", "a", "c", "cross", "doc_id")
+    dealt = dealt.repartition(shuffle_partitions(docs.sparkSession), "key", "a", "c", "cross").sortWithinPartitions("key", "a", "c", "cross", "doc_id")
     # signatures first, so that only sets of documents that collide are sent
     met = written(dealt.mapInArrow(_colliding(percent), dealt.schema), folder)
     sets = _sets(docs, met.select("doc_id"), words, folder)
     return met.join(sets, "doc_id").groupBy("key", "a", "c", "cross").applyInArrow(_forest(percent), "u long, v long")
 
 
+def _banded(prefixes: DataFrame, ids: DataFrame, docs: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
+    """prefixes of the documents with these ids, their keys being their bands of further coordinates."""
+    n, width = bands(percent)
+    band = lambda k: F.xxhash64(F.lit(k), F.substring("fine", k * width + 1, width))
+    keys = _sets(docs, ids, words, folder).select("doc_id", F.array(*map(band, range(n))).alias("keys"))
+    return written(prefixes.drop("keys").join(keys, "doc_id"), folder)
+
+
+def _list_links(prefixes: DataFrame, docs: DataFrame, known: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
+    """Confirmed links between documents that a posting list holds and ``known`` (node, component) does not connect yet.
+
+    Lists whose rest is more than a block would be sent as often as it has blocks. Their documents meet in bands instead.
+    """
+    held, lists = _lists(prefixes, known, folder)
+    large = F.lit(bands(percent)[0] > 0) & (F.col("others") > 1)
+    links = _block_links(_places(held, lists.filter(~large)), prefixes, docs, words, percent, folder)
+    many = written(held.join(lists.filter(large).select("key"), "key").select("doc_id").distinct(), folder)
+    if many.isEmpty():
+        return links
+    banded = _banded(prefixes, many, docs, words, percent, folder)
+    return links.union(_block_links(_places(*_lists(banded, known, folder)), banded, docs, words, percent, folder))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable over links of at least this similarity) of every row with an id."""
     docs = _plain(docs, id_col, text_col)

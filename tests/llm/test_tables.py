@@ -191,6 +191,34 @@ def test_minhash_few_common_coordinates(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows, 5, 80) == {1: 1, 2: 1}
 
 
+def test_minhash_of_a_shared_passage(spark, monkeypatch):
+    """Documents that share a passage and no more are sent about as often as they have bands, however many they are; the linked ones among them are found."""
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 8)
+    colliding = minhash._colliding
+    sent = []
+
+    def counted(percent):
+        run, rows = colliding(percent), spark.sparkContext.accumulator(0)
+        sent.append(rows)
+
+        def go(batches):
+            def seen():
+                for batch in batches:
+                    rows.add(batch.num_rows)
+                    yield batch
+
+            return run(seen())
+
+        return go
+
+    monkeypatch.setattr(minhash, "_colliding", counted)
+    rows = [(k, " ".join([f"w{i}" for i in range(60)] + [f"d{k}x{i}" for i in range(60)])) for k in range(160)]
+    rows += [(1000 + k, f"{rows[k][1]} more") for k in range(0, 160, 5)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i % 1000 for i, _ in rows}
+    assert 0 < sum(a.value for a in sent) < 36 * len(rows)  # 36 bands
+
+
 def test_minhash_without_rows(empty):
     assert minhash.near_duplicates(empty).count() == 0
 

@@ -317,6 +317,13 @@ def test_fine_signature():
     assert (minhash.fine_signature(items) == minhash.fine_signature(np.unique(rng.integers(0, 1 << 62, 300).astype(np.uint64)))).mean() < 0.05
 
 
+def test_bands():
+    for percent in (20, 50, 80, 85, 99, 100):
+        n, width = minhash.bands(percent)
+        assert 0 < n * width <= minhash.FINE and (1 - (min(percent, 99) / 100) ** width) ** n <= minhash.LOSS
+    assert minhash.bands(85)[1] > minhash.bands(50)[1] and minhash.bands(1) == (0, 0)
+
+
 def test_rows_that_share_values():
     rng = np.random.default_rng(10)
     for n, most in ((1, 5), (2, 5), (40, 400), (60, 5000)):
