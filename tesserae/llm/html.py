@@ -6,8 +6,14 @@ adverts, forms, comments and the like, by tag, role, class or id), or other. The
 their main blocks are put one after another and their suffixes sorted; prefixes of at least ``TOKENS`` tokens that
 neighbours from distinct pages have in common are boilerplate, and the tokens they cover are removed. What is unique stays.
 
-Articles hold passages that other articles hold too, and all of an article belongs to the result, so main blocks are not
-cut by what repeats; the suffix array decides on pages without them, for which the other blocks' unique runs are the text.
+Articles hold passages that other articles hold too, and all of an article belongs to the result, so what repeats is not
+cut out of main blocks. A main block goes only where all its tokens lie in runs of TOKENS tokens that at least SHARE of a
+host's distinct main texts have, of hosts with PAGES of them: a notice without a name of its own. If all blocks of a page
+are such, all stay. For pages without main blocks the other blocks' unique runs are the text.
+
+So that not every suffix of an article is sent, the main texts of a host that have a run are counted first by its hash, in
+SLOTS counters. A counter is never less than what it counts, so no run is lost; only runs whose counter is high enough are
+sent and counted one by one.
 
 The suffix array is distributed: each batch sorts its own suffixes and folds equal ones, so that a footer that stands on a
 third of all pages is sent once a batch; suffixes are then dealt by host and first TOKENS tokens, which no repeat of that
@@ -21,6 +27,7 @@ from __future__ import annotations
 
 import html as references
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +39,8 @@ from tesserae.llm.common import record_batch, shared_dir, shuffle_partitions, sl
 
 #: Tokens that a repeat must have, and tokens of a suffix that are sorted.
 TOKENS, DEPTH = 6, 24
+#: What makes a run of main blocks boilerplate: the share of its host's distinct main texts that have it, and how many of these the host has at least; counters of a host.
+SHARE, PAGES, SLOTS = 0.8, 10, 8192
 
 # fixed values: names of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,7 +64,7 @@ _NAME = re.compile(r"[a-z]+")
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
 OTHER, CHROME, WEAK, MAIN = range(4)
-PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("main", pa.string()), ("roles", pa.list_(pa.int32())), ("blocks", pa.list_(pa.string()))])
+PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("main", pa.list_(pa.string())), ("roles", pa.list_(pa.int32())), ("blocks", pa.list_(pa.string()))])
 
 
 def _kind(tag: str, attributes: str, inside: bool) -> int | None:
@@ -206,16 +215,114 @@ def _parsed(batches):
         for page_id, url, page in zip(*(c.to_pylist() for c in part.columns), strict=True):
             blocks = parse(page)
             best = MAIN if any(r == MAIN for r, _ in blocks) else WEAK if any(r == WEAK for r, _ in blocks) else None
-            main = None if best is None else " ".join(t for r, t in blocks if r == best)
+            main = None if best is None else [t for r, t in blocks if r == best]
             rest = [(r, t) for r, t in blocks if r != best]
             rows.append((page_id, url, host(url), main, [r for r, _ in rest], [t for _, t in rest]))
         yield record_batch(PARSED, *(list(c) for c in zip(*rows, strict=True)))
 
 
+def _hashes(tokens: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) | 1 for t in tokens), dtype=np.uint64, count=len(tokens))
+
+
+def runs(blocks: list[str]) -> np.ndarray:
+    """A hash of each run of TOKENS tokens of the blocks, in their order."""
+    h = _hashes(" ".join(blocks).split(" "))
+    n = max(0, len(h) - TOKENS + 1)
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(TOKENS):
+        out = (out ^ (out >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _slots(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(32)) % np.uint64(SLOTS)
+
+
+COUNTS = pa.schema([("host", pa.string()), ("counts", pa.binary())])
+
+
+def _counted(batches):
+    """Of the main texts of a task: how many have a run of each counter, by host; some hosts at a time."""
+    held: dict[str, np.ndarray] = {}
+    for part in slices(batches):
+        for name, blocks in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            if name not in held:
+                if len(held) == 256:
+                    yield record_batch(COUNTS, list(held), [zlib.compress(c.tobytes(), 1) for c in held.values()])
+                    held.clear()
+                held[name] = np.zeros(SLOTS, dtype=np.int64)
+            held[name][np.unique(_slots(runs(blocks)))] += 1
+    if held:
+        yield record_batch(COUNTS, list(held), [zlib.compress(c.tobytes(), 1) for c in held.values()])
+
+
+HIGH = pa.schema([("host", pa.string()), ("wanted", pa.int64()), ("slots", pa.binary())])
+
+
+def _high(batches):
+    """Of rows of counts sorted by host: the counters that are high enough, of hosts that have some."""
+    name, least, total = None, 0, None
+
+    def done():
+        high = np.flatnonzero(total >= least)
+        if len(high):
+            yield record_batch(HIGH, [name], [least], [high.tobytes()])
+
+    for part in slices(batches):
+        for of, wanted, counts in zip(*(part.column(c).to_pylist() for c in ("host", "wanted", "counts")), strict=True):
+            counts = np.frombuffer(zlib.decompress(counts), dtype=np.int64)
+            if total is not None and of == name:
+                total = total + counts
+            else:
+                if total is not None:
+                    yield from done()
+                name, least, total = of, wanted, counts
+    if total is not None:
+        yield from done()
+
+
+PLACED = pa.schema([("host", pa.string()), ("content", pa.int64()), ("wanted", pa.int64()), ("run", pa.int64()), ("place", pa.int32())])
+
+
+def _placed(batches):
+    """The runs of main texts whose counters are high enough."""
+    for part in slices(batches, 1 << 20, column=2):
+        for name, content, blocks, wanted, slots in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            found = runs(blocks)
+            at = np.flatnonzero(np.isin(_slots(found), np.frombuffer(slots, dtype=np.int64).astype(np.uint64)))
+            if len(at):
+                yield record_batch(PLACED, [name] * len(at), [content] * len(at), [wanted] * len(at), found[at].view(np.int64), at.astype(np.int32))
+
+
+def own_blocks(blocks: list[str], places: list[int] | None) -> str:
+    """The main blocks that runs at these places do not cover whole; all, if they cover every one."""
+    if not places:
+        return " ".join(blocks)
+    ends = np.cumsum([b.count(" ") + 1 for b in blocks])
+    covered = np.zeros(ends[-1], dtype=bool)
+    for start in places:
+        covered[start : start + TOKENS] = True
+    kept = [b for b, x in zip(blocks, np.split(covered, ends[:-1]), strict=True) if not x.all()]
+    return " ".join(kept or blocks)
+
+
+def _main_runs(mains: DataFrame, folder: str) -> DataFrame:
+    """(host, content, places): where main texts have runs that are boilerplate of their host. mains: host, content, main."""
+    spark = mains.sparkSession
+    hosts = mains.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= PAGES)
+    hosts = written(hosts.select("host", F.ceil(F.col("n") * SHARE).cast("long").alias("wanted")), folder)
+    counts = mains.join(hosts, "host", "left_semi").select("host", "main").mapInArrow(_counted, "host string, counts binary").join(hosts, "host")
+    high = written(counts.repartition(shuffle_partitions(spark), "host").sortWithinPartitions("host").mapInArrow(_high, "host string, wanted long, slots binary"), folder)
+    placed = mains.join(high, "host").select("host", "content", "main", "wanted", "slots").mapInArrow(_placed, "host string, content long, wanted long, run long, place int")
+    placed = written(placed, folder)
+    frequent = written(placed.select("host", "run", "wanted", "content").distinct().groupBy("host", "run", "wanted").agg(F.count("*").alias("n")).filter("n >= wanted").select("host", "run"), folder)
+    return placed.join(frequent, ["host", "run"]).groupBy("host", "content").agg(F.collect_set("place").alias("places"))
+
+
 def suffixes(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of token streams put one after another: the suffixes with at least TOKENS tokens left in their stream, sorted by their first DEPTH tokens (hashes, zero beyond the stream's end); the stream and the place of each."""
-    digest = xxhash.xxh3_64_intdigest
-    hashes = [np.fromiter((digest(t.encode("utf-8", "replace")) | 1 for t in s), dtype=np.uint64, count=len(s)) for s in streams]
+    hashes = [_hashes(s) for s in streams]
     rows = [np.lib.stride_tricks.sliding_window_view(np.concatenate([h, np.zeros(DEPTH - TOKENS, dtype=np.uint64)]), DEPTH) for h in hashes if len(h) >= TOKENS]
     stream = np.concatenate([np.full(len(h) - TOKENS + 1, k) for k, h in enumerate(hashes) if len(h) >= TOKENS] or [np.zeros(0, dtype=np.int64)])
     place = np.concatenate([np.arange(len(h) - TOKENS + 1) for h in hashes if len(h) >= TOKENS] or [np.zeros(0, dtype=np.int64)])
@@ -314,12 +421,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     spark = pages.sparkSession
     folder = shared_dir(spark)
     plain = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
-    parsed = written(plain.mapInArrow(_parsed, "page_id long, url string, host string, main string, roles array<int>, blocks array<string>"), folder)
+    parsed = written(plain.mapInArrow(_parsed, "page_id long, url string, host string, main array<string>, roles array<int>, blocks array<string>"), folder)
     streams = parsed.filter("page_id is not null and size(blocks) > 0").select("page_id", "host", "blocks")
     rows = streams.mapInArrow(_suffix_rows, "host string, head binary, rest binary, pages binary, places binary")
     array = rows.repartition(shuffle_partitions(spark), "host", "head").sortWithinPartitions("host", "head", "rest")
     marked = array.mapInArrow(_repeated, "page_id long, place int, n int")
-    whole = parsed.filter("main is not null").select("page_id", "url", F.col("main").alias("text"))
+    mains = parsed.filter("main is not null").select("page_id", "url", "host", F.xxhash64("main").alias("content"), "main")
     open_pages = parsed.filter("main is null").select("page_id", "url", "roles", "blocks")
     places = marked.join(open_pages.select("page_id").distinct(), "page_id", "left_semi").groupBy("page_id").agg(F.collect_list(F.array("place", "n")).alias("places"))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
@@ -329,5 +436,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             page_id, url, *rest = batch.columns
             yield record_batch(schema, page_id, url, [unique_runs(*x) for x in zip(*(c.to_pylist() for c in rest), strict=True)])
 
+    def own(batches):
+        for batch in batches:
+            page_id, url, *rest = batch.columns
+            yield record_batch(schema, page_id, url, [own_blocks(*x) for x in zip(*(c.to_pylist() for c in rest), strict=True)])
+
+    whole = mains.join(written(_main_runs(mains, folder), folder), ["host", "content"], "left").select("page_id", "url", "main", "places").mapInArrow(own, "page_id long, url string, text string")
     decided = open_pages.join(places, "page_id", "left").select("page_id", "url", "roles", "blocks", "places").mapInArrow(uncovered, "page_id long, url string, text string")
     return whole.union(decided)

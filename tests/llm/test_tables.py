@@ -330,6 +330,18 @@ def test_pages(spark):
     assert html.main_text(df.filter("page_id < 0")).count() == 0
 
 
+def test_pages_of_a_template(spark):
+    """A notice that nearly all articles of a host have goes; what half of them have, or the few of a small host, or what is all of an article, stays."""
+    notice, passage = "Sign up to read every story of this site first", "A passage that half of all the articles here have"
+    page = lambda k: f"<p>{notice}</p><p>{f'{passage}' if k % 2 else 'Other words'} in story number {k}</p><p>{passage if k % 2 else k}</p>"
+    rows = [(k, f"http://a.b/{k}", f"<article>{page(k)}</article>") for k in range(20)] + [(100 + k, f"http://c.d/{k}", f"<article>{page(k)}</article>") for k in range(4)]
+    rows += [(200 + k, f"http://e.f/{k}", f"<article>{page(1)}</article>") for k in range(30)]  # copies of one text
+    rows += [(300, "http://a.b/300", f"<article><p>{notice}</p></article>"), (301, "http://a.b/301", "<article>Short</article>"), (302, "http://a.b/302", "<article></article>")]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    own = lambda k: f"{passage} in story number {k} {passage}" if k % 2 else f"Other words in story number {k} {k}"
+    assert got == {k: own(k) for k in range(20)} | {100 + k: f"{notice} {own(k)}" for k in range(4)} | {200 + k: f"{notice} {own(1)}" for k in range(30)} | {300: notice, 301: "Short", 302: ""}
+
+
 @pytest.mark.parametrize("name", queries.ORACLE_SQL)
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
