@@ -364,6 +364,22 @@ def halves(n=240):
     return [(i, " ".join(rng.choices(topics[i % 24], k=6)), " ".join(rng.choices(topics[i % 24], k=6)), i // 24) for i in range(n)]
 
 
+def test_halves_of_whole_texts(spark, tmp_path, monkeypatch):
+    """The encoder of q74 is trained on all words of its documents, however long they are, and the halves that are held out are whole, too."""
+    from tesserae.plans import stored
+
+    whole = {k: " ".join(f"d{k}w{j}" for j in range(10 + 97 * k % 1000)) for k in range(80)}
+    spark.createDataFrame(list(whole.items()), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    trained, train, encoded, encode = [], stored.contrastive.train, [], stored.contrastive.encode
+    monkeypatch.setattr(stored.contrastive, "train", lambda pairs, *a: trained.extend(pairs.collect()) or train(pairs, *a))
+    monkeypatch.setattr(stored.contrastive, "encode", lambda text, weights: encoded.append(text) or encode(text, weights))
+    row = stored.q74_contrastive(spark, str(tmp_path)).first()
+    assert trained and row["held_out"] == len(whole) - len(trained) and set(encoded) == {"query", "positive"}
+    for r in trained:
+        words = whole[r["doc_id"]].split()
+        assert r["query"].split() == words[: len(words) // 2] and r["positive"].split() == words[len(words) // 2 :]
+
+
 def test_contrastive_encoder(spark, tmp_path):
     """The loss falls, any dealing of the batches gives the same model, and unseen halves find their topic more often."""
     from tesserae.operators import contrastive
